@@ -38,7 +38,7 @@ def tree_nodes(model: FittedModel, spark) -> pd.DataFrame:
         "tree", "id", "prediction", "leftChild", "rightChild",
         F.col("rawCount").cast("double").alias("cover"),
         F.col("split.featureIndex").alias("feature"),
-        F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     ).limit(MAX_NODES).toPandas()
 
 

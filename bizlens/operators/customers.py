@@ -133,7 +133,7 @@ def driver_phrases(strongest: Column) -> Column:
                 "%s (%s%.2f)",
                 s["feature"],
                 F.when(s["contribution"] > 0, "+").otherwise("-"),
-                F.abs(s["contribution"]),
+                rounded(F.abs(s["contribution"]), 2),
             ),
         ),
         "; ",
@@ -164,9 +164,15 @@ def risk_tier(probability: Column) -> Column:
     )
 
 
-def churn_summary(scores: DataFrame) -> DataFrame:
-    """Counts, mean probability and value at risk, for every region and for all of them."""
+def churn_summary(scores: DataFrame, buckets: bool = False) -> DataFrame:
+    """Counts, mean probability and value at risk, for every region and for all of them, and on
+    request the bucket counts as columns."""
     high = F.col("churn_probability") > HIGH_RISK
+    bucket = bucket_of(F.col("churn_probability"))
+    counts = [
+        F.count_if(bucket == place).alias(f"bucket_{place}")
+        for place in range(1, len(BUCKETS) + 1)
+    ]
     return (
         scores.rollup("region")
         .agg(
@@ -178,6 +184,7 @@ def churn_summary(scores: DataFrame) -> DataFrame:
             F.coalesce(
                 exact_sum(F.when(high, F.col("predicted_clv_12mo")), 2), F.lit(0.0)
             ).alias("clv_at_risk"),
+            *(counts if buckets else []),
         )
         .withColumn("region", F.coalesce("region", F.lit("ALL")))
     )

@@ -6,7 +6,9 @@ month, a size set by the calendar and the list of regions, not by the sales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.exact import exact_avg, exact_sum, ratio, rounded
@@ -130,8 +132,9 @@ def latest_month(monthly: DataFrame) -> DataFrame:
     )
 
 
-def month_over_month(monthly: DataFrame) -> DataFrame:
-    """Newest month, the row before it (itself if there is none) and the change in percent."""
+def month_over_month(monthly: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
+    """Newest month, the row before it (itself if there is none) and the change in percent.
+    ``extra`` columns are taken from the newest month."""
     backwards = Window.partitionBy("region").orderBy(F.col("month").desc())
     return (
         monthly.withColumns(
@@ -156,6 +159,7 @@ def month_over_month(monthly: DataFrame) -> DataFrame:
                 2,
             ).alias("month_over_month_change_pct"),
             "units_sold",
+            *extra,
         )
     )
 

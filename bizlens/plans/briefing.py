@@ -11,7 +11,7 @@ from bizlens.operators import customers, decisions, inventory, monthly
 from bizlens.operators.metrics import confidence_label
 from bizlens.operators.products import discontinue_candidates
 from bizlens.plans.business import SCENARIO_REGION, SENSITIVE_REGION, Business
-from bizlens.session import small_side
+from bizlens.session import pinned, small_side
 
 ALL = "ALL"
 
@@ -31,13 +31,13 @@ def tagged_questions(b: Business) -> DataFrame:
 
 def root_cause(features: DataFrame) -> DataFrame:
     """Newest month against the one before, with the outside signals of the month."""
-    change = monthly.month_over_month(features)
-    signals = monthly.latest_month(features).select(
-        "region",
-        rounded(F.col("competitor_price_index"), 1).alias("competitor_price_index"),
-        rounded(F.col("market_sentiment_score"), 3).alias("market_sentiment_score"),
+    return monthly.month_over_month(
+        features,
+        [
+            rounded(F.col("competitor_price_index"), 1).alias("competitor_price_index"),
+            rounded(F.col("market_sentiment_score"), 3).alias("market_sentiment_score"),
+        ],
     )
-    return change.join(signals, "region")
 
 
 def trend_list(features: DataFrame) -> DataFrame:
@@ -54,39 +54,28 @@ def trend_list(features: DataFrame) -> DataFrame:
 
 
 def pricing(latest: DataFrame) -> DataFrame:
-    base = decisions.region_price_base(latest, SENSITIVE_REGION)
-    facts = base.select(
-        "region", rounded(F.col("base_price"), 2).alias("current_avg_price"),
-        F.col("elasticity").alias("elasticity_assumption"),
+    """Current price, assumed elasticity and the best price change per region."""
+    base = decisions.region_price_base(latest, SENSITIVE_REGION).withColumns(
+        {
+            "current_avg_price": rounded(F.col("base_price"), 2),
+            "elasticity_assumption": F.col("elasticity"),
+        }
     )
-    return facts.join(decisions.best_price(base, ["region"]), "region")
+    return decisions.best_price(base, ["region", "current_avg_price", "elasticity_assumption"])
 
 
 def churn(scores: DataFrame, top: int = 10) -> DataFrame:
     """Per region and overall: the KPIs, the five bucket counts and the ten riskiest customers.
-    The riskiest are cut to ten per region inside the tasks before anything is shuffled."""
-    summary = customers.churn_summary(scores)
-    bucket = customers.bucket_of(F.col("churn_probability"))
-    counts = (
-        scores.rollup("region")
-        .agg(
-            *[
-                F.count_if(bucket == place).alias(f"bucket_{place}")
-                for place in range(1, len(customers.BUCKETS) + 1)
-            ]
-        )
-        .withColumn("region", F.coalesce("region", F.lit(ALL)))
-    )
+    The riskiest are cut to ten per region inside the tasks before anything is shuffled, and the
+    overall ten are taken from those."""
+    scores = pinned(scores)
     order = [F.col("churn_probability").desc(), F.col("customer_id")]
     mine = scores.withColumn(
         "_place", F.row_number().over(Window.partitionBy("region").orderBy(*order))
     ).filter(F.col("_place") <= top)
-    ours = customers.top_at_risk(scores, top).withColumns(
-        {
-            "region": F.lit(ALL),
-            "_place": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)),
-        }
-    )
+    ours = mine.withColumn("region", F.lit(ALL)).withColumn(
+        "_place", F.row_number().over(Window.partitionBy("region").orderBy(*order))
+    ).filter(F.col("_place") <= top)
     riskiest = (
         mine.unionByName(ours)
         .groupBy("region")
@@ -100,7 +89,7 @@ def churn(scores: DataFrame, top: int = 10) -> DataFrame:
             ).alias("top_at_risk_customers")
         )
     )
-    return summary.join(counts, "region").join(riskiest, "region")
+    return customers.churn_summary(scores, buckets=True).join(riskiest, "region")
 
 
 def supplier_mix(plan: DataFrame, share: float = decisions.SUPPLIER_SHARE, relax: bool = True):
@@ -140,6 +129,7 @@ def marketing_answers(b: Business) -> DataFrame:
 
 def kpi_rows(b: Business) -> DataFrame:
     """The figures of the briefing, one per row."""
+    b = b.settled()
     blocks = [
         ("revenue", root_cause(b.features).select(
             "region", "revenue", "month_over_month_change_pct", "competitor_price_index")),
@@ -173,6 +163,7 @@ ACTIONS = (
 def action_plan(b: Business) -> DataFrame:
     """Four prioritised rows per region, filled from the stock, pricing, churn and revenue
     analyses. The four are joined on region, then unfolded."""
+    b = b.settled()
     stock = inventory.stock_summary(b.plan).select("region", "items_at_risk", "units_to_order")
     joined = (
         root_cause(b.features).select("region", "month_over_month_change_pct", "revenue")
@@ -205,6 +196,7 @@ def action_plan(b: Business) -> DataFrame:
 
 def narrative(b: Business) -> DataFrame:
     """One sentence per region and answer type, written from the figures."""
+    b = b.settled()
     cause = root_cause(b.features).select(
         "region", F.lit("revenue_root_cause").alias("answer_type"),
         F.format_string(
@@ -316,6 +308,7 @@ def answers(b: Business) -> DataFrame:
     """One row per question: its type, region and JSON answer. Answers that depend on type and
     region alone come from the small payload table; budgets, scenarios and document questions are
     answered per question."""
+    b = b.settled()
     needs_region = F.col("answer_type").isin(
         "revenue_root_cause", "pricing_strategy", "supplier_selection", "executive_action_plan"
     )
@@ -335,7 +328,8 @@ def answers(b: Business) -> DataFrame:
     own = (
         _pack("marketing_budget_allocation", "question_id",
               _listed("question_id", marketing_answers(b), "marketing_allocation"))
-        .unionByName(_pack("scenario_simulation", "question_id", scenario_answers(b)))
+        .unionByName(_pack("scenario_simulation", "question_id",
+                           scenario_answers(b).withColumnRenamed("scenario", "question_id")))
         .unionByName(_pack(q.DEFAULT_TYPE, "question_id", passages))
         .select("question_id", F.col("answer").alias("_own"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bizlens.operators import customers, inventory, monthly, products
 from bizlens.operators.retrieval import TextIndex
+from bizlens.session import pinned
 from bizlens.sources import views
 from bizlens.sources.tables import table
 
@@ -26,6 +27,7 @@ class Business:
 
     spark: SparkSession
     path: str
+    shared: bool = False
 
     def base(self, name: str) -> DataFrame:
         return table(self.spark, self.path, name)
@@ -80,3 +82,13 @@ class Business:
     @cached_property
     def questions(self) -> DataFrame:
         return views.questions(self.spark, self.path)
+
+    def settled(self) -> "Business":
+        """The same tables, with those that several answers share computed once and kept in the
+        shared folder: a row per region and month, per customer, and per region and product."""
+        if not self.shared:
+            self.shared = True
+            for name in ("monthly", "features", "scores", "plan"):
+                setattr(self, name, pinned(getattr(self, name)))
+            self.__dict__.pop("latest", None)
+        return self

@@ -72,13 +72,13 @@ CHUNKS_OF = (
 def words(text: str) -> str:
     return (
         f"list_filter(regexp_extract_all(lower({text}), '{tx.TOKEN_PATTERN}'), "
-        f"w -> w NOT IN ({STOP}))"
+        f"lambda w: w NOT IN ({STOP}))"
     )
 
 
 PAIRS = (
     "list_concat(w, list_transform(range(1, greatest(len(w), 1)::BIGINT), "
-    "i -> w[i] || ' ' || w[i + 1]))"
+    "lambda i: w[i] || ' ' || w[i + 1]))"
 )
 GRID = values([(i, p) for i, p in enumerate(de.PRICE_CHANGES, 1)])
 
@@ -476,10 +476,12 @@ def check(name: str, sql: str) -> None:
 
     need(sql)
     head = ",\n".join(f"{part} AS ({PARTS[part]})" for part in wanted)
-    if sql.startswith("WITH "):
+    if not wanted:
+        CHECKS[name] = sql
+    elif sql.startswith("WITH "):
         CHECKS[name] = f"WITH {head},\n{sql[5:]}"
     else:
-        CHECKS[name] = f"WITH {head}\n{sql}" if wanted else sql
+        CHECKS[name] = f"WITH {head}\n{sql}"
 
 
 check("src_csv_roundtrip", "SELECT * FROM crm")
@@ -539,9 +541,9 @@ check("scorecard_attribution", "SELECT * FROM attribution")
 check("global_drivers", f"""SELECT feature, {rnd('''sum(abs(contribution)::DECIMAL(18,6))::DOUBLE
     / count(*)''', 6)} AS mean_abs_contribution FROM attribution GROUP BY feature
     ORDER BY mean_abs_contribution DESC, feature LIMIT 8""")
-check("customer_scores", """SELECT s.*, d.top_churn_drivers FROM scores s JOIN (
+check("customer_scores", f"""SELECT s.*, d.top_churn_drivers FROM scores s JOIN (
     SELECT customer_id, string_agg(printf('%s (%s%.2f)', feature,
-      CASE WHEN contribution > 0 THEN '+' ELSE '-' END, abs(contribution)), '; '
+      CASE WHEN contribution > 0 THEN '+' ELSE '-' END, {rnd("abs(contribution)", 2)}), '; '
       ORDER BY place) AS top_churn_drivers
     FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
             ORDER BY abs(contribution) DESC, feature) AS place FROM attribution)
@@ -704,7 +706,7 @@ check("evidence_sources", """SELECT query_id, string_agg(DISTINCT source, ', ' O
 check("vector_topk", f"""WITH element AS (
       SELECT label, pos, sum(floor(embedding[pos]::DOUBLE * 1e6 + 0.5)) / count(*) AS x
       FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings)))
-        AS pos) GROUP BY label, pos),
+        AS pos) AS places GROUP BY label, pos),
     centre AS (SELECT label::BIGINT AS query_id, list(x ORDER BY pos) AS e FROM element GROUP BY label)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
            vec_id, score

@@ -42,6 +42,20 @@ def table_of(columns, rows):
     return [columns[i] for i in order], sorted(body, key=repr)
 
 
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "date": "DATE", "float": "FLOAT"}
+
+
+def type_difference(df, con, sql: str) -> str:
+    """Columns whose type differs between the two engines."""
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return ", ".join(
+        f"{name} {kind}/{theirs.get(name)}"
+        for name, kind in df.dtypes
+        if theirs.get(name) != KINDS.get(kind, kind)
+    )
+
+
 def sql_result(con, sql: str):
     cursor = con.execute(sql)
     return table_of([d[0] for d in cursor.description], cursor.fetchall())
@@ -77,18 +91,21 @@ def main() -> None:
             continue
         begin = time.time()
         try:
-            ours = spark_result(build(spark, folder))
+            df = build(spark, folder)
+            ours = spark_result(df)
             took = time.time() - begin
             begin = time.time()
             verdict = difference(ours, sql_result(con, sql[name])) if name in sql else "rows only"
             sql_took = time.time() - begin
+            kinds = type_difference(df, con, sql[name]) if name in sql else ""
         except Exception as error:  # noqa: BLE001
             verdict, took, ours, sql_took = f"ERROR {str(error)[:600]}", 0.0, ([], []), 0.0
+            kinds = ""
         ok = verdict is None or verdict == "rows only"
         bad += not ok
         print(
             f"{'ok ' if ok else 'BAD'} {name:26s} {len(ours[1]):8d} rows {took:6.2f}s "
-            f"(sql {sql_took:.2f}s) {verdict or ''}",
+            f"(sql {sql_took:.2f}s) {verdict or ''} {kinds}",
             flush=True,
         )
     print("differences:", bad)
