@@ -22,34 +22,39 @@ def running_before(
     order: Sequence[Column],
     values: Mapping[str, str],
     by: Sequence[str] = (),
-    cut: str | None = None,
+    total: str | None = None,
+    cut: Column | None = None,
 ) -> DataFrame:
     """Add, for each ``output: input`` of ``values``, the sum of ``input`` over the earlier rows.
 
-    ``order`` must end in a unique key. ``cut`` names a column holding a per-group threshold for
-    the first output: slices that lie wholly on one side of it get the sum up to their start,
-    which is on the same side, and skip the sort. The output then decides correctly whether a row
-    lies before, at or behind the cut, and is exact in the slice that contains it.
+    ``order`` must end in a unique key. ``total`` names a column for the whole group's sum of the
+    first input. ``cut`` is a per-group threshold for the first output and may use ``total``:
+    slices that lie wholly on one side of it get the sum up to their start, which is on the same
+    side, and skip the sort. The output then decides correctly whether a row lies before, at or
+    behind the cut, and is exact in the slice that contains it.
     """
     by = list(by)
+    first = next(iter(values))
     slices = pinned(
         df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(
             SLICE, F.spark_partition_id()
         )
     )
-    totals = slices.groupBy(*by, SLICE).agg(
+    sums = slices.groupBy(*by, SLICE).agg(
         *[F.sum(src).alias(f"_total_{out}") for out, src in values.items()]
     )
-    earlier = (
-        Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = totals.withColumns(
-        {
-            f"_start_{out}": F.coalesce(F.sum(f"_total_{out}").over(earlier), F.lit(0))
-            for out in values
-        }
-    )
-    placed = slices.join(small_side(starts), [*by, SLICE])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    columns = {
+        f"_start_{out}": F.coalesce(F.sum(f"_total_{out}").over(earlier), F.lit(0))
+        for out in values
+    }
+    if total is not None:
+        columns[total] = F.sum(f"_total_{first}").over(group)
+    starts = sums.withColumns(columns)
+    # one row per slice, plus one for each group that ends inside a slice
+    starts = small_side(starts) if by else F.broadcast(starts)
+    placed = slices.join(starts, [*by, SLICE])
     inside = (
         Window.partitionBy(*by, SLICE)
         .orderBy(*order)
@@ -69,9 +74,8 @@ def running_before(
 
     if cut is None:
         return sorted_slices(placed)
-    first = next(iter(values))
     begins, ends = F.col(f"_start_{first}"), F.col(f"_start_{first}") + F.col(f"_total_{first}")
-    straddles = (begins < F.col(cut)) & (ends > F.col(cut))
+    straddles = (begins < cut) & (ends > cut)
     settled = (
         placed.filter(~straddles)
         .withColumns({out: F.col(f"_start_{out}") for out in values})
@@ -94,16 +98,15 @@ def exact_quantile(df: DataFrame, value: str, fraction: float, name: str) -> Dat
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    placed = running_before(counts, [F.col(value).asc()], {"_before": "_n"})
-    placed = pinned(placed)
-    size = placed.select(F.sum("_n")).scalar()
-    spot = (size - 1) * F.lit(float(fraction))
+    placed = running_before(
+        counts, [F.col(value).asc()], {"_before": "_n"}, total="_size"
+    ).withColumn("_spot", (F.col("_size") - 1) * F.lit(float(fraction)))
 
     def at(position: Column) -> Column:
         hit = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_n"))
         return F.max(F.when(hit, F.col(value)))
 
-    both = placed.withColumn("_spot", spot).agg(
+    both = placed.agg(
         at(F.floor("_spot")).alias("_low"),
         at(F.ceil("_spot")).alias("_high"),
         F.max("_spot").alias("_spot"),

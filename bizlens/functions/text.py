@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 # Characters per chunk and characters shared by neighbours.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 100
-# All Unicode white space and the four separators that text strip() also removes. Spelled out,
-# because \s means ASCII only in Java and RE2.
+# The characters that count as white space at the ends of a text.
 SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-STRIP_PATTERN = rf"\A{SPACE}+|{SPACE}+\z"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # A short English stop list; pass another list where a fuller one is wanted.
 STOP_WORDS = (
@@ -27,7 +25,7 @@ STOP_WORDS = (
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def clean(text: Column) -> Column:
@@ -96,3 +94,14 @@ def with_terms(
         .withColumn("terms", with_bigrams(F.col("_words")))
         .drop("_words")
     )
+
+
+def term_rows(
+    df: DataFrame, keep: Sequence[str], text: str = "text", stop_words: Sequence[str] = STOP_WORDS
+) -> DataFrame:
+    """One row per term occurrence. The outer form is used because for the plain one the optimizer
+    adds a filter on the array, which would cut the text into words a second time; the empty rows
+    it leaves have a NULL term and fall out at the next join or filter."""
+    return with_terms(df, text, stop_words).select(
+        *keep, F.explode_outer("terms").alias("term")
+    )

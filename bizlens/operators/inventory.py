@@ -85,7 +85,7 @@ def fund_orders(plan: DataFrame, budget: Column | float, by: list[str] | None =
         }
     )
     order = [F.col("_density").desc_nulls_first(), F.col("sku"), F.col("region")]
-    rows = running_before(rows, order, {"_spent": "_cost"}, by=by, cut="_budget")
+    rows = running_before(rows, order, {"_spent": "_cost"}, by=by, cut=F.col("_budget"))
     left = (F.col("_budget") - F.col("_spent")).cast("double")
     fraction = (
         F.when(F.col("recommended_order_qty") == 0, F.lit(0.0))

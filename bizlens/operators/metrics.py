@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.exact import exact_sum, ratio, rounded
 from bizlens.functions.ordered import running_before
-from bizlens.session import small_side
 
 
 def regression_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -86,20 +85,13 @@ def split_rows(
 ) -> DataFrame:
     """Mark exactly ``ceil(fraction * n)`` rows of each group as test rows, in the order of the
     key's hash. The same rows come out on every run and any cluster."""
-    group = list(by)
     rows = df.withColumns({"_hash": F.md5(F.col(key).cast("string")), "_one": F.lit(1)})
-    if group:
-        sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.join(small_side(sizes), group)
-    else:
-        rows = rows.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
-    share = F.lit(str(fraction)).cast("decimal(10,6)")
-    rows = rows.withColumn("_tests", F.ceil(F.col("_n") * share).cast("long"))
+    tests = F.ceil(F.col("_n") * F.lit(str(fraction)).cast("decimal(10,6)")).cast("long")
     order = [F.col("_hash"), F.col(key)]
     return (
-        running_before(rows, order, {"_place": "_one"}, by=group, cut="_tests")
-        .withColumn("is_test", (F.col("_place") < F.col("_tests")).cast("int"))
-        .drop("_hash", "_one", "_n", "_tests", "_place")
+        running_before(rows, order, {"_place": "_one"}, by=by, total="_n", cut=tests)
+        .withColumn("is_test", (F.col("_place") < tests).cast("int"))
+        .drop("_hash", "_one", "_n", "_place")
     )
 
 

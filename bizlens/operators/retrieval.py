@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bizlens.functions.exact import rounded
 from bizlens.functions.text import (
-    STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, with_terms,
+    STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, term_rows, with_terms,
 )
 from bizlens.session import pinned, small_side
 
@@ -26,114 +26,103 @@ VOCABULARY = 2048
 CHUNK = ["doc_id", "chunk_no"]
 
 
-def top_terms(chunks: DataFrame, size: int = VOCABULARY, stop_words=STOP_WORDS) -> DataFrame:
-    """The most frequent terms, ties by term. Counts are combined before the shuffle."""
+def vocabulary(
+    chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = STOP_WORDS
+) -> DataFrame:
+    """The most frequent terms, ties by term, with the number of chunks that hold each. Both
+    counts come from one pass and are combined before the shuffle."""
+    every = F.transform(
+        "terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("first"))
+    )
+    once = F.transform(
+        F.array_distinct("terms"),
+        lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("first")),
+    )
     return (
         with_terms(chunks, stop_words=stop_words)
-        .select(F.explode("terms").alias("term"))
+        .select(F.inline_outer(F.concat(every, once)))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("total"))
+        .agg(F.sum("n").alias("total"), F.sum("first").alias("df"))
         .orderBy(F.col("total").desc(), "term")
         .limit(size)
     )
 
 
-def term_counts(chunks: DataFrame, vocabulary: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
-    """Occurrences per chunk of the terms in the vocabulary (at most ``VOCABULARY`` rows, hence
-    broadcast), laid out by chunk."""
-    return (
-        with_terms(chunks, stop_words=stop_words)
-        .select(*CHUNK, F.explode("terms").alias("term"))
-        .join(F.broadcast(vocabulary.select("term")), "term")
-        .repartition(*CHUNK)
-        .groupBy(*CHUNK, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
-def with_document_frequency(vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return frequency.join(F.broadcast(vocabulary), "term")
-
-
 def total_chunks(docs: DataFrame) -> DataFrame:
     return docs.agg(F.sum(chunk_count(clean(F.col("text")))).alias("chunks"))
 
 
-def normalised(counts: DataFrame, idf: DataFrame, owner: Sequence[str]) -> DataFrame:
-    """tf times idf, scaled to unit length per owner."""
-    weighted = counts.join(F.broadcast(idf), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*owner)))
-    return weighted.select(
-        *owner, "term", "tf", (F.col("_w") / length).alias("weight")
+def unit_weights(
+    texts: DataFrame, owner: Sequence[str], idf: DataFrame, stop_words: Sequence[str] = STOP_WORDS
+) -> DataFrame:
+    """``owner, term, tf, weight``: tf times idf, scaled to unit length per owner. The vocabulary
+    has at most ``VOCABULARY`` rows, hence the broadcast. One shuffle, by owner, serves both the
+    count and the length."""
+    owner = list(owner)
+    counts = (
+        term_rows(texts, owner, stop_words=stop_words)
+        .join(F.broadcast(idf.select("term", "idf")), "term")
+        .repartition(*owner)
+        .groupBy(*owner, "term", "idf")
+        .agg(F.count(F.lit(1)).alias("tf"))
+        .withColumn("_w", F.col("tf") * F.col("idf"))
     )
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*owner)))
+    return counts.select(*owner, "term", "tf", (F.col("_w") / length).alias("weight"))
 
 
 @dataclass
 class TextIndex:
-    """A fitted corpus: documents, ``term, total, df, idf`` and ``doc_id, chunk_no, term, tf``."""
+    """A fitted corpus: the documents, ``term, total, df, idf``, and the postings
+    ``doc_id, chunk_no, term, tf, weight``."""
 
     docs: DataFrame
     vocabulary: DataFrame
-    counts: DataFrame
+    weights: DataFrame
     stop_words: Sequence[str] = tuple(STOP_WORDS)
 
     @classmethod
-    def build(
-        cls,
-        docs: DataFrame,
-        size: int = VOCABULARY,
-        stop_words: Sequence[str] = STOP_WORDS,
+    def fit(
+        cls, docs: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = STOP_WORDS
     ) -> "TextIndex":
+        """Fix the vocabulary; the postings stay lazy."""
         chunks = chunk_documents(docs)
-        vocabulary = pinned(top_terms(chunks, size, stop_words))
-        counts = pinned(term_counts(chunks, vocabulary, stop_words))
-        terms = with_document_frequency(vocabulary, counts).withColumn(
-            "idf",
-            F.log((F.lit(1.0) + total_chunks(docs).scalar()) / (F.lit(1.0) + F.col("df")))
-            + F.lit(1.0),
+        idf = F.log((F.lit(1.0) + F.col("_chunks")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+        terms = pinned(
+            vocabulary(chunks, size, stop_words)
+            .withColumn("_chunks", total_chunks(docs).scalar())
+            .withColumn("idf", idf)
+            .drop("_chunks")
         )
-        return cls(docs, pinned(terms), counts, tuple(stop_words))
+        return cls(docs, terms, unit_weights(chunks, CHUNK, terms, stop_words), tuple(stop_words))
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> "TextIndex":
+        """Write the index and return it as read back, so later queries scan the stored postings."""
         self.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        return self.load(self.docs, path, self.stop_words)
 
     @classmethod
-    def load(
-        cls, spark: SparkSession, path: str, docs: DataFrame, stop_words=STOP_WORDS
-    ) -> "TextIndex":
+    def load(cls, docs: DataFrame, path: str, stop_words=STOP_WORDS) -> "TextIndex":
+        spark = docs.sparkSession
         return cls(
             docs,
             spark.read.parquet(f"{path}/vocabulary"),
-            spark.read.parquet(f"{path}/counts").repartition(*CHUNK),
+            spark.read.parquet(f"{path}/weights"),
             tuple(stop_words),
         )
 
-    def weights(self) -> DataFrame:
-        return normalised(self.counts, self.vocabulary.select("term", "idf"), CHUNK)
-
-    def query_weights(self, queries: DataFrame) -> DataFrame:
-        """Unit vectors of the queries, in the vocabulary of the corpus."""
-        counts = (
-            with_terms(queries.select("query_id", "text"), stop_words=self.stop_words)
-            .select("query_id", F.explode("terms").alias("term"))
-            .groupBy("query_id", "term")
-            .agg(F.count(F.lit(1)).alias("tf"))
-        )
-        return normalised(counts, self.vocabulary.select("term", "idf"), ["query_id"])
-
     def retrieve(self, queries: DataFrame, k: int = 4) -> DataFrame:
         """The ``k`` best chunks of every query by inner product, ties by chunk. Hits share at
         least one term with the query, so their score is above zero."""
-        wanted = self.query_weights(queries).select(
+        wanted = unit_weights(queries, ["query_id"], self.vocabulary, self.stop_words).select(
             "query_id", "term", F.col("weight").alias("_query_weight")
         )
         score = rounded(F.sum(F.col("weight") * F.col("_query_weight")), 6)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *CHUNK)
         return (
-            self.weights()
-            .join(small_side(wanted), "term")
+            self.weights.join(small_side(wanted), "term")
             .groupBy(*CHUNK, "query_id")
             .agg(score.alias("score"))
             .withColumn("rank", F.row_number().over(best))

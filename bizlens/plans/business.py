@@ -77,7 +77,7 @@ class Business:
 
     @cached_property
     def index(self) -> TextIndex:
-        return TextIndex.build(self.base("documents"))
+        return TextIndex.fit(self.base("documents"))
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -564,7 +564,7 @@ def _(b):
 
 @query("tfidf_weights")
 def _(b):
-    return b.index.weights().select(
+    return b.index.weights.select(
         "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "term", "tf",
         rounded(F.col("weight"), 6).alias("weight"),
     )

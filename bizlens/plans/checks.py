@@ -60,8 +60,7 @@ TERMS = {
 LOGIT = "-1.6::DOUBLE" + "".join(f" + {cu.WEIGHTS[n]}::DOUBLE * ({t})" for n, t in TERMS.items())
 STOP = ", ".join(quoted(w) for w in tx.STOP_WORDS)
 CLEAN = (
-    f"regexp_replace(regexp_replace(text, '{tx.STRIP_PATTERN}', '', 'g'), '\\n{{2,}}', "
-    "chr(10) || chr(10), 'g')"
+    f"regexp_replace(trim(text, '{tx.SPACE}'), '\\n{{2,}}', chr(10) || chr(10), 'g')"
 )
 CHUNKS_OF = (
     "CASE WHEN length(c) = 0 THEN 0 WHEN length(c) <= 500 THEN 1 "
@@ -699,7 +698,7 @@ check("tfidf_weights",
       f"SELECT doc_id, chunk_no, term, tf, {rnd('weight', 6)} AS weight FROM weights")
 check("retrieve_topk", "SELECT * FROM hits")
 check("evidence", f"""SELECT query_id, rank, source,
-    regexp_replace(substring(text, 1, 300), '{tx.STRIP_PATTERN}', '', 'g') AS excerpt,
+    trim(substring(text, 1, 300), '{tx.SPACE}') AS excerpt,
     {rnd("score", 3)} AS relevance_score FROM hit_text""")
 check("evidence_sources", """SELECT query_id, string_agg(DISTINCT source, ', ' ORDER BY source)
     AS sources FROM hit_text GROUP BY query_id""")
