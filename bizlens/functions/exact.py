@@ -19,6 +19,13 @@ def exact_sum(value: Column, scale: int = 4) -> Column:
     return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
 
 
+def line_avg(value: Column, scale: int) -> Column:
+    """Mean of a double column over raw rows, exact to ``scale`` places. Each value is scaled to a
+    whole number first, which is far cheaper per row than a cast from double to decimal."""
+    whole = F.rint(value * F.lit(float(10**scale))).cast("long").cast("decimal(18,0)")
+    return F.sum(whole).cast("double") / F.lit(float(10**scale)) / F.count(value)
+
+
 def exact_avg(value: Column, scale: int = 4) -> Column:
     return exact_sum(value, scale) / F.count(value)
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.exact import exact_avg, exact_sum, ratio, rounded
+from bizlens.functions.exact import exact_avg, exact_sum, line_avg, ratio, rounded
 from bizlens.sources.views import OTHER_OPEX_SHARE
 
 
@@ -27,7 +27,7 @@ def monthly_sales(sales: DataFrame, spend: bool = False) -> DataFrame:
         exact_sum(F.col("revenue")).alias("revenue"),
         F.sum("units_sold").alias("units_sold"),
         exact_sum(F.col("cogs")).alias("cogs"),
-        rounded(exact_avg(F.col("unit_price"), 8), 6).alias("avg_unit_price"),
+        rounded(line_avg(F.col("unit_price"), 8), 6).alias("avg_unit_price"),
         *extra,
     )
 

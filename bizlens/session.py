@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -55,3 +56,11 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a join side only after counting it; past the limit Spark joins by shuffle."""
     fixed = pinned(df)
     return F.broadcast(fixed) if fixed.count() <= limit else fixed
+
+
+def light_side(df: DataFrame, base: DataFrame) -> DataFrame:
+    """Broadcast ``df``, which has at most the rows of the stored table ``base``, if the files of
+    ``base`` are small; past that Spark joins by shuffle. Without the check Spark takes a join of
+    two small tables for a large one and may build its hash table from the fact table instead."""
+    planned = base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(planned)) <= BROADCAST_BYTES else df
