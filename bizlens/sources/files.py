@@ -40,9 +40,8 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
 def read_text_folder(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """One row per file: its name as ``source`` and as ``doc_id``, and the whole text."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(folder)
+        spark.read.option("pathGlobFilter", pattern)
+        .text(folder, wholetext=True)
         .select(
             F.col("_metadata.file_name").alias("doc_id"),
             F.col("_metadata.file_name").alias("source"),
