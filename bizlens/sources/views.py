@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizlens.functions.exact import flag, line_avg, rounded
+from bizlens.functions.exact import exact_avg, exact_sum, flag, rounded
 from bizlens.functions.questions import SAMPLE_QUESTIONS
 from bizlens.session import light_side
 from bizlens.sources.tables import table
@@ -31,19 +31,20 @@ def _pick(key: Column, options) -> Column:
 
 
 def line_measures(lines: DataFrame) -> DataFrame:
-    """Per-line money columns as exact decimals, plus the keys needed for joins."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
+    """Per-line money columns plus the keys needed for joins. Prices are whole cents and rates
+    whole percents, so the products are exact in integers and are divided once."""
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
+    discount = F.rint(F.col("l_discount") * 100).cast("long")
+    tax = F.rint(F.col("l_tax") * 100).cast("long")
     return lines.select(
         "l_orderkey",
         F.col("l_partkey").alias("sku"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_quantity").cast("long").alias("units_sold"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        (price * (1 - discount)).cast("decimal(18,4)").alias("revenue"),
-        (price * (F.lit("0.55").cast("decimal(3,2)") + tax)).cast("decimal(18,4)").alias("cogs"),
-        (price * tax).cast("decimal(18,4)").alias("spend"),
+        (cents * (100 - discount) / F.lit(1e4)).alias("revenue"),
+        (cents * (55 + tax) / F.lit(1e4)).alias("cogs"),
+        (cents * tax / F.lit(1e4)).alias("spend"),
     )
 
 
@@ -119,7 +120,7 @@ def signal_daily(spark: SparkSession, path: str) -> DataFrame:
         order_regions(spark, path)
         .groupBy(F.col("o_orderdate").cast("date").alias("date"), "region")
         .agg(
-            rounded(line_avg(F.col("o_totalprice"), 4) / F.lit(10000.0), 4).alias("avg_temp_c"),
+            rounded(exact_avg(F.col("o_totalprice")) / F.lit(10000.0), 4).alias("avg_temp_c"),
             F.count(F.lit(1)).cast("double").alias("precipitation_mm"),
         )
     )
@@ -135,11 +136,12 @@ def price_index(spark: SparkSession, path: str) -> DataFrame:
         .select("sku", F.trunc("date", "month").alias("month"), "revenue", "units_sold")
         .join(category, "sku")
         .groupBy("month", "category")
-        .agg(F.sum("revenue").alias("_revenue"), F.sum("units_sold").alias("_units"))
+        .agg(exact_sum(F.col("revenue")).alias("_revenue"), F.sum("units_sold").alias("_units"))
     )
     ever = Window.partitionBy("category")
-    here = F.col("_revenue").cast("double") / F.col("_units")
-    mean = F.sum("_revenue").over(ever).cast("double") / F.sum("_units").over(ever)
+    here = F.col("_revenue") / F.col("_units")
+    total = F.sum(F.col("_revenue").cast("decimal(28,4)")).over(ever).cast("double")
+    mean = total / F.sum("_units").over(ever)
     return monthly.select(
         "month", "category", rounded(F.lit(100.0) * here / mean, 4).alias("competitor_price_index")
     )
@@ -178,7 +180,7 @@ def crm(spark: SparkSession, path: str) -> DataFrame:
             F.max(day).alias("last_order"),
             F.sum(flag(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")))
             .alias("support_tickets_last_year"),
-            rounded(line_avg(F.col("o_totalprice"), 4), 2).alias("avg_order_value"),
+            rounded(exact_avg(F.col("o_totalprice")), 2).alias("avg_order_value"),
             F.sum(flag(recent)).alias("orders_last_year"),
             F.sum(flag(recent & (F.col("o_orderstatus") == "P")))
             .alias("late_payments_last_year"),
