@@ -67,8 +67,26 @@ def chunk_documents(
     numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    pieces = F.transform(numbers, lambda n: chunk_at(F.col("_clean"), n, size, overlap))
-    return cleaned.select("doc_id", "source", F.posexplode(pieces).alias("chunk_no", "text"))
+    step = size - overlap
+    if overlap <= step:
+        # cutting the text once into steps keeps a long text linear; a chunk is a step and the
+        # beginning of the next one
+        cut = cleaned.withColumn(
+            "_steps", F.regexp_extract_all("_clean", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        )
+        pieces = F.transform(
+            numbers,
+            lambda n: F.concat(
+                F.get("_steps", n),
+                F.substring(F.coalesce(F.get("_steps", n + 1), F.lit("")), 1, overlap),
+            ),
+        )
+    else:
+        cut = cleaned
+        pieces = F.transform(numbers, lambda n: chunk_at(F.col("_clean"), n, size, overlap))
+    return cut.select("doc_id", "source", F.posexplode_outer(pieces).alias("chunk_no", "text")).filter(
+        F.col("chunk_no").isNotNull()
+    )
 
 
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

@@ -34,12 +34,14 @@ def tree_nodes(model: FittedModel, spark) -> pd.DataFrame:
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), "nodeData.*"
     )
+    if nodes.count() > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} tree nodes")
     return nodes.select(
         "tree", "id", "prediction", "leftChild", "rightChild",
         F.col("rawCount").cast("double").alias("cover"),
         F.col("split.featureIndex").alias("feature"),
         F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).limit(MAX_NODES).toPandas()
+    ).toPandas()
 
 
 def leaf_paths(nodes: pd.DataFrame, weights: list[float]):

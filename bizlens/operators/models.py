@@ -115,9 +115,12 @@ def fit(
     return FittedModel(model, tuple(numeric), categories, classifier)
 
 
-def category_values(df: DataFrame, column: str) -> list[str]:
-    """The category list, fixed at fit time. Regions and segments are short lists."""
-    return [r[0] for r in df.select(column).distinct().orderBy(column).limit(1000).collect()]
+def category_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The category list, fixed at fit time. A column with too many values is no category."""
+    found = df.select(column).distinct().orderBy(column).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return [row[0] for row in found]
 
 
 def holdout_by_time(features: DataFrame, months: int = 12) -> DataFrame:

@@ -1,28 +1,32 @@
 """TF-IDF postings and exact top-k retrieval over a document table.
 
-Chunks never meet queries row by row: a query reaches only the chunks that share a term with it,
-through the postings. Postings are laid out by chunk, so scoring a chunk against all queries needs
-no further shuffle, and only the local best ``k`` per query travel.
+Chunks and queries are never joined. Postings are laid out by chunk in one shuffle; each task then
+multiplies its chunks by a bounded block of queries and keeps the best ``k`` per query, so a task
+emits queries times ``k`` rows, whatever the number of chunks and however common a term is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.exact import rounded
 from bizlens.functions.text import (
     STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, term_rows, with_terms,
 )
-from bizlens.session import pinned, small_side
+from bizlens.session import pinned
 
 # Fixed value: size of the vocabulary.
 VOCABULARY = 2048
+# Rows of a block: queries per pass over the chunks, chunks per matrix product.
+QUERY_BLOCK = 1024
+SLICE_ROWS = 1024
 CHUNK = ["doc_id", "chunk_no"]
 
 
@@ -46,6 +50,7 @@ def vocabulary(
         .agg(F.sum("n").alias("total"), F.sum("first").alias("df"))
         .orderBy(F.col("total").desc(), "term")
         .limit(size)
+        .withColumn("term_no", F.row_number().over(Window.orderBy(F.col("total").desc(), "term")) - 1)
     )
 
 
@@ -54,28 +59,104 @@ def total_chunks(docs: DataFrame) -> DataFrame:
 
 
 def unit_weights(
-    texts: DataFrame, owner: Sequence[str], idf: DataFrame, stop_words: Sequence[str] = STOP_WORDS
+    texts: DataFrame, owner: Sequence[str], terms: DataFrame, stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """``owner, term, tf, weight``: tf times idf, scaled to unit length per owner. The vocabulary
-    has at most ``VOCABULARY`` rows, hence the broadcast. One shuffle, by owner, serves both the
-    count and the length."""
+    """``owner, term, term_no, tf, weight``: tf times idf, scaled to unit length per owner. The
+    vocabulary has at most ``VOCABULARY`` rows, hence the broadcast. One shuffle, by owner, serves
+    both the count and the length."""
     owner = list(owner)
     counts = (
         term_rows(texts, owner, stop_words=stop_words)
-        .join(F.broadcast(idf.select("term", "idf")), "term")
+        .join(F.broadcast(terms.select("term", "term_no", "idf")), "term")
         .repartition(*owner)
-        .groupBy(*owner, "term", "idf")
+        .groupBy(*owner, "term", "term_no", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("_w", F.col("tf") * F.col("idf"))
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*owner)))
-    return counts.select(*owner, "term", "tf", (F.col("_w") / length).alias("weight"))
+    return counts.select(*owner, "term", "term_no", "tf", (F.col("_w") / length).alias("weight"))
+
+
+def dense(frame: pd.DataFrame, width: int) -> np.ndarray:
+    """Rows of (term_nos, weights) as one matrix."""
+    matrix = np.zeros((len(frame), width))
+    if len(frame):
+        sizes = frame["term_nos"].map(len).to_numpy()
+        rows = np.repeat(np.arange(len(frame)), sizes)
+        matrix[rows, np.concatenate(frame["term_nos"].to_numpy())] = np.concatenate(
+            frame["weights"].to_numpy()
+        )
+    return matrix
+
+
+def as_vectors(weights: DataFrame, owner: Sequence[str]) -> DataFrame:
+    """One row per owner; a chunk of 500 characters has a short list of terms."""
+    return weights.groupBy(*owner).agg(
+        F.collect_list(F.struct("term_no", "weight")).alias("_v")
+    ).select(*owner, F.col("_v.term_no").alias("term_nos"), F.col("_v.weight").alias("weights"))
+
+
+def nearest(
+    rows: DataFrame,
+    keys: Sequence[str],
+    to_matrix: Callable[[pd.DataFrame], np.ndarray],
+    ids: Sequence,
+    targets: np.ndarray,
+    k: int,
+    id_type: str,
+    positive: bool,
+) -> DataFrame:
+    """Within each task, the ``k`` best rows of every target by inner product, ties by key."""
+    keys = list(keys)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    order = ["query", "score", *keys]
+    upward = [True, False] + [True] * len(keys)
+
+    def best(frames):
+        kept = None
+        floor = np.full(len(ids), 1e-6 if positive else -np.inf)
+        for batch in frames:
+            for start in range(0, len(batch), SLICE_ROWS):
+                frame = batch.iloc[start : start + SLICE_ROWS]
+                scores = np.round(to_matrix(frame) @ targets.T, 6)
+                row, query = np.nonzero(scores >= floor)
+                found = frame[keys].iloc[row].reset_index(drop=True)
+                found["query"], found["score"] = query, scores[row, query]
+                kept = found if kept is None else pd.concat([kept, found])
+                kept = kept.sort_values(order, ascending=upward).groupby("query").head(k)
+                full = kept.groupby("query")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if kept is not None and len(kept):
+            out = kept[[*keys, "score"]].copy()
+            out.insert(0, "query_id", [ids[q] for q in kept["query"]])
+            yield out
+
+    return rows.mapInPandas(best, f"query_id {id_type}, {kinds}, score double")
+
+
+def blocks_of(queries: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Queries pinned and numbered into blocks of about ``block`` rows."""
+    fixed = pinned(queries)
+    blocks = max(1, -(-fixed.count() // block))
+    return fixed.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), blocks
+
+
+def ranked(found: list[DataFrame], keys: Sequence[str], k: int) -> DataFrame:
+    """The best ``k`` over all tasks."""
+    rows = reduce(DataFrame.unionByName, found)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *keys)
+    return (
+        rows.withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= k)
+        .select("query_id", "rank", *keys, "score")
+    )
 
 
 @dataclass
 class TextIndex:
-    """A fitted corpus: the documents, ``term, total, df, idf``, and the postings
-    ``doc_id, chunk_no, term, tf, weight``."""
+    """A fitted corpus: the documents, ``term, term_no, total, df, idf``, and the postings
+    ``doc_id, chunk_no, term, term_no, tf, weight``."""
 
     docs: DataFrame
     vocabulary: DataFrame
@@ -109,26 +190,29 @@ class TextIndex:
         return cls(
             docs,
             spark.read.parquet(f"{path}/vocabulary"),
-            spark.read.parquet(f"{path}/weights"),
+            spark.read.parquet(f"{path}/weights").repartition(*CHUNK),
             tuple(stop_words),
         )
 
-    def retrieve(self, queries: DataFrame, k: int = 4) -> DataFrame:
+    def retrieve(self, queries: DataFrame, k: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
         """The ``k`` best chunks of every query by inner product, ties by chunk. Hits share at
         least one term with the query, so their score is above zero."""
-        wanted = unit_weights(queries, ["query_id"], self.vocabulary, self.stop_words).select(
-            "query_id", "term", F.col("weight").alias("_query_weight")
-        )
-        score = rounded(F.sum(F.col("weight") * F.col("_query_weight")), 6)
-        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *CHUNK)
-        return (
-            self.weights.join(small_side(wanted), "term")
-            .groupBy(*CHUNK, "query_id")
-            .agg(score.alias("score"))
-            .withColumn("rank", F.row_number().over(best))
-            .filter(F.col("rank") <= k)
-            .select("query_id", "rank", *CHUNK, "score")
-        )
+        weights = unit_weights(queries, ["query_id"], self.vocabulary, self.stop_words)
+        asked, blocks = blocks_of(as_vectors(weights, ["query_id"]), block)
+        width = self.vocabulary.count()
+        chunks = as_vectors(self.weights, CHUNK)
+        if blocks > 1:
+            chunks = pinned(chunks)
+        found = []
+        for number in range(blocks):
+            rows = asked.filter(F.col("_block") == number).toPandas()
+            found.append(
+                nearest(
+                    chunks, CHUNK, partial(dense, width=width), list(rows["query_id"]),
+                    dense(rows, width), k, queries.schema["query_id"].dataType.simpleString(), True,
+                )
+            )
+        return ranked(found, CHUNK, k)
 
     def with_text(self, hits: DataFrame) -> DataFrame:
         """Look up source and text of the hits; only their documents are cut again."""
@@ -151,74 +235,34 @@ class TextIndex:
         )
 
 
-def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = 4, block: int = 4096
-) -> DataFrame:
-    """The ``k`` nearest vectors of every query by cosine, ties by id.
-
-    ``vectors``: ``vec_id, embedding``; ``queries``: ``query_id, embedding``. Queries are taken in
-    blocks of bounded size; each task multiplies its batches by the block and keeps its best ``k``
-    per query, so a task emits queries times ``k`` rows and no pair is ever shuffled.
-    """
-    spark = vectors.sparkSession
-    numbered = pinned(queries.select("query_id", "embedding"))
-    blocks = max(1, -(-numbered.count() // block))
-    parts = numbered.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    schema = f"query_id {numbered.schema['query_id'].dataType.simpleString()}, vec_id long, score double"
-
-    def nearest(ids: list, matrix: np.ndarray):
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def best(frames):
-            kept = pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype(
-                {"query": "int64", "vec_id": "int64", "score": "float64"}
-            )
-            for frame in frames:
-                if frame.empty:
-                    continue
-                rows = np.vstack(frame["embedding"].to_numpy()).astype(np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                scores = np.round(rows @ unit.T, 6)
-                batch = pd.DataFrame(
-                    {
-                        "query": np.tile(np.arange(len(ids)), len(frame)),
-                        "vec_id": np.repeat(frame["vec_id"].to_numpy(), len(ids)),
-                        "score": scores.ravel(),
-                    }
-                )
-                kept = (
-                    pd.concat([kept, batch])
-                    .sort_values(["query", "score", "vec_id"], ascending=[True, False, True])
-                    .groupby("query")
-                    .head(k)
-                )
-            if len(kept):
-                yield pd.DataFrame(
-                    {
-                        "query_id": [ids[q] for q in kept["query"]],
-                        "vec_id": kept["vec_id"].to_numpy(),
-                        "score": kept["score"].to_numpy(),
-                    }
-                )
+def unit_rows(frame: pd.DataFrame) -> np.ndarray:
+    """Dense vectors of a batch, scaled to unit length."""
+    rows = np.vstack(frame["embedding"].to_numpy()).astype(np.float64)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
-        return best
 
-    found = None
+def vector_topk(
+    vectors: DataFrame, queries: DataFrame, k: int = 4, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """The ``k`` nearest vectors of every query by cosine, ties by id. ``vectors``: ``vec_id,
+    embedding``; ``queries``: ``query_id, embedding``."""
+    asked, blocks = blocks_of(queries.select("query_id", "embedding"), block)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    found = []
     for number in range(blocks):
-        rows = parts.filter(F.col("_block") == number).toPandas()
-        if rows.empty:
-            continue
-        job = nearest(list(rows["query_id"]), np.vstack(rows["embedding"].to_numpy()))
-        local = vectors.select("vec_id", "embedding").mapInPandas(job, schema)
-        found = local if found is None else found.unionByName(local)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        rows = asked.filter(F.col("_block") == number).toPandas()
+        if len(rows):
+            found.append(
+                nearest(
+                    vectors.select("vec_id", "embedding"), ["vec_id"], unit_rows,
+                    list(rows["query_id"]), unit_rows(rows), k, kind, False,
+                )
+            )
+    if not found:
+        return vectors.sparkSession.createDataFrame(
+            [], f"query_id {kind}, rank int, vec_id long, score double"
+        )
+    return ranked(found, ["vec_id"], k)
 
 
 def label_centroids(vectors: DataFrame) -> DataFrame:
