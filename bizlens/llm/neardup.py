@@ -6,8 +6,8 @@ documents; frequencies are counted in a hashed table of fixed size, so the table
 the tasks never grows. Consistent weighted samples (Ioffe) are cut into ``BANDS`` bands; texts
 that share a band meet in a bucket, and weighted Jaccard similarity of the whole sets decides.
 
-No bucket is expanded into all its pairs. First every text is compared with the smallest text of its
-buckets only. What that links is one component; afterwards a bucket matters only if it holds several
+No bucket is expanded into all its pairs. First every text is compared with the best-connected text
+of its buckets only. What that links is one component; afterwards a bucket matters only if it holds several
 components. Such a bucket is worked off round by round: texts outside its largest component are
 compared, as pivots, with the members of other components, more pivots each round, until
 no untested pair of different components is left. So no link between different classes is lost.
@@ -51,7 +51,7 @@ DF_PARTS = 64
 POOL_BITS = 16
 GRID = 16  # weight levels per unit of the natural logarithm
 LEVELS = 64
-PIVOTS = 16
+PIVOTS = 64
 PLAIN = np.isin(np.arange(256), list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256)))
 
 
@@ -301,11 +301,13 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         "signatures",
     )
     members = buckets(signs)
-    smallest = members.groupBy("bucket").agg(F.min("node").alias("v"))
-    # one edge per text: to the smallest text of any of its buckets
+    # one edge per text: to the best-connected text of any of its buckets
+    centre = F.struct("degree", "node")
+    centres = settled(members.groupBy("bucket").agg(F.max(centre).alias("centre")), "centres")
     first = (
-        members.join(smallest, "bucket").groupBy(F.col("node").alias("u"))
-        .agg(F.min("v").alias("v"), F.first("weight").alias("wu")).where("u <> v")
+        members.join(centres, "bucket").groupBy("node").agg(F.max("centre").alias("best"))
+        .select(F.greatest("node", "best.node").alias("u"), F.least("node", "best.node").alias("v"))
+        .where("u <> v").distinct()
     )
     needed = members.select("node").distinct()
     contents = texts.groupBy("node").agg(F.first("text").alias("text"))
@@ -329,23 +331,28 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         )
         fresh = settled(compared(settled(pairs, "pairs"), sets), "similarities")
         all_tested.append(fresh.select("u", "v"))
-        all_links.append(fresh.where(F.col("similarity") >= threshold).select("u", "v"))
-        labels = components(reduce(DataFrame.union, all_links))
+        linked = fresh.where(F.col("similarity") >= threshold).select("u", "v")
+        if not linked.isEmpty():
+            all_links.append(linked)
+            labels = components(reduce(DataFrame.union, all_links))
         done = settled(done.union(chosen.select("bucket", "node")), "pivots")
-        pivots *= 2
+        pivots *= 8
     named = signs.select("doc_id", "node").join(labels, "node", "left")
     return named.select("doc_id", "node", F.coalesce("component", "node").alias("component"))
 
 
 def buckets(signs: DataFrame) -> DataFrame:
-    """(bucket, node, weight) of the buckets that hold more than one text."""
+    """(bucket, node, weight, degree) of the buckets that hold more than one text; the degree of a
+    text is how many texts its buckets hold, which is largest in the middle of a group."""
     nodes = signs.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     spread = nodes.select("node", "weight", F.posexplode("bands").alias("band", "hash")).select(
         F.xxhash64("band", "hash").alias("bucket"), "node", "weight"
     )
     spread = settled(spread, "bands")
-    full = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    return settled(spread.join(full, "bucket"), "buckets")
+    full = settled(spread.groupBy("bucket").count().where("count > 1"), "bucket-sizes")
+    kept = settled(spread.join(full, "bucket"), "bucket-members")
+    degrees = settled(kept.groupBy("node").agg(F.sum("count").alias("degree")), "degrees")
+    return settled(kept.drop("count").join(degrees, "node"), "buckets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
