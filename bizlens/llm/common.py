@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,15 @@ def process_cache() -> dict:
     return sys.__dict__.setdefault("_llm_cache", {})
 
 
+def held_model(key: object, build: Callable[[], object]) -> object:
+    """The one large model that a worker process keeps; the last one goes before the next is built."""
+    kept = process_cache()
+    if kept.get("model_key") != key:
+        kept.pop("model", None)
+        kept["model"], kept["model_key"] = build(), key
+    return kept["model"]
+
+
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and the n + 1 offsets; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import fold, process_cache, small_batches, table
+from bizlens.llm.common import fold, held_model, small_batches, table
 
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 40_000
 STRETCH = 256
 SYMBOLS = 63  # letters told apart; 0 is the gap between words
 UNDECIDED = "und"
@@ -81,10 +81,11 @@ class Model:
         tables, roots, base = [], [], 0
         for name in self.languages:
             states = automaton(self.coded(parts[name]), self.width)
-            tables.append(np.where(states >= 0, states + base, -1))
+            states[states >= 0] += base
+            tables.append(states)
             roots.append(base)
             base += len(states)
-        self.next = np.concatenate(tables).astype(np.int32).reshape(-1)
+        self.next = np.concatenate(tables).reshape(-1)
         self.roots = np.array(roots, np.int32)
         self.lookup = np.zeros(0x110000, np.uint8)
 
@@ -126,7 +127,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[new] = clone
         last = new
-    dense = np.full((len(nexts), width), -1, np.int64)
+    dense = np.full((len(nexts), width), -1, np.int32)
     for state, out in enumerate(nexts):
         for c, to in out.items():
             dense[state, c] = to
@@ -135,11 +136,7 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
 
 def model_of(sample: dict[str, str]) -> Model:
     """The automata, built once per worker process."""
-    kept = process_cache()
-    key = ("language", tuple(sample.items()))
-    if kept.get("language_key") != key:
-        kept["language"], kept["language_key"] = Model(sample), key
-    return kept["language"]
+    return held_model(("language", *sample.items()), lambda: Model(sample))
 
 
 def phrase_counts(codes: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from bizlens.llm.common import (
     Hashes,
+    held_model,
     joined,
     mixed,
-    process_cache,
     runs,
     settled,
     slices,
@@ -147,17 +147,18 @@ def levels(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def ranks() -> np.ndarray:
     """For each weight level and each entry of a fixed pool of (r, c, beta): the rank of ln a, in
     the high half of a 64-bit number. Equal (entry, t) have equal ranks, as the sampling needs."""
-    kept = process_cache()
-    if "neardup" not in kept:
-        rng = np.random.default_rng(20240229)
-        size = 1 << POOL_BITS
-        r, c = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size)
-        beta = rng.random(size)
-        t = np.floor(np.arange(LEVELS)[:, None] / GRID / r + beta)
-        log_a = np.log(c) - r * (t - beta) - r
-        _, rank = np.unique(log_a, return_inverse=True)
-        kept["neardup"] = (rank.reshape(-1).astype(np.uint64)) << np.uint64(32)
-    return kept["neardup"]
+    return held_model("sampling", drawn)
+
+
+def drawn() -> np.ndarray:
+    rng = np.random.default_rng(20240229)
+    size = 1 << POOL_BITS
+    r, c = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size)
+    beta = rng.random(size)
+    t = np.floor(np.arange(LEVELS)[:, None] / GRID / r + beta)
+    log_a = np.log(c) - r * (t - beta) - r
+    _, rank = np.unique(log_a, return_inverse=True)
+    return rank.reshape(-1).astype(np.uint64) << np.uint64(32)
 
 
 def factors() -> np.ndarray:
