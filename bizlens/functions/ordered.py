@@ -41,7 +41,7 @@ def running_before(
         )
     )
     sums = slices.groupBy(*by, SLICE).agg(
-        *[F.sum(src).alias(f"_total_{out}") for out, src in values.items()]
+        *[F.coalesce(F.sum(src), F.lit(0)).alias(f"_total_{out}") for out, src in values.items()]
     )
     group = Window.partitionBy(*by)
     earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +54,12 @@ def running_before(
     starts = sums.withColumns(columns)
     # one row per slice, plus one for each group that ends inside a slice
     starts = small_side(starts) if by else F.broadcast(starts)
-    placed = slices.join(starts, [*by, SLICE])
+    # groups may be NULL, so they are matched null-safely
+    starts = starts.withColumnsRenamed({c: f"_of_{c}" for c in [*by, SLICE]})
+    same = F.col(SLICE) == F.col(f"_of_{SLICE}")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    placed = slices.join(starts, same).drop(*[f"_of_{c}" for c in [*by, SLICE]])
     inside = (
         Window.partitionBy(*by, SLICE)
         .orderBy(*order)
@@ -75,7 +80,7 @@ def running_before(
     if cut is None:
         return sorted_slices(placed)
     begins, ends = F.col(f"_start_{first}"), F.col(f"_start_{first}") + F.col(f"_total_{first}")
-    straddles = (begins < cut) & (ends > cut)
+    straddles = F.coalesce((begins < cut) & (ends > cut), F.lit(True))
     settled = (
         placed.filter(~straddles)
         .withColumns({out: F.col(f"_start_{out}") for out in values})
@@ -85,12 +90,12 @@ def running_before(
 
 
 def average_rank(df: DataFrame, value: str, rank: str) -> DataFrame:
-    """Descending rank; equal values share the mean of the places they take."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    """Descending rank; equal values share the mean of the places they take. A NULL has no rank."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running_before(counts, [F.col(value).desc()], {"_before": "_n"}).select(
         value, (F.col("_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(rank)
     )
-    return df.join(ranks, value)
+    return df.join(ranks, value, "left")
 
 
 def exact_quantile(df: DataFrame, value: str, fraction: float, name: str) -> DataFrame:

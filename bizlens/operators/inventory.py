@@ -70,7 +70,8 @@ def fund_orders(plan: DataFrame, budget: Column | float, by: list[str] | None =
     """Spend each group's budget where a unit of money moves the most weighted units.
 
     The quantities may be split, so filling in order of weighted units per cost is optimal. Rows
-    are never gathered per group: see ``running_before``.
+    are never gathered per group: see ``running_before``. A row without a cost takes none of the
+    budget and, like every row without a budget, has no fraction.
     """
     by = ["region"] if by is None else by
     weight = F.lit(1) + F.lit(RISK_WEIGHT) * F.col("stockout_risk")
@@ -87,10 +88,11 @@ def fund_orders(plan: DataFrame, budget: Column | float, by: list[str] | None =
     order = [F.col("_density").desc_nulls_first(), F.col("sku"), F.col("region")]
     rows = running_before(rows, order, {"_spent": "_cost"}, by=by, cut=F.col("_budget"))
     left = (F.col("_budget") - F.col("_spent")).cast("double")
+    share = ratio(left, F.col("order_cost_total"))
     fraction = (
         F.when(F.col("recommended_order_qty") == 0, F.lit(0.0))
         .when(F.col("_cost") == 0, F.lit(1.0))
-        .otherwise(rounded(clip(ratio(left, F.col("order_cost_total")), 0.0, 1.0), 3))
+        .when(share.isNotNull(), rounded(clip(share, 0.0, 1.0), 3))
     )
     return (
         rows.withColumn("funded_fraction", fraction)

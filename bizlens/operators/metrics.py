@@ -12,26 +12,23 @@ from bizlens.functions.ordered import running_before
 
 
 def regression_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """MAE, MAPE and R² of ``prediction`` against ``actual``, in one aggregation. The total sum of
-    squares comes from moments, taken in decimals so that nothing cancels."""
-    actual, error = F.col("actual"), F.col("actual") - F.col("prediction")
-    wide = lambda c: F.sum(c.cast("decimal(28,4)"))
-    n = F.count(F.lit(1))
+    """MAE, MAPE and R² of ``prediction`` against ``actual``, in one aggregation over the pairs
+    without a NULL (``rows`` counts those). The total sum of squares is a central moment, so nothing
+    cancels; sums are doubles, so no amount is too large, and the results are rounded."""
+    error = F.col("actual") - F.col("prediction")
+    actual = F.when(error.isNotNull(), F.col("actual"))
+    n = F.count(error)
     return (
         rows.groupBy(*by)
         .agg(
             n.alias("rows"),
-            rounded(exact_sum(F.abs(error), 6) / n, 4).alias("mae"),
-            rounded(
-                F.sum(ratio(F.abs(error), F.abs(actual)).cast("decimal(28,12)")).cast("double") / n, 6
-            ).alias("mape"),
-            wide(error * error).cast("double").alias("_residual"),
-            wide(actual * actual).cast("double").alias("_square"),
-            exact_sum(actual).alias("_sum"),
+            rounded(ratio(F.sum(F.abs(error)), n), 4).alias("mae"),
+            rounded(ratio(F.sum(ratio(F.abs(error), F.abs(actual))), n), 6).alias("mape"),
+            F.sum(error * error).alias("_residual"),
+            (F.var_pop(actual) * n).alias("_total"),
         )
-        .withColumn("_total", F.col("_square") - F.col("_sum") * F.col("_sum") / F.col("rows"))
         .withColumn("r2", rounded(F.lit(1.0) - ratio(F.col("_residual"), F.col("_total")), 6))
-        .drop("_residual", "_square", "_sum", "_total")
+        .drop("_residual", "_total")
     )
 
 

@@ -318,9 +318,13 @@ def _(b):
     return briefing.confidence(naive.unionByName(card))
 
 
+def _labels(b: Business) -> DataFrame:
+    return b.customers.select("customer_id", "churned")
+
+
 @query("split_stratified")
 def _(b):
-    return metrics.split_rows(b.customers, "customer_id", ["churned"]).select(
+    return metrics.split_rows(_labels(b), "customer_id", ["churned"]).select(
         "customer_id", "churned", "is_test"
     )
 
@@ -328,7 +332,7 @@ def _(b):
 @query("split_counts")
 def _(b):
     return metrics.split_counts(
-        metrics.split_rows(b.customers, "customer_id", ["churned"]), "churned"
+        metrics.split_rows(_labels(b), "customer_id", ["churned"]), "churned"
     )
 
 
@@ -355,6 +359,9 @@ def _(b):
     )
 
 
+_TO_FUND = [
+    "region", "sku", "recommended_order_qty", "unit_cost", "order_cost_total", "stockout_risk",
+]
 _FUNDED = [
     "region", "sku", "recommended_order_qty", "order_cost_total", "priority_weight",
     "funded_fraction", "funded_order_qty", "funded_cost",
@@ -363,12 +370,12 @@ _FUNDED = [
 
 @query("fund_inventory")
 def _(b):
-    return inventory.fund_orders(b.plan, BUDGET_PER_REGION).select(*_FUNDED)
+    return inventory.fund_orders(b.plan.select(*_TO_FUND), BUDGET_PER_REGION).select(*_FUNDED)
 
 
 @query("fund_inventory_global")
 def _(b):
-    return inventory.fund_orders(b.plan, GLOBAL_BUDGET, by=[]).select(*_FUNDED)
+    return inventory.fund_orders(b.plan.select(*_TO_FUND), GLOBAL_BUDGET, by=[]).select(*_FUNDED)
 
 
 @query("at_risk_stock")

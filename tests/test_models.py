@@ -143,6 +143,16 @@ def test_regression_metrics(spark):
     assert out.r2 == pytest.approx(1 - 2 / (14 / 3), abs=1e-6)
 
 
+def test_regression_metrics_of_large_amounts_and_nulls(spark):
+    df = spark.createDataFrame(
+        [(1e13, 2e13), (3e13, 3e13), (None, 1.0), (2.0, None)], "actual double, prediction double"
+    )
+    out = metrics.regression_metrics(df).first()
+    assert (out.rows, out.mae, out.mape, out.r2) == (2, 5e12, 0.5, 0.5)
+    none = metrics.regression_metrics(df.filter("prediction IS NULL")).first()
+    assert (none.rows, none.mae, none.r2) == (0, None, None)
+
+
 def test_confidence_words(spark):
     rows = [(0.85, None), (0.7, None), (0.69, 0.99), (None, 0.8), (None, None)]
     df = spark.createDataFrame(rows, "r2 double, auc double")

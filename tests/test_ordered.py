@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlens.functions.ordered import average_rank, exact_quantile, running_before
+from bizlens.operators import inventory, metrics
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +86,29 @@ def test_average_rank_shares_places(rows):
     want = frame["k"].rank(ascending=False)
     got = {r.id: r.r for r in average_rank(df, "k", "r").collect()}
     assert got == dict(zip(frame["id"], want))
+
+
+def test_no_row_is_lost_to_nulls(spark):
+    """NULL groups, labels, costs, budgets and values keep their rows."""
+    plan = spark.createDataFrame(
+        [("A", 1, 10.0, 5.0, 50.0, 1), (None, 2, 10.0, 5.0, 50.0, 0),
+         ("A", 3, 10.0, None, None, 0), ("B", 4, 7.0, 2.0, 14.0, 0)],
+        "region string, sku int, recommended_order_qty double, unit_cost double, "
+        "order_cost_total double, stockout_risk int",
+    )
+    got = {r.sku: r.funded_fraction for r in inventory.fund_orders(plan, 25.0).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: None, 4: 1.0}
+    got = {r.sku: r.funded_fraction for r in inventory.fund_orders(plan, 60.0, by=[]).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: None, 4: 0.714}
+    nothing = inventory.fund_orders(plan, F.lit(None).cast("double")).collect()
+    assert [r.funded_fraction for r in nothing] == [None] * 4
+    labels = spark.createDataFrame([(1, None), (2, None), (3, 1), (4, 0)], "k int, y int")
+    split = metrics.split_rows(labels, "k", ["y"])
+    assert {(r.y, r.n) for r in split.groupBy("y").agg(F.sum("is_test").alias("n")).collect()} == {
+        (None, 1), (0, 1), (1, 1)
+    }
+    assert split.count() == 4
+    values = spark.createDataFrame([("a", None), ("b", 2.0)], "sku string, revenue double")
+    assert {(r.sku, r.r) for r in average_rank(values, "revenue", "r").collect()} == {
+        ("a", None), ("b", 1.0)
+    }
