@@ -8,9 +8,11 @@ that share a band meet in a bucket, and weighted Jaccard similarity of the whole
 
 No bucket is expanded into all its pairs. First every text is compared with the best-connected text
 of its buckets only. What that links is one component; afterwards a bucket matters only if it holds several
-components. Such a bucket is worked off round by round: texts outside its largest component are
-compared, as pivots, with the members of other components, more pivots each round, until
-no untested pair of different components is left. So no link between different classes is lost.
+components. There a text's similarity is bounded by the weight it shares with any other text of
+such buckets (``with_room``); pairs that the bound rules out are never made. The rest is worked off
+round by round: texts outside a bucket's largest component are compared, as pivots, with the members
+of other components, more pivots each round, until no untested pair of different components is
+left. So no link between different classes is lost.
 
 Equal texts are one node from the start (64-bit hash). Defined results: null and empty texts and
 rows with a null doc_id are classes of their own; a text without words is the shingle of its bytes;
@@ -322,6 +324,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     links = tested.where(F.col("similarity") >= threshold).select("u", "v")
     labels = components(links)
     done = spark.createDataFrame([], "bucket long, node long")
+    members = settled(with_room(members, labels, sets, threshold), "open-members")
     pivots, all_tested, all_links = PIVOTS, [tested.select("u", "v")], [links]
     while True:
         open_members, chosen = open_buckets(members, labels, done, pivots)
@@ -364,13 +367,56 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(verified, "u long, v long, similarity double")
 
 
+def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per node and shingle, in batches of about 2**18 rows."""
+    for batch in batches:
+        nodes, blobs = batch.column("node").to_pylist(), batch.column("shingles").to_pylist()
+        held, size = [], 0
+        for place, (node, blob) in enumerate(zip(nodes, blobs, strict=True)):
+            found, weight = unpacked(blob)
+            held.append((np.full(len(found), node, np.int64), found.view(np.int32), weight))
+            size += len(found)
+            if size >= 1 << 18 or place == len(nodes) - 1:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["node", "shingle", "part"]
+                )
+                held, size = [], 0
+
+
+def with_room(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The members of buckets that hold several components, with their room: the weight of the
+    shingles that another of these texts has as well. No overlap is larger than that, so texts
+    whose room is under ``threshold`` of their weight have no further link and are left out. Later
+    rounds open no other bucket, as components only merge."""
+    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = named.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low <> high").select("bucket")
+    inside = settled(members.join(several, "bucket").select("bucket", "node", "weight"), "open-members")
+    own = sets.join(inside.select("node").distinct(), "node", "left_semi")
+    private = (
+        own.mapInArrow(spread_sets, "node long, shingle int, part double")
+        .groupBy("shingle").agg(
+            F.count("*").alias("texts"), F.min("node").alias("node"), F.min("part").alias("part")
+        )
+        .where("texts = 1").groupBy("node").agg(F.sum("part").alias("private"))
+    )
+    room = F.col("weight") - F.coalesce("private", F.lit(0.0))
+    return (
+        inside.join(settled(private, "private-weights"), "node", "left")
+        .select("bucket", "node", "weight", room.alias("room"))
+        .where(F.col("room") >= F.col("weight") * (threshold - 1e-4))
+    )
+
+
 def open_buckets(
     members: DataFrame, labels: DataFrame, done: DataFrame, pivots: int
 ) -> tuple[DataFrame, DataFrame]:
     """The members, with components, of buckets that hold several; and for each such bucket up to
     ``pivots`` (about) members outside its largest component that have not been pivots there."""
     named = members.join(labels, "node", "left").select(
-        "bucket", "node", "weight", F.coalesce("component", "node").alias("component")
+        "bucket", "node", "weight", "room", F.coalesce("component", "node").alias("component")
     )
     sizes = named.groupBy("bucket", "component").count()
     main = sizes.groupBy("bucket").agg(
@@ -382,22 +428,25 @@ def open_buckets(
     outside = several.where("component <> main").join(done, ["bucket", "node"], "left_anti")
     share = F.col("total") - F.col("most")
     turn = F.pmod(F.xxhash64("bucket", "node", F.lit(pivots)), F.greatest(F.floor(share / pivots), F.lit(1)))
-    chosen = outside.where((share <= pivots) | (turn == 0)).select("bucket", "node", "weight", "component")
+    chosen = outside.where((share <= pivots) | (turn == 0)).select("bucket", "node", "weight", "room", "component")
     some = settled(chosen, "chosen")
     if some.isEmpty() and not outside.isEmpty():  # none fell to the hash: take what is left
-        some = settled(outside.select("bucket", "node", "weight", "component"), "chosen")
+        some = settled(outside.select("bucket", "node", "weight", "room", "component"), "chosen")
     return several, some
 
 
 def cross_pairs(several: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
-    """Pivots with members of other components; weights too unlike cannot reach the threshold
-    (the similarity is at most the smaller total weight over the larger)."""
+    """Pivots with members of other components. The overlap is at most the smaller room and the
+    similarity is the overlap over both weights less the overlap; pairs that cannot reach the
+    threshold so are left out."""
     pivot = chosen.select(
-        "bucket", F.col("node").alias("p"), F.col("weight").alias("pw"), F.col("component").alias("pc")
+        "bucket", F.col("node").alias("p"), F.col("weight").alias("pw"), F.col("room").alias("pr"),
+        F.col("component").alias("pc"),
     )
-    light, heavy = F.least("weight", "pw"), F.greatest("weight", "pw")
+    both = F.col("weight") + F.col("pw")
     pairs = several.join(pivot, "bucket").where(
-        (F.col("component") != F.col("pc")) & (light >= heavy * (threshold - 1e-4))
+        (F.col("component") != F.col("pc"))
+        & (F.least("room", "pr") * (1 + threshold) >= both * (threshold - 1e-4))
     )
     return pairs.select(F.greatest("node", "p").alias("u"), F.least("node", "p").alias("v")).distinct()
 
