@@ -23,8 +23,6 @@ from bizlens.operators.metrics import confidence_label
 from bizlens.operators.models import FittedModel
 from bizlens.session import scratch_path
 
-MAX_NODES = 1_000_000
-
 
 def tree_nodes(model: FittedModel, spark) -> pd.DataFrame:
     """The node table of the fitted trees, read back from the saved model. Its size is set by the
@@ -34,8 +32,6 @@ def tree_nodes(model: FittedModel, spark) -> pd.DataFrame:
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), "nodeData.*"
     )
-    if nodes.count() > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} tree nodes")
     return nodes.select(
         "tree", "id", "prediction", "leftChild", "rightChild",
         F.col("rawCount").cast("double").alias("cover"),

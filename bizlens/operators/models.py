@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.operators.metrics import auc, classification_metrics, regression_metrics
@@ -115,12 +115,10 @@ def fit(
     return FittedModel(model, tuple(numeric), categories, classifier)
 
 
-def category_values(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """The category list, fixed at fit time. A column with too many values is no category."""
-    found = df.select(column).distinct().orderBy(column).limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} values")
-    return [row[0] for row in found]
+def category_values(df: DataFrame, column: str) -> list[str]:
+    """The category list, fixed at fit time: one model input per value. NULL is no category."""
+    known = df.filter(F.col(column).isNotNull())
+    return [row[0] for row in known.select(column).distinct().orderBy(column).collect()]
 
 
 def holdout_by_time(features: DataFrame, months: int = 12) -> DataFrame:
@@ -163,7 +161,3 @@ def fit_value(train: DataFrame, trees: int = CUSTOMER_TREES) -> FittedModel:
     return fit(
         train, "clv_12mo", VALUE_FEATURES, customer_categories(train), trees, CUSTOMER_RATE
     )
-
-
-def load_forecast(spark: SparkSession, path: str, regions: Sequence[str]) -> FittedModel:
-    return FittedModel.load(path, FORECAST_FEATURES, {"region": list(regions)})

@@ -106,7 +106,8 @@ def nearest(
     id_type: str,
     positive: bool,
 ) -> DataFrame:
-    """Within each task, the ``k`` best rows of every target by inner product, ties by key."""
+    """Within each task, the ``k`` best rows of every target by inner product, ties by key. With
+    ``positive`` every row with a product above 0 counts, however small."""
     keys = list(keys)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
     order = ["query", "score", *keys]
@@ -114,12 +115,15 @@ def nearest(
 
     def best(frames):
         kept = None
-        floor = np.full(len(ids), 1e-6 if positive else -np.inf)
+        floor = np.full(len(ids), -np.inf)
         for batch in frames:
             for start in range(0, len(batch), SLICE_ROWS):
                 frame = batch.iloc[start : start + SLICE_ROWS]
-                scores = np.round(to_matrix(frame) @ targets.T, 6)
-                row, query = np.nonzero(scores >= floor)
+                exact = to_matrix(frame) @ targets.T
+                # ranked at 6 places, so that ties do not hang on the last bit of a sum
+                scores = np.round(exact, 6)
+                wanted = (scores >= floor) & (exact > 0) if positive else scores >= floor
+                row, query = np.nonzero(wanted)
                 found = frame[keys].iloc[row].reset_index(drop=True)
                 found["query"], found["score"] = query, scores[row, query]
                 kept = found if kept is None else pd.concat([kept, found])

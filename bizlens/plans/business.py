@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.operators import customers, inventory, monthly, products
+from bizlens.operators import customers, decisions, inventory, monthly, products
 from bizlens.operators.retrieval import TextIndex
 from bizlens.session import pinned
 from bizlens.sources import views
@@ -59,6 +59,16 @@ class Business:
             views.products(self.spark, self.path),
         )
 
+    @cached_property
+    def price_base(self) -> DataFrame:
+        """Price base of every product that was ever sold, from all lines."""
+        return decisions.sku_price_base(
+            products.sku_performance(
+                views.sales_by_product(self.spark, self.path),
+                views.products(self.spark, self.path),
+            )
+        )
+
     @cached_property
     def customers(self) -> DataFrame:
         return customers.customer_features(views.crm(self.spark, self.path))

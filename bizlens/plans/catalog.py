@@ -20,6 +20,7 @@ from bizlens.sources import files, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+_SHARED: dict[tuple[str, str, str], object] = {}
 
 # Parameters of the registered runs.
 BUDGET_PER_REGION = 2_000_000.0
@@ -400,12 +401,12 @@ def _(b):
 
 @query("price_grid")
 def _(b):
-    return decisions.price_grid(decisions.sku_price_base(b.performance), ["sku"])
+    return decisions.price_grid(b.price_base, ["sku"])
 
 
 @query("price_best")
 def _(b):
-    return decisions.best_price(decisions.sku_price_base(b.performance), ["sku"])
+    return decisions.best_price(b.price_base, ["sku"])
 
 
 @query("pricing_answer")
@@ -447,10 +448,28 @@ def _(b):
 # --- models -------------------------------------------------------------------------------------
 
 
+def _shared(b: Business, name: str, build: Callable[[], object]):
+    """One value per application, data folder and name, built once and shared by the queries: a
+    fitted model, read back from the shared folder, or the checkpointed rows it was fitted on."""
+    key = (b.spark.sparkContext.applicationId, b.path, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def _stored(b: Business, name: str, fit: Callable[[], models.FittedModel]) -> models.FittedModel:
+    def build() -> models.FittedModel:
+        model, folder = fit(), scratch_path(b.spark, f"model-{name}")
+        model.save(folder)
+        return models.FittedModel.load(folder, model.numeric, model.categories, model.classifier)
+
+    return _shared(b, f"model-{name}", build)
+
+
 def _forecast(b: Business, target: str):
-    rows = models.holdout_by_time(pinned(b.features))
+    rows = _shared(b, "forecast-rows", lambda: models.holdout_by_time(pinned(b.features)))
     train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
-    return models.fit_forecast(train, target, TREES), train, test
+    return _stored(b, target, lambda: models.fit_forecast(train, target, TREES)), train, test
 
 
 def _forecast_report(b: Business, target: str) -> DataFrame:
@@ -478,16 +497,27 @@ def _(b):
 
 
 def _customer_split(b: Business):
-    rows = pinned(
-        metrics.split_rows(customers.value_label(b.customers), "customer_id", ["churned"])
-    )
+    def build() -> DataFrame:
+        return pinned(
+            metrics.split_rows(customers.value_label(b.customers), "customer_id", ["churned"])
+        )
+
+    rows = _shared(b, "customer-rows", build)
     return rows, rows.filter("is_test = 0"), rows.filter("is_test = 1")
 
 
+def _churn_model(b: Business, train: DataFrame) -> models.FittedModel:
+    return _stored(b, "churn", lambda: models.fit_churn(train, TREES))
+
+
+def _value_model(b: Business, train: DataFrame) -> models.FittedModel:
+    return _stored(b, "value", lambda: models.fit_value(train, TREES))
+
+
 @query("churn_model")
 def _(b):
     _, train, test = _customer_split(b)
-    model = models.fit_churn(train, TREES)
+    model = _churn_model(b, train)
     return models.evaluate_classifier(model, test, "churned").select(
         "auc", "precision", "recall", "f1", F.col("rows").alias("n_test"),
         train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
@@ -497,7 +527,7 @@ def _(b):
 @query("clv_model")
 def _(b):
     _, train, test = _customer_split(b)
-    model = models.fit_value(train, TREES)
+    model = _value_model(b, train)
     return models.evaluate_regression(model, test, "clv_12mo").select(
         "mae", "r2", F.col("rows").alias("n_test"),
         train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
@@ -508,8 +538,8 @@ def _(b):
 def _(b):
     """All customers with both models: probability, value and the three strongest drivers."""
     rows, train, _ = _customer_split(b)
-    churn = models.fit_churn(train, TREES)
-    value = models.fit_value(train, TREES)
+    churn = _churn_model(b, train)
+    value = _value_model(b, train)
     return attr.customer_scores(rows, churn, value)
 
 
@@ -532,7 +562,7 @@ def _(b):
 @query("explain_churn")
 def _(b):
     rows, train, _ = _customer_split(b)
-    return attr.churn_card(models.fit_churn(train, TREES), rows)
+    return attr.churn_card(_churn_model(b, train), rows)
 
 
 @query("scenario_scored")

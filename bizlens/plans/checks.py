@@ -377,7 +377,8 @@ PARTS = {
         SELECT sku, {rnd("revenue / nullif(units, 0)", 4)} AS base_price,
                units::DOUBLE AS base_demand, -1.0::DOUBLE AS elasticity,
                {rnd("cogs / nullif(units, 0)", 4)} AS unit_cost
-        FROM perf""",
+        FROM (SELECT sku, sum(revenue)::DOUBLE AS revenue, sum(units_sold)::BIGINT AS units,
+                     sum(cogs)::DOUBLE AS cogs FROM sales GROUP BY sku)""",
     "pricing": f"""
         SELECT region, {rnd("base_price", 2)} AS current_avg_price,
                elasticity AS elasticity_assumption, {BEST_COLUMNS}
