@@ -54,6 +54,8 @@ POOL_BITS = 16
 GRID = 16  # weight levels per unit of the natural logarithm
 LEVELS = 64
 PIVOTS = 64
+MARK_LONGS = 32
+MEMBER = ["node", "weight", "room", "marks"]
 PLAIN = np.isin(np.arange(256), list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256)))
 
 
@@ -384,9 +386,28 @@ def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
 
 
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap of every node's shingles."""
+    for batch in batches:
+        maps = []
+        for blob in batch.column("shingles").to_pylist():
+            bits = np.zeros(64 * MARK_LONGS, np.uint8)
+            bits[unpacked(blob)[0] % len(bits)] = 1
+            maps.append(np.packbits(bits).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(maps, pa.list_(pa.int64()))], names=["node", "marks"]
+        )
+
+
+def absent(marks: Column, other: Column) -> Column:
+    """How many bits of ``marks`` are not in ``other``: so much weight at least is not shared."""
+    bits = F.zip_with(marks, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def with_room(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The members of buckets that hold several components, with their room: the weight of the
-    shingles that another of these texts has as well. No overlap is larger than that, so texts
+    """The members of buckets that hold several components, with their bitmap and their room: the
+    weight of the shingles that another of these texts has as well. No overlap is larger than that, so texts
     whose room is under ``threshold`` of their weight have no further link and are left out. Later
     rounds open no other bucket, as components only merge."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -403,10 +424,12 @@ def with_room(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold:
         .where("texts = 1").groupBy("node").agg(F.sum("part").alias("private"))
     )
     room = F.col("weight") - F.coalesce("private", F.lit(0.0))
+    maps = settled(own.mapInArrow(marked, "node long, marks array<long>"), "bitmaps")
     return (
         inside.join(settled(private, "private-weights"), "node", "left")
         .select("bucket", "node", "weight", room.alias("room"))
         .where(F.col("room") >= F.col("weight") * (threshold - 1e-4))
+        .join(maps, "node")
     )
 
 
@@ -416,7 +439,7 @@ def open_buckets(
     """The members, with components, of buckets that hold several; and for each such bucket up to
     ``pivots`` (about) members outside its largest component that have not been pivots there."""
     named = members.join(labels, "node", "left").select(
-        "bucket", "node", "weight", "room", F.coalesce("component", "node").alias("component")
+        "bucket", *MEMBER, F.coalesce("component", "node").alias("component")
     )
     sizes = named.groupBy("bucket", "component").count()
     main = sizes.groupBy("bucket").agg(
@@ -428,25 +451,28 @@ def open_buckets(
     outside = several.where("component <> main").join(done, ["bucket", "node"], "left_anti")
     share = F.col("total") - F.col("most")
     turn = F.pmod(F.xxhash64("bucket", "node", F.lit(pivots)), F.greatest(F.floor(share / pivots), F.lit(1)))
-    chosen = outside.where((share <= pivots) | (turn == 0)).select("bucket", "node", "weight", "room", "component")
+    chosen = outside.where((share <= pivots) | (turn == 0)).select("bucket", *MEMBER, "component")
     some = settled(chosen, "chosen")
     if some.isEmpty() and not outside.isEmpty():  # none fell to the hash: take what is left
-        some = settled(outside.select("bucket", "node", "weight", "room", "component"), "chosen")
+        some = settled(outside.select("bucket", *MEMBER, "component"), "chosen")
     return several, some
 
 
 def cross_pairs(several: DataFrame, chosen: DataFrame, threshold: float) -> DataFrame:
-    """Pivots with members of other components. The overlap is at most the smaller room and the
-    similarity is the overlap over both weights less the overlap; pairs that cannot reach the
-    threshold so are left out."""
+    """Pivots with members of other components. The overlap is at most the smaller room, and at most
+    either weight less what the bitmaps show to be absent from the other text. The similarity is the
+    overlap over both weights less the overlap; pairs that cannot reach the threshold so are left out."""
     pivot = chosen.select(
         "bucket", F.col("node").alias("p"), F.col("weight").alias("pw"), F.col("room").alias("pr"),
-        F.col("component").alias("pc"),
+        F.col("marks").alias("pm"), F.col("component").alias("pc"),
     )
-    both = F.col("weight") + F.col("pw")
+    needed = (F.col("weight") + F.col("pw")) * (threshold - 1e-4)
+    marks, other = F.col("marks"), F.col("pm")
     pairs = several.join(pivot, "bucket").where(
         (F.col("component") != F.col("pc"))
-        & (F.least("room", "pr") * (1 + threshold) >= both * (threshold - 1e-4))
+        & (F.least("room", "pr") * (1 + threshold) >= needed)
+        & ((F.col("weight") - absent(marks, other)) * (1 + threshold) >= needed)
+        & ((F.col("pw") - absent(other, marks)) * (1 + threshold) >= needed)
     )
     return pairs.select(F.greatest("node", "p").alias("u"), F.least("node", "p").alias("v")).distinct()
 
