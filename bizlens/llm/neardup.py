@@ -205,7 +205,7 @@ def signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Re
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The shingles of a node as sorted 32-bit hashes and their levels."""
+    """The shingles of a node as sorted 32-bit hashes and their levels, and their bitmap."""
     for batch in batches:
         data, offsets = lowered(batch.column("text"))
         for low, high in slices(offsets):
@@ -218,8 +218,17 @@ def set_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.
                 high_half[cut[i] : cut[i + 1]].tobytes() + level[cut[i] : cut[i + 1]].tobytes()
                 for i in range(high - low)
             ]
+            maps = []
+            for i in range(high - low):
+                bits = np.zeros(64 * MARK_LONGS, np.uint8)
+                bits[high_half[cut[i] : cut[i + 1]] % len(bits)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
             yield pa.RecordBatch.from_pydict(
-                {"node": batch.column("node").slice(low, high - low), "shingles": pa.array(blobs, pa.binary())}
+                {
+                    "node": batch.column("node").slice(low, high - low),
+                    "shingles": pa.array(blobs, pa.binary()),
+                    "marks": pa.array(maps, pa.list_(pa.int64())),
+                }
             )
 
 
@@ -316,9 +325,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     )
     needed = members.select("node").distinct()
     contents = texts.groupBy("node").agg(F.first("text").alias("text"))
+    # the texts that share a bucket grow with the corpus: they are not to be broadcast at any size
     sets = settled(
-        contents.join(needed, "node", "left_semi").mapInArrow(
-            lambda b: set_rows(b, held.value), "node long, shingles binary"
+        contents.join(needed.hint("merge"), "node", "left_semi").mapInArrow(
+            lambda b: set_rows(b, held.value), "node long, shingles binary, marks array<long>"
         ),
         "shingle-sets",
     )
@@ -326,13 +336,15 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     links = tested.where(F.col("similarity") >= threshold).select("u", "v")
     labels = components(links)
     done = spark.createDataFrame([], "bucket long, node long")
-    members = settled(with_room(members, labels, sets, threshold), "open-members")
+    inside = open_members(members, labels)
+    sets = settled(sets.join(inside.select("node").distinct(), "node", "left_semi"), "open-sets")
+    members = settled(with_room(inside, sets, threshold), "open-members")
     pivots, all_tested, all_links = PIVOTS, [tested.select("u", "v")], [links]
     while True:
-        open_members, chosen = open_buckets(members, labels, done, pivots)
+        several, chosen = open_buckets(members, labels, done, pivots)
         if chosen.isEmpty():
             break
-        pairs = cross_pairs(open_members, chosen, threshold).join(
+        pairs = cross_pairs(several, chosen, threshold).join(
             reduce(DataFrame.union, all_tested), ["u", "v"], "left_anti"
         )
         fresh = settled(compared(settled(pairs, "pairs"), sets), "similarities")
@@ -386,50 +398,39 @@ def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
 
 
-def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmap of every node's shingles."""
-    for batch in batches:
-        maps = []
-        for blob in batch.column("shingles").to_pylist():
-            bits = np.zeros(64 * MARK_LONGS, np.uint8)
-            bits[unpacked(blob)[0] % len(bits)] = 1
-            maps.append(np.packbits(bits).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(maps, pa.list_(pa.int64()))], names=["node", "marks"]
-        )
-
-
 def absent(marks: Column, other: Column) -> Column:
     """How many bits of ``marks`` are not in ``other``: so much weight at least is not shared."""
     bits = F.zip_with(marks, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
     return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
 
 
-def with_room(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The members of buckets that hold several components, with their bitmap and their room: the
-    weight of the shingles that another of these texts has as well. No overlap is larger than that, so texts
-    whose room is under ``threshold`` of their weight have no further link and are left out. Later
-    rounds open no other bucket, as components only merge."""
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components. Later rounds open no other bucket, as
+    components only merge."""
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("bucket")
-    inside = settled(members.join(several, "bucket").select("bucket", "node", "weight"), "open-members")
-    own = sets.join(inside.select("node").distinct(), "node", "left_semi")
+    return settled(members.join(several, "bucket").select("bucket", "node", "weight"), "open-members")
+
+
+def with_room(inside: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The members of open buckets with their bitmap and their room: the weight of the shingles that
+    another of these texts has as well. No overlap is larger than that, so texts whose room is under
+    ``threshold`` of their weight have no further link and are left out."""
     private = (
-        own.mapInArrow(spread_sets, "node long, shingle int, part double")
+        sets.mapInArrow(spread_sets, "node long, shingle int, part double")
         .groupBy("shingle").agg(
             F.count("*").alias("texts"), F.min("node").alias("node"), F.min("part").alias("part")
         )
         .where("texts = 1").groupBy("node").agg(F.sum("part").alias("private"))
     )
     room = F.col("weight") - F.coalesce("private", F.lit(0.0))
-    maps = settled(own.mapInArrow(marked, "node long, marks array<long>"), "bitmaps")
     return (
         inside.join(settled(private, "private-weights"), "node", "left")
         .select("bucket", "node", "weight", room.alias("room"))
         .where(F.col("room") >= F.col("weight") * (threshold - 1e-4))
-        .join(maps, "node")
+        .join(sets.select("node", "marks"), "node")
     )
 
 
