@@ -482,8 +482,12 @@ def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and class_size, one row per document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = settled(classes(docs), "classes")
-    names = found.groupBy("component").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
+    # a written side lets Spark split the rows of a large class over several tasks
+    names = settled(
+        found.groupBy("component").agg(
+            F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
+        ),
+        "class-names",
     )
     out = found.join(names, "component").select("doc_id", "class_id", "class_size")
     alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | (F.length("text") == 0))
