@@ -448,7 +448,8 @@ def open_buckets(
         F.max_by("component", F.struct("count", "component")).alias("main"),
         F.max("count").alias("most"),
     ).where("parts > 1")
-    several = settled(named.join(main, "bucket"), "open-buckets")
+    # a written side lets Spark split the rows of a large bucket over several tasks
+    several = settled(named.join(settled(main, "main-components"), "bucket"), "open-buckets")
     outside = several.where("component <> main").join(done, ["bucket", "node"], "left_anti")
     share = F.col("total") - F.col("most")
     turn = F.pmod(F.xxhash64("bucket", "node", F.lit(pivots)), F.greatest(F.floor(share / pivots), F.lit(1)))

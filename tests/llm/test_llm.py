@@ -139,6 +139,51 @@ def test_neardup(spark):
     assert ids == [*range(12), 50, 51, 60, 400, 402]
 
 
+def test_bitmaps_rule_out_no_link(spark, monkeypatch):
+    """A group of texts around the threshold: the same classes with and without the bound, which
+    fewer pairs pass."""
+    rng = random.Random(12)
+    base = words(rng, 120).split()
+    table = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(120)] = words(rng, 1)
+        table.append((i, " ".join(own)))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    made, settled, absent = [], neardup.settled, neardup.absent
+
+    def counted(df, name):
+        out = settled(df, name)
+        made.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "settled", counted)
+    bound = {r.doc_id: r.component for r in neardup.classes(docs).collect()}
+    pairs = sum(made)
+    made.clear()
+    monkeypatch.setattr(neardup, "absent", lambda marks, other: neardup.F.lit(0))
+    assert {r.doc_id: r.component for r in neardup.classes(docs).collect()} == bound
+    assert pairs < sum(made)
+
+    def marks(blob):
+        bits = np.zeros(64 * neardup.MARK_LONGS, np.uint8)
+        bits[neardup.unpacked(blob)[0] % len(bits)] = 1
+        return np.packbits(bits).view(np.int64).tolist()
+
+    idf = np.ones(1 << neardup.DF_BITS, np.float32)
+    texts = neardup.pa.RecordBatch.from_pydict({"node": list(range(60)), "text": [t for _, t in table]})
+    blobs = [b for part in neardup.set_rows(iter([texts]), idf) for b in part.column("shingles").to_pylist()]
+    sets = spark.createDataFrame([(i, marks(b)) for i, b in enumerate(blobs)], "node long, marks array<long>")
+    other = sets.toDF("v", "other")
+    found = sets.join(other, neardup.F.expr("node < v")).select("node", "v", absent("marks", "other").alias("n"))
+    for r in found.collect():
+        one, two = blobs[r.node], blobs[r.v]
+        total = neardup.unpacked(one)[1].sum() + neardup.unpacked(two)[1].sum()
+        most = neardup.unpacked(one)[1].sum() - r.n
+        assert neardup.similarity(one, two) <= most / (total - most) + 1e-9
+
+
 def test_weighted_jaccard():
     one = np.array([1, 5, 9], "<u4").tobytes() + bytes([0, 4, 8])
     two = np.array([5, 9, 11], "<u4").tobytes() + bytes([4, 0, 0])
