@@ -76,9 +76,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def byte_values() -> np.ndarray:
-    """A fixed pseudo-random 64-bit value for each byte (splitmix64 of 1..256)."""
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+def byte_values(table: int = 0) -> np.ndarray:
+    """A fixed pseudo-random 64-bit value for each byte (splitmix64 of 1..256, then 257..512, ...)."""
+    own = np.arange(1, 257, dtype=np.uint64) + np.uint64(256 * table)
+    return mixed(own * np.uint64(0xD1B54A32D192ED03))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,12 +101,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """64-bit hashes of any substrings of a byte array, from one pass of prefix sums."""
+    """64-bit hashes of any substrings of a byte array, from one pass of prefix sums; another
+    ``table`` of byte values makes hashes independent of those of the first."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: int = 0):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(byte_values()[data] * powers(BASE, n), dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(byte_values(table)[data] * powers(BASE, n), dtype=np.uint64, out=self.sums[1:])
         self.inverse = powers(INVERSE, n + 1)
 
     def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

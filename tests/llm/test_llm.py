@@ -65,6 +65,25 @@ def test_substrings(spark, crowd):
     assert sorted((tuple(r) for r in got), key=str) == brute_substrings([(r[0], r[1]) for r in table])
 
 
+def test_contexts_that_share_bits_of_a_hash_are_no_copies(monkeypatch):
+    """One passage between different surroundings, with context hashes alike in 40 and in 64 bits."""
+    rng = random.Random(6)
+    shared = words(rng, 12)
+    texts = [(words(rng, 8) + shared + words(rng, 8)).encode() for _ in range(20)]
+    own = {"block": range(20), "ids": [np.array([i]).tobytes() for i in range(20)]}
+    own |= {"sizes": [np.array([len(t)]).tobytes() for t in texts], "data": [substrings.squeezed(t) for t in texts]}
+    batch = substrings.pa.RecordBatch.from_pydict({k: list(v) for k, v in own.items()})
+    real = substrings.mixed
+    for same in (40, 64):
+        monkeypatch.setattr(substrings, "mixed", lambda h, same=same: (real(h) >> np.uint64(same - 1) >> np.uint64(1)) << np.uint64(same % 64))
+        rows = substrings.pa.Table.from_batches(substrings.entries(iter([batch]), 1)).to_pandas()
+        for r in substrings.matched((0,), rows, 20_000).itertuples():
+            found = substrings.Anchors(batch.slice(r.block, 1).to_pylist()[0], 1)
+            for at in np.frombuffer(r.covered, "<u4").tolist():
+                context = texts[r.block][found.begin[at] : found.end[at]]
+                assert any(context in t for t in texts[: r.block])
+
+
 def test_substrings_of_nothing(empty):
     assert substrings.substring_dedup(empty).count() == 0
 
