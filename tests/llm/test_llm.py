@@ -122,6 +122,27 @@ def brute_lines(table, least):
     return gone
 
 
+def test_short_repeated_lines_are_deleted(spark):
+    """Boilerplate of few words between different lines, which no longer run holds."""
+    rng = random.Random(10)
+    table = [(i, f"{words(rng, 8)}\nAll rights reserved.\n{words(rng, 7)}\nMenu\n{words(rng, 3)}") for i in range(5)]
+    got = lines.deduplicated(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    for r in got:
+        own = table[r.doc_id][1].split("\n")
+        assert r.text.split("\n") == (own if r.doc_id == 0 else own[::2])
+        assert r.n_removed_lines == (0 if r.doc_id == 0 else 2)
+
+
+@pytest.mark.parametrize("least", [2, 6])
+def test_runs_of_a_given_size(spark, least):
+    rng = random.Random(11)
+    pool = [words(rng, n) for n in (1, 1, 2, 2, 3, 7, 9)] + [""]
+    table = [(i, "\n".join(rng.choice(pool) for _ in range(8))) for i in range(40)]
+    gone = brute_lines(table, least)
+    for r in lines.deduplicated(spark.createDataFrame(table, "doc_id long, text string"), least).collect():
+        assert r.n_removed_lines == len(gone.get((r.doc_id, table[r.doc_id][1]), set()))
+
+
 def test_lines(spark):
     rng = random.Random(8)
     pool = [words(rng, n) for n in (1, 1, 2, 2, 3, 7, 9)] + ["", "  "]
