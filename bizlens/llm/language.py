@@ -6,8 +6,11 @@ phrases per character wins. Texts are parsed in stretches of ``STRETCH`` charact
 worker advance thousands of stretches at once with one table lookup per step; a phrase ends with
 its stretch, for every language alike, and every character of a text is parsed.
 
-The sample is bounded by ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters per language
-(documented parameters of training), so the model stays small at any corpus size.
+Every language with a labelled text that holds a letter is learnt from distinct texts of any length, in
+the order of their hash: short texts whole, of longer ones the ``STRETCH_CHARS`` characters in the
+middle. The sample is bounded by ``SAMPLE_ROWS`` texts and ``SAMPLE_CHARS`` characters per language
+(documented parameters of training), so the model stays small at any corpus size. All letters of the
+sample are told apart.
 
 Defined results: a null text, or one without a letter, gets ``und`` with score 0; ties go to the
 language that sorts first; without any labelled row every text gets ``und``; null languages are
@@ -20,42 +23,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens.llm.common import fold, held_model, small_batches, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 40_000
+STRETCH_CHARS = 4_000
 STRETCH = 256
-SYMBOLS = 63  # letters told apart; 0 is the gap between words
+SYMBOLS = 63  # letters with a column in the dense table (0 is the gap between words); the rest are looked up
 UNDECIDED = "und"
 RESULT = "lang_pred string, score double, phrases double"
 
 
 def training_sample(docs: DataFrame, learn: Column) -> dict[str, str]:
-    """At most ``SAMPLE_CHARS`` characters of whole texts per language, chosen by text hash."""
+    """At most ``SAMPLE_ROWS`` distinct texts and ``SAMPLE_CHARS`` characters per language, by text hash."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = known.where(F.length("text").between(200, SAMPLE_CHARS // 4))
-    slot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    share = F.lit(0)
-    for row in sizes:
-        limit = int((1 << 20) * min(1.0, SAMPLE_ROWS / row["count"])) + 1
-        share = F.when(F.col("lang") == row["lang"], limit).otherwise(share)
-    # at most 2 * SAMPLE_ROWS rows of at most SAMPLE_CHARS / 4 characters per language
-    picked = known.where(slot < share).select("lang", "text", slot.alias("slot"))
-    rows = picked.limit(2 * SAMPLE_ROWS * max(len(sizes), 1)).collect()
+    middle = F.greatest(F.floor((F.length("text") - STRETCH_CHARS) / 2), F.lit(0)).cast("int") + 1
+    cut = F.substring(F.col("text"), middle, F.lit(STRETCH_CHARS))
+    cut = F.when(cut.rlike(r"\p{L}"), cut).otherwise(
+        F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, STRETCH_CHARS)
+    )
+    known = known.select("lang", F.xxhash64("text").alias("hash"), cut.alias("text"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"))
+    # twice the texts wanted, so that the estimate leaves enough; copies of a text are met inside the tasks
+    slot = F.pmod("hash", F.lit(1 << 40))
+    share = F.least(F.lit(1.0), 2 * SAMPLE_ROWS / F.col("texts")) * (1 << 40)
+    picked = known.join(F.broadcast(sizes), "lang").where(slot < share)
+    picked = picked.groupBy("lang", slot.alias("slot"), "hash").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("slot", "hash")
+    picked = picked.select(
+        "lang", "slot", "text", F.row_number().over(order).alias("place"),
+        F.sum(F.length("text")).over(order).alias("reach"),
+    ).where((F.col("place") <= SAMPLE_ROWS) & (F.col("reach") <= SAMPLE_CHARS))
     texts: dict[str, str] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["slot"], r["text"])):
+    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["place"])):
         held = texts.get(row["lang"], "")
-        if len(held) + len(row["text"]) <= SAMPLE_CHARS and row["text"] not in held:
+        if row["text"] not in held:
             texts[row["lang"]] = held + " " + row["text"]
-    if not texts:  # only very short or very long texts
-        for row in docs.where(learn & F.col("lang").isNotNull()).select(
-            "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")
-        ).where(F.col("text").rlike(r"\p{L}")).limit(SAMPLE_ROWS).collect():
-            texts.setdefault(row["lang"], " " + row["text"])
     return dict(sorted(texts.items()))
 
 
@@ -75,33 +81,49 @@ class Model:
             for c in text:
                 seen[c] = seen.get(c, 0) + 1
         seen.pop(" ", None)
-        kept = sorted(sorted(seen), key=seen.get, reverse=True)[:SYMBOLS]
-        self.code = {c: i + 1 for i, c in enumerate(sorted(kept))}
-        self.width = len(self.code) + 2  # the gap, the letters, any other letter
-        tables, roots, base = [], [], 0
+        kept = sorted(sorted(seen), key=seen.get, reverse=True)
+        self.code = {c: i + 1 for i, c in enumerate(sorted(kept[:SYMBOLS]) + kept[SYMBOLS:])}
+        self.width = min(len(kept), SYMBOLS) + 1  # the gap and the frequent letters
+        self.other = len(self.code) + 1  # any letter that no language has
+        tables, roots, rare, base = [], [], [], 0
         for name in self.languages:
-            states = automaton(self.coded(parts[name]), self.width)
+            states, more = automaton([self.code.get(c, 0) for c in parts[name]], self.width)
             states[states >= 0] += base
             tables.append(states)
+            rare.append(more + np.array([base, 0, base]))
             roots.append(base)
             base += len(states)
         self.next = np.concatenate(tables).reshape(-1)
         self.roots = np.array(roots, np.int32)
-        self.lookup = np.zeros(0x110000, np.uint8)
+        moves = np.concatenate(rare)
+        keys = moves[:, 0] * (self.other + 1) + moves[:, 1]
+        order = np.argsort(keys)
+        # the last one ends every search
+        self.rare = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rare_next = np.append(moves[order, 2], -1).astype(np.int32)
+        self.lookup = np.zeros(0x110000, np.uint8 if self.other < 256 else np.int32)
 
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
                 low = c.lower()
-                self.lookup[point] = self.code.get(low[0], self.width - 1)
-
-    def coded(self, text: str) -> list[int]:
-        other = self.width - 1
-        return [self.code.get(c, other) if c != " " else 0 for c in text]
-
-
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Suffix automaton of a sequence as a dense table of next states (-1: none)."""
+                self.lookup[point] = self.code.get(low[0], self.other)
+
+    def follow(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states (-1: none) of every language's row of states, for one letter per column."""
+        dense = np.minimum(codes, self.width - 1)
+        to = self.next[states * np.int64(self.width) + dense]
+        rare = np.flatnonzero(codes >= self.width)
+        if len(rare):
+            keys = states[:, rare].astype(np.int64) * (self.other + 1) + codes[rare]
+            spot = np.searchsorted(self.rare, keys)
+            to[:, rare] = np.where(self.rare[spot] == keys, self.rare_next[spot], -1)
+        return to
+
+
+def automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix automaton of a sequence: a dense table of next states (-1: none) for codes under
+    ``width``, and rows of (state, code, next state) for the others."""
     links, sizes, nexts = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -128,10 +150,14 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                 links[q] = links[new] = clone
         last = new
     dense = np.full((len(nexts), width), -1, np.int32)
+    rare = []
     for state, out in enumerate(nexts):
         for c, to in out.items():
-            dense[state, c] = to
-    return dense
+            if c < width:
+                dense[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return dense, np.array(rare, np.int64).reshape(-1, 3)
 
 
 def model_of(sample: dict[str, str]) -> Model:
@@ -152,16 +178,16 @@ def phrase_counts(codes: np.ndarray, offsets: np.ndarray, model: Model) -> np.nd
     state = np.repeat(model.roots[:, None], len(row), axis=1)
     phrases = np.ones((languages, len(row)), np.int32)
     alive = np.searchsorted(-length, -np.arange(STRETCH), "left")  # stretches longer than the step
-    start = model.roots[:, None].astype(np.int64) * model.width
+    root = model.roots[:, None]
     for step in range(int(length[0]) if len(length) else 0):
         m = int(alive[step])
         c = codes[begin[:m] + step]
-        to = model.next[state[:, :m] * np.int64(model.width) + c]
+        to = model.follow(state[:, :m], c)
         ended = to < 0
-        again = model.next[start + c]
+        again = model.follow(np.broadcast_to(root, to.shape), c)
         phrases[:, :m] += ended
         # a letter the language has never seen is a phrase of its own
-        state[:, :m] = np.where(ended, np.where(again < 0, model.roots[:, None], again), to)
+        state[:, :m] = np.where(ended, np.where(again < 0, root, again), to)
     out = np.zeros((languages, len(sizes)))
     for k in range(languages):
         out[k] = np.bincount(row, phrases[k], minlength=len(sizes))

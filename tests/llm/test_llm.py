@@ -328,6 +328,28 @@ def test_language_and_toxicity_on_held_out_rows(spark, folder):
     assert auc > 0.85
 
 
+def test_languages_of_short_long_and_repeated_texts(spark):
+    """Every language is learnt: of messages only, of books only, beside a hot text, with its own letters."""
+    rng = random.Random(13)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+
+    kinds = {"aa": ("abcdefgh", 60), "bb": ("ijklmnop", 4), "cc": ("qrstuvwx", 3000)}
+    kinds["dd"] = ("".join(chr(0x4E00 + i) for i in range(120)), 60)
+    kinds["ee"] = ("".join(chr(0x5E00 + i) for i in range(120)), 60)
+    table = [(text(*how), lang) for lang, how in kinds.items() for _ in range(30)]
+    table += [("abcd " * 60, "aa")] * 5000
+    docs = spark.createDataFrame(table, "text string, lang string").repartition(4)
+    sample = language.training_sample(docs, language.F.lit(True))
+    assert sorted(sample) == sorted(kinds)
+    assert all(len(v) <= language.SAMPLE_CHARS + language.SAMPLE_ROWS for v in sample.values())
+    assert sample["aa"].count("abcd " * 10) <= 6 and len(sample["bb"]) > 30 * 18
+    new = [(text(how[0], 20), lang) for lang, how in kinds.items() for _ in range(10)]
+    found = language.identify(spark.createDataFrame(new, "text string, lang string"), sample, ["text", "lang"])
+    assert all(r.lang_pred == r.lang for r in found.collect())
+
+
 def test_odd_rows_and_nothing(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(odd, labels).count() == odd.count()
