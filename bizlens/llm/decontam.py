@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Items and documents are normalised (lower case, one space between runs of letters and digits). An
-item is searched for in windows of ``WINDOW`` characters, so a passage of it is found as well as the
-whole. Window and text share a q-gram at a diagonal (text place less item place); diagonals are
+item is searched for in windows of ``WINDOW`` characters that start every ``STEP`` characters: a passage
+of ``WINDOW`` + ``STEP`` - 1 = 87 normalised characters or more holds a whole window, so it is found as well
+as the whole item. Window and text share a q-gram at a diagonal (text place less item place); diagonals are
 gathered in bands that overlap by half. An occurrence with at most e edits stays inside one
 band and shares at least w + 1 - q (e + 1) q-grams there (the q-gram lemma), so only bands with
 that many are verified, by a banded alignment of the window against the text.
@@ -10,9 +11,13 @@ that many are verified, by a banded alignment of the window against the text.
 The items are the query set: they travel to the tasks in blocks of at most ``BLOCK_CHARS``
 characters, one pass over the documents per block, so no broadcast grows past that bound.
 
-Defined results: null and empty texts are clean; items that are null or shorter than
-``SHORTEST`` normalised characters are not searched for; equal items are all reported; repeated
-rows give repeated results; an empty benchmark leaves every document clean.
+Items under ``SHORTEST`` normalised characters, for which the lemma rules out nothing, are searched for
+as whole words without an edit.
+
+Defined results: null and empty texts are clean; null items, and items without a letter or digit, hold
+nothing to search for; an item with a null item_id is searched for and reported under null; equal
+items are all reported; repeated rows give repeated results; an empty benchmark leaves every
+document clean.
 """
 
 from __future__ import annotations
@@ -30,8 +35,9 @@ from bizlens.llm.common import Hashes, joined, slices, small_batches, table
 
 Q = 10
 WINDOW = 80
+STEP = 8
 EDIT_SHARE = 0.06
-SHORTEST = 40
+SHORTEST = 2 * Q  # from here on, w + 1 - q (e + 1) is positive for the edits allowed
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
 PLAIN = np.isin(np.arange(256), list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256)))
@@ -56,23 +62,25 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Sorted q-gram hashes of all windows of a block of items, and a bitmap of them."""
 
-    items: np.ndarray  # item id of each window
+    items: list[int | None]  # item id of each window
     texts: list[bytes]
     hashes: np.ndarray
     window: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    short: dict[int, dict[bytes, list[int | None]]]  # ids of the items under SHORTEST, by size and text
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Index:
-        items, texts = [], []
+    def of(cls, rows: list[tuple[int | None, str]]) -> Index:
+        items, texts, short = [], [], {}
         for item, text in rows:
             data, _ = normalised(pa.array([text]))
             whole = data.tobytes().strip()
             if len(whole) < SHORTEST:
+                if whole:
+                    short.setdefault(len(whole), {}).setdefault(whole, []).append(item)
                 continue
-            step = WINDOW // 2
-            starts = list(range(0, max(len(whole) - WINDOW, 0) + 1, step))
+            starts = list(range(0, max(len(whole) - WINDOW, 0) + 1, STEP))
             if len(whole) > WINDOW and starts[-1] != len(whole) - WINDOW:
                 starts.append(len(whole) - WINDOW)
             for start in starts:
@@ -86,14 +94,14 @@ class Index:
             place.append(np.arange(len(found)))
         if not texts:
             none = np.zeros(0, np.int64)
-            return cls(none, [], np.zeros(0, np.uint64), none, none, np.zeros(1 << BITMAP_BITS, bool))
+            return cls([], [], np.zeros(0, np.uint64), none, none, np.zeros(1 << BITMAP_BITS, bool), short)
         whole_hashes = np.concatenate(hashes)
         order = np.argsort(whole_hashes, kind="stable")
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[whole_hashes >> np.uint64(64 - BITMAP_BITS)] = True
         return cls(
-            np.array(items), texts, whole_hashes[order], np.concatenate(window)[order],
-            np.concatenate(place)[order], bitmap,
+            items, texts, whole_hashes[order], np.concatenate(window)[order],
+            np.concatenate(place)[order], bitmap, short,
         )
 
 
@@ -166,6 +174,35 @@ def aligned(pattern: bytes, text: bytes, limit: int) -> tuple[int, int] | None:
     return (int(cost[end]), int(begin[end])) if cost[end] <= limit else None
 
 
+def whole_words(data: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int | None, int]]:
+    """(row, item id, first place) of every short item that stands in a text between word borders."""
+    if not index.short or not len(data):
+        return
+    edge = np.append(data == 32, True)
+    begins = np.ones(len(data), bool)
+    begins[1:] = data[:-1] == 32
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(begins & (data != 32))
+    row = np.searchsorted(offsets, at, "right") - 1
+    stop = offsets[row + 1]
+    hashes = Hashes(data)
+    for size, texts in index.short.items():
+        end = at + size
+        fits = end <= stop
+        fits[fits] = (end[fits] == stop[fits]) | edge[end[fits]]
+        spots, own = at[fits], row[fits]
+        wanted = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.arange(len(texts)) * size
+        alike = np.isin(hashes(spots, spots + size), Hashes(wanted)(first, first + size))
+        seen = set()
+        for r, p in zip(own[alike].tolist(), spots[alike].tolist(), strict=True):
+            text = data[p : p + size].tobytes()
+            if text in texts and (r, text) not in seen:
+                seen.add((r, text))
+                for item in texts[text]:
+                    yield r, item, p - int(offsets[r])
+
+
 def searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("edits", pa.int32())]))
     for batch in batches:
@@ -188,22 +225,24 @@ def searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
                 if hit:
                     seen.add((row, window))
                     found[low + row].append(
-                        {"item_id": int(index.items[window]), "begin": begin + hit[1], "edits": hit[0]}
+                        {"item_id": index.items[window], "begin": begin + hit[1], "edits": hit[0]}
                     )
+            for row, item, begin in whole_words(own, at, index):
+                found[low + row].append({"item_id": item, "begin": begin, "edits": 0})
         out = {n: batch.column(n) for n in batch.schema.names}
         out["hits"] = pa.array(found, kind)
         yield pa.RecordBatch.from_pydict(out)
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of about ``BLOCK_CHARS`` characters; one block may be empty."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.where(F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-2 * total // BLOCK_CHARS))
+    parts = max(1, -(-(WINDOW // STEP) * total // BLOCK_CHARS))  # the windows hold each character so often
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        yield sorted((r["item_id"], r["text"]) for r in rows)
+        yield sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -244,6 +244,20 @@ def test_decontamination(spark):
     assert decontam.with_hits(docs.select("doc_id", "text"), items.limit(0)).where("size(hits) > 0").isEmpty()
 
 
+def test_decontamination_by_short_nameless_and_partly_held_items(spark):
+    rng = random.Random(14)
+    item, nameless = words(rng, 60), words(rng, 30)
+    table = [(i, words(rng, 20) + " " + item[p : p + 87] + " " + words(rng, 20)) for i, p in enumerate(range(0, 200, 7))]
+    table += [(100, words(rng, 9) + " " + nameless), (101, "Zip, the Zap! went " + words(rng, 5)), (102, "unzip the zap"), (103, "zip the zapper")]
+    table += [(104, "so: YES"), (105, "yesterday"), (106, "the capital of france is paris " + words(rng, 3)), (107, None), (108, "zip the zap")]
+    items = [(1, item), (None, nameless), (2, "zip the zap"), (3, "Yes."), (4, "The capital of France is  Pariis"), (5, "?!"), (6, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    found = decontam.with_hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: {h.item_id for h in r.hits} for r in found}
+    want = {i: {1} for i in range(29)} | {100: {None}, 101: {2}, 104: {3}, 106: {4}, 108: {2}}
+    assert {k: v for k, v in got.items() if v} == want
+
+
 def test_packing_round_trip(odd):
     got = packing.packed(odd.select("doc_id", "text")).collect()
     spans = {}
