@@ -77,13 +77,40 @@ def test_contexts_that_share_bits_of_a_hash_are_no_copies(monkeypatch):
     for same in (40, 64):
         monkeypatch.setattr(substrings, "mixed", lambda h, same=same: (real(h) >> np.uint64(same - 1) >> np.uint64(1)) << np.uint64(same % 64))
         rows = substrings.pa.Table.from_batches(substrings.entries(iter([batch]), 1)).to_pandas()
-        for r in substrings.matched((0,), rows, 20_000).itertuples():
+        for r in substrings.matched((0,), rows).itertuples():
             found = substrings.Anchors(batch.slice(r.block, 1).to_pylist()[0], 1)
             for at in np.frombuffer(r.covered, "<u4").tolist():
                 context = texts[r.block][found.begin[at] : found.end[at]]
                 assert any(context in t for t in texts[: r.block])
 
 
+def test_frequent_anchors_are_never_gathered(spark, monkeypatch):
+    """One passage in every text: no shard gets its anchors, shards are even, and the result is whole."""
+    rng = random.Random(7)
+    shared = words(rng, 30)
+    table = [(i, words(rng, 60) + shared + words(rng, 60)) for i in range(120)]
+    sent, settled = [], substrings.settled
+
+    def kept(df, name):
+        out = settled(df, name)
+        if name == "blocks":
+            sent.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(substrings, "settled", kept)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = substrings.substring_dedup(docs, 50, 500).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_substrings(table)
+    batch = substrings.pa.RecordBatch.from_pylist([r.asDict() for r in sent])
+    counts = next(substrings.tallied(iter([batch]), 1 << 12)).to_pandas()
+    full = substrings.full_buckets((0,), counts, 50)["bucket"].to_numpy()
+    rows = substrings.pa.Table.from_batches(substrings.entries(iter([batch]), 8, full, 1 << 12)).to_pandas()
+    size = rows["keys"].map(len).groupby(rows["shard"]).sum() // substrings.ENTRY_BYTES
+    assert len(size) == 8 and size.max() < 2 * size.min()
+    anchors = np.concatenate([substrings.from_five(k[: 5 * (len(k) // substrings.ENTRY_BYTES)]) for k in rows["keys"]])
+    assert np.unique(anchors, return_counts=True)[1].max() <= 50
+
+
 def test_substrings_of_nothing(empty):
     assert substrings.substring_dedup(empty).count() == 0
 
