@@ -3,7 +3,8 @@
 Items and documents are normalised (lower case, one space between runs of letters and digits). An
 item is searched for in windows of ``WINDOW`` characters that start every ``STEP`` characters: a passage
 of ``WINDOW`` + ``STEP`` - 1 = 87 normalised characters or more holds a whole window, so it is found as well
-as the whole item. Window and text share a q-gram at a diagonal (text place less item place); diagonals are
+as the whole item. Windows off the grid of ``GRID`` are aligned only where none of the item's
+windows on it was found, so ``hits`` lists those on the grid, or else all found. Window and text share a q-gram at a diagonal (text place less item place); diagonals are
 gathered in bands that overlap by half. An occurrence with at most e edits stays inside one
 band and shares at least w + 1 - q (e + 1) q-grams there (the q-gram lemma), so only bands with
 that many are verified, by a banded alignment of the window against the text.
@@ -36,6 +37,7 @@ from bizlens.llm.common import Hashes, joined, slices, small_batches, table
 Q = 10
 WINDOW = 80
 STEP = 8
+GRID = 40
 EDIT_SHARE = 0.06
 SHORTEST = 2 * Q  # from here on, w + 1 - q (e + 1) is positive for the edits allowed
 BLOCK_CHARS = 8_000_000
@@ -63,6 +65,8 @@ class Index:
     """Sorted q-gram hashes of all windows of a block of items, and a bitmap of them."""
 
     items: list[int | None]  # item id of each window
+    owners: list[int]  # place in the block of the item of each window
+    extra: list[bool]  # whether a window is off the grid
     texts: list[bytes]
     hashes: np.ndarray
     window: np.ndarray
@@ -72,8 +76,8 @@ class Index:
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str]]) -> Index:
-        items, texts, short = [], [], {}
-        for item, text in rows:
+        items, owners, extra, texts, short = [], [], [], [], {}
+        for owner, (item, text) in enumerate(rows):
             data, _ = normalised(pa.array([text]))
             whole = data.tobytes().strip()
             if len(whole) < SHORTEST:
@@ -85,6 +89,8 @@ class Index:
                 starts.append(len(whole) - WINDOW)
             for start in starts:
                 items.append(item)
+                owners.append(owner)
+                extra.append(start % GRID != 0 and start != len(whole) - WINDOW)
                 texts.append(whole[start : start + WINDOW])
         hashes, window, place = [], [], []
         for i, text in enumerate(texts):
@@ -94,13 +100,13 @@ class Index:
             place.append(np.arange(len(found)))
         if not texts:
             none = np.zeros(0, np.int64)
-            return cls([], [], np.zeros(0, np.uint64), none, none, np.zeros(1 << BITMAP_BITS, bool), short)
+            return cls([], [], [], [], np.zeros(0, np.uint64), none, none, np.zeros(1 << BITMAP_BITS, bool), short)
         whole_hashes = np.concatenate(hashes)
         order = np.argsort(whole_hashes, kind="stable")
         bitmap = np.zeros(1 << BITMAP_BITS, bool)
         bitmap[whole_hashes >> np.uint64(64 - BITMAP_BITS)] = True
         return cls(
-            items, texts, whole_hashes[order], np.concatenate(window)[order],
+            items, owners, extra, texts, whole_hashes[order], np.concatenate(window)[order],
             np.concatenate(place)[order], bitmap, short,
         )
 
@@ -124,7 +130,15 @@ def candidates(data: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[
     spot = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     window, place = index.window[spot], index.place[spot]
     row, at = np.repeat(row, many), np.repeat(at, many)
-    size = np.array([len(t) for t in index.texts])[window]
+    # a row without enough q-grams of a window in all has no band with enough
+    sizes = np.array([len(t) for t in index.texts])
+    least = np.maximum(sizes + 1 - Q * ((EDIT_SHARE * sizes).astype(np.int64) + 1), 1)
+    _, pair, total = np.unique(row * len(sizes) + window, return_inverse=True, return_counts=True)
+    enough = total[pair] >= least[window]
+    if not enough.any():
+        return
+    row, at, window, place = row[enough], at[enough], window[enough], place[enough]
+    size = sizes[window]
     edits = (EDIT_SHARE * size).astype(np.int64)
     diagonal = at - offsets[row] - place + WINDOW  # not negative
     step = edits + 1
@@ -212,9 +226,10 @@ def searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
         for low, high in slices(offsets):
             own = data[offsets[low] : offsets[high]]
             at = offsets[low : high + 1] - offsets[low]
-            seen = set()
-            for row, window, first, last in candidates(own, at, index):
-                if (row, window) in seen:
+            seen, held = set(), set()
+            bands = sorted(candidates(own, at, index), key=lambda c: index.extra[c[1]])
+            for row, window, first, last in bands:
+                if (row, window) in seen or (index.extra[window] and (row, index.owners[window]) in held):
                     continue
                 pattern = index.texts[window]
                 limit = budget(len(pattern))
@@ -224,6 +239,8 @@ def searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Rec
                 hit = aligned(pattern, stretch, limit)
                 if hit:
                     seen.add((row, window))
+                    if not index.extra[window]:
+                        held.add((row, index.owners[window]))
                     found[low + row].append(
                         {"item_id": index.items[window], "begin": begin + hit[1], "edits": hit[0]}
                     )
