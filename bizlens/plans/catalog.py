@@ -25,7 +25,6 @@ _SHARED: dict[tuple[str, str, str], object] = {}
 # Parameters of the registered runs.
 BUDGET_PER_REGION = 2_000_000.0
 GLOBAL_BUDGET = 10_000_000.0
-TREES = 20
 
 
 def query(name: str):
@@ -469,7 +468,7 @@ def _stored(b: Business, name: str, fit: Callable[[], models.FittedModel]) -> mo
 def _forecast(b: Business, target: str):
     rows = _shared(b, "forecast-rows", lambda: models.holdout_by_time(pinned(b.features)))
     train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
-    return _stored(b, target, lambda: models.fit_forecast(train, target, TREES)), train, test
+    return _stored(b, target, lambda: models.fit_forecast(train, target)), train, test
 
 
 def _forecast_report(b: Business, target: str) -> DataFrame:
@@ -507,11 +506,11 @@ def _customer_split(b: Business):
 
 
 def _churn_model(b: Business, train: DataFrame) -> models.FittedModel:
-    return _stored(b, "churn", lambda: models.fit_churn(train, TREES))
+    return _stored(b, "churn", lambda: models.fit_churn(train))
 
 
 def _value_model(b: Business, train: DataFrame) -> models.FittedModel:
-    return _stored(b, "value", lambda: models.fit_value(train, TREES))
+    return _stored(b, "value", lambda: models.fit_value(train))
 
 
 @query("churn_model")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bizlens.operators import attribution as attr
 from bizlens.operators import customers as cu
 from bizlens.operators import metrics, models
+from bizlens.plans import catalog
 from bizlens.plans.business import ENTERPRISE, Business
 from bizlens.session import pinned
 
@@ -31,6 +32,14 @@ def value(people):
     return models.fit_value(people.filter("is_test = 0"), trees=8)
 
 
+def test_registered_models_have_all_their_trees(spark, folder, people, monkeypatch):
+    monkeypatch.setattr(models, "fit", lambda *given: given[4])
+    monkeypatch.setattr(catalog, "_stored", lambda b, name, fit: fit())
+    b, train = Business(spark, folder), people.filter("is_test = 0")
+    assert [catalog._forecast(b, x)[0] for x in ("revenue", "units_sold")] == [250, 250]
+    assert [catalog._churn_model(b, train), catalog._value_model(b, train)] == [200, 200]
+
+
 def test_split_sizes_are_exact_per_label(people):
     for r in people.groupBy("churned").agg(F.count("*").alias("n"), F.sum("is_test").alias("t")).collect():
         assert r.t == ceil(r.n * 0.2 - 1e-9)
