@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bizlens.llm import urls
+from bizlens.llm import phrases, urls
 from bizlens.llm.decontam import op6_decontamination
 from bizlens.llm.language import op8_language_id
 from bizlens.llm.lines import op10_line_dedup
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op13_phrases": phrases.op13_phrases,
 }
-ORACLES = {"op4_url_filters": urls.ORACLE}
+ORACLES = {"op4_url_filters": urls.ORACLE, "op13_phrases": phrases.ORACLE}
