@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bizlens.llm import phrases, urls
+from bizlens.llm import negatives, phrases, urls
 from bizlens.llm.decontam import op6_decontamination
 from bizlens.llm.language import op8_language_id
 from bizlens.llm.lines import op10_line_dedup
@@ -24,6 +24,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_phrases": phrases.op13_phrases,
 }
-ORACLES = {"op4_url_filters": urls.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLES = {
+    "op4_url_filters": urls.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_phrases": phrases.ORACLE,
+}
