@@ -7,6 +7,7 @@ from bizlens.llm.decontam import op6_decontamination
 from bizlens.llm.language import op8_language_id
 from bizlens.llm.lines import op10_line_dedup
 from bizlens.llm.neardup import op5_neardup
+from bizlens.llm.ngramjoin import op11_ngram_join
 from bizlens.llm.packing import op3_packing
 from bizlens.llm.pages import op2_html_extraction
 from bizlens.llm.quality import op9_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ngram_join": op11_ngram_join,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_phrases": phrases.op13_phrases,
 }
