@@ -52,6 +52,8 @@ HELD = 3_000_000
 PART_TOKENS = 2_000_000
 TILE_ROWS = 256
 MARK_BITS = 4096
+PAIRS = 1 << 16  # pairs compared at a time
+BUCKET_ROWS = 16_384
 BAND = math.log(100 / LINKED) * (1 + 1e-6)
 _BREAKS, _NONE = byte_set(" \t\n\x0b\x0c\r"), np.zeros(256, bool)
 
@@ -346,50 +348,66 @@ def not_joined(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def pair_places(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows to compare, about ``PAIRS`` at a time. Rows come in order of tile and side; a row
+    of side 0 meets all of side 1, one of side 2 those behind it."""
+    rows = len(tile)
+    end = np.searchsorted(tile, tile, "right")
+    key = tile * 4 + side
+    first = np.where(side == 2, np.arange(rows) + 1, np.searchsorted(key, key, "right"))
+    many = np.where(side == 1, 0, np.maximum(end - first, 0))
+    total = np.cumsum(many)
+    low = 0
+    while low < rows:
+        high = max(int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")), low + 1)
+        own = np.repeat(np.arange(low, high), many[low:high])
+        start = np.cumsum(many[low:high]) - many[low:high]
+        yield own, first[own] + np.arange(len(own)) - np.repeat(start, many[low:high])
+        low = high
+
+
 def blocked(rows: pd.DataFrame) -> pd.DataFrame:
-    """One or two blocks of a tile: the pairs of different components that their bitmaps allow."""
-    side = rows["side"].to_numpy()
-    one = rows.iloc[np.flatnonzero(side != 1)]
-    two = rows.iloc[np.flatnonzero(side != 0)]
-    bits = [np.frombuffer(b"".join(x["marks"]), np.uint64).reshape(len(x), -1) for x in (one, two)]
-    size = [x["size"].to_numpy(np.int64) for x in (one, two)]
-    node, own, label = ([x[c].to_numpy() for x in (one, two)] for c in ("node", "own", "component"))
-    alone = bool((side == 2).any())
-    u, v = [], []
-    for k in range(len(one)):
-        fit = (label[1] != label[0][k]) & (own[1] | own[0][k])
-        fit &= 100 * np.minimum(size[1], size[0][k]) >= LINKED * np.maximum(size[1], size[0][k])
-        if alone:
-            fit[: k + 1] = False
-        at = np.flatnonzero(fit)
-        if not len(at):
-            continue
-        mine, theirs = bits[0][k], bits[1][at]
-        lost = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
-        gained = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
-        most = np.minimum(size[0][k] - lost, size[1][at] - gained)
-        at = at[100 * most >= LINKED * (size[0][k] + size[1][at] - most)]
-        u.append(np.minimum(node[1][at], node[0][k]))
-        v.append(np.maximum(node[1][at], node[0][k]))
-    if not u:
-        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    """Blocks of some tiles, one or two each: the pairs of different components that bitmaps allow."""
+    number = rows.groupby(["token", "band", "i", "j"], sort=False).ngroup().to_numpy()
+    order = np.lexsort((rows["side"].to_numpy(), number))
+    tile, side = number[order], rows["side"].to_numpy()[order]
+    node, own, label = (rows[c].to_numpy()[order] for c in ("node", "own", "component"))
+    size = rows["size"].to_numpy(np.int64)[order]
+    bits = np.frombuffer(b"".join(rows["marks"]), np.uint64).reshape(len(rows), -1)[order]
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for one, two in pair_places(tile, side):
+        fit = (label[one] != label[two]) & (own[one] | own[two])
+        fit &= 100 * np.minimum(size[one], size[two]) >= LINKED * np.maximum(size[one], size[two])
+        one, two = one[fit], two[fit]
+        lost = np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1, dtype=np.int64)
+        gained = np.bitwise_count(bits[two] & ~bits[one]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(size[one] - lost, size[two] - gained)
+        fit = 100 * most >= LINKED * (size[one] + size[two] - most)
+        u.append(np.minimum(node[one[fit]], node[two[fit]]))
+        v.append(np.maximum(node[one[fit]], node[two[fit]]))
     return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
 
 
 def bitmap_pairs(inside: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs of different components in open tiles, block against block. A member goes to the
-    pairs of its own block with every block of the tile; side 2 is a block with itself."""
+    pairs of its own block with every block of the tile; side 2 is a block with itself. A task takes
+    the block pairs of a bucket, about ``BUCKET_ROWS`` rows."""
     blocks = F.ceil(F.col("members") / TILE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = inside.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    rows = rows.select(
-        "token", "band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-        side.alias("side"), "node", "size", "own", "component",
+    rows = settled(
+        rows.select(
+            "token", "band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
+            side.alias("side"), "node", "size", "own", "component",
+        ),
+        "tile-blocks",
     )
-    # a pair of blocks also meets in a block with itself, which is enough once
-    found = rows.join(sets.select("node", "marks"), "node").groupBy("token", "band", "i", "j").applyInPandas(
-        blocked, "u long, v long"
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(buckets))
+    found = (
+        rows.join(sets.select("node", "marks"), "node").groupBy(bucket.alias("bucket"))
+        .applyInPandas(lambda x: blocked(x), "u long, v long")
     )
     return settled(found.distinct(), "bitmap-pairs")
 
