@@ -1,15 +1,15 @@
 """TF-IDF postings and exact top-k retrieval over a document table.
 
-Chunks and queries are never joined. Postings are laid out by chunk in one shuffle; each task then
-multiplies its chunks by a bounded block of queries and keeps the best ``k`` per query, so a task
-emits queries times ``k`` rows, whatever the number of chunks and however common a term is.
+Text is searched through an impact-ordered index (``impacts.py``): queries stay a table, meet the
+postings on the term, and bounds cut both before anything is read or scored in full. Dense vectors are
+searched by blocks of queries against groups of vectors; tasks send the best ``k`` per query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,13 +20,14 @@ from bizlens.functions.exact import rounded
 from bizlens.functions.text import (
     STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, term_rows, with_terms,
 )
-from bizlens.session import pinned
+from bizlens.operators.impacts import ImpactIndex
+from bizlens.session import pinned, scratch_path, small_side
 
 # Fixed value: size of the vocabulary.
 VOCABULARY = 2048
-# Rows of a block: queries per pass over the chunks, chunks per matrix product.
+# Rows of a block: dense queries and vectors of one matrix product.
 QUERY_BLOCK = 1024
-SLICE_ROWS = 1024
+VECTOR_GROUP = 8192
 CHUNK = ["doc_id", "chunk_no"]
 
 
@@ -77,86 +78,6 @@ def unit_weights(
     return counts.select(*owner, "term", "term_no", "tf", (F.col("_w") / length).alias("weight"))
 
 
-def dense(frame: pd.DataFrame, width: int) -> np.ndarray:
-    """Rows of (term_nos, weights) as one matrix."""
-    matrix = np.zeros((len(frame), width))
-    if len(frame):
-        sizes = frame["term_nos"].map(len).to_numpy()
-        rows = np.repeat(np.arange(len(frame)), sizes)
-        matrix[rows, np.concatenate(frame["term_nos"].to_numpy())] = np.concatenate(
-            frame["weights"].to_numpy()
-        )
-    return matrix
-
-
-def as_vectors(weights: DataFrame, owner: Sequence[str]) -> DataFrame:
-    """One row per owner; a chunk of 500 characters has a short list of terms."""
-    return weights.groupBy(*owner).agg(
-        F.collect_list(F.struct("term_no", "weight")).alias("_v")
-    ).select(*owner, F.col("_v.term_no").alias("term_nos"), F.col("_v.weight").alias("weights"))
-
-
-def nearest(
-    rows: DataFrame,
-    keys: Sequence[str],
-    to_matrix: Callable[[pd.DataFrame], np.ndarray],
-    ids: Sequence,
-    targets: np.ndarray,
-    k: int,
-    id_type: str,
-    positive: bool,
-) -> DataFrame:
-    """Within each task, the ``k`` best rows of every target by inner product, ties by key. With
-    ``positive`` every row with a product above 0 counts, however small."""
-    keys = list(keys)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
-    order = ["query", "score", *keys]
-    upward = [True, False] + [True] * len(keys)
-
-    def best(frames):
-        kept = None
-        floor = np.full(len(ids), -np.inf)
-        for batch in frames:
-            for start in range(0, len(batch), SLICE_ROWS):
-                frame = batch.iloc[start : start + SLICE_ROWS]
-                exact = to_matrix(frame) @ targets.T
-                # ranked at 6 places, so that ties do not hang on the last bit of a sum
-                scores = np.round(exact, 6)
-                wanted = (scores >= floor) & (exact > 0) if positive else scores >= floor
-                row, query = np.nonzero(wanted)
-                found = frame[keys].iloc[row].reset_index(drop=True)
-                found["query"], found["score"] = query, scores[row, query]
-                kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.sort_values(order, ascending=upward).groupby("query").head(k)
-                full = kept.groupby("query")["score"].agg(["size", "min"])
-                full = full[full["size"] == k]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if kept is not None and len(kept):
-            out = kept[[*keys, "score"]].copy()
-            out.insert(0, "query_id", [ids[q] for q in kept["query"]])
-            yield out
-
-    return rows.mapInPandas(best, f"query_id {id_type}, {kinds}, score double")
-
-
-def blocks_of(queries: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Queries pinned and numbered into blocks of about ``block`` rows."""
-    fixed = pinned(queries)
-    blocks = max(1, -(-fixed.count() // block))
-    return fixed.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), blocks
-
-
-def ranked(found: list[DataFrame], keys: Sequence[str], k: int) -> DataFrame:
-    """The best ``k`` over all tasks."""
-    rows = reduce(DataFrame.unionByName, found)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *keys)
-    return (
-        rows.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", *keys, "score")
-    )
-
-
 @dataclass
 class TextIndex:
     """A fitted corpus: the documents, ``term, term_no, total, df, idf``, and the postings
@@ -198,29 +119,23 @@ class TextIndex:
             tuple(stop_words),
         )
 
-    def retrieve(self, queries: DataFrame, k: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
+    @cached_property
+    def impacts(self) -> ImpactIndex:
+        """The postings in impact order, written once in the shared folder and read by every search."""
+        return ImpactIndex.write(self.weights, CHUNK, scratch_path(self.docs.sparkSession, "impacts"))
+
+    def retrieve(self, queries: DataFrame, k: int = 4) -> DataFrame:
         """The ``k`` best chunks of every query by inner product, ties by chunk. Hits share at
         least one term with the query, so their score is above zero."""
-        weights = unit_weights(queries, ["query_id"], self.vocabulary, self.stop_words)
-        asked, blocks = blocks_of(as_vectors(weights, ["query_id"]), block)
-        width = self.vocabulary.count()
-        chunks = as_vectors(self.weights, CHUNK)
-        if blocks > 1:
-            chunks = pinned(chunks)
-        found = []
-        for number in range(blocks):
-            rows = asked.filter(F.col("_block") == number).toPandas()
-            found.append(
-                nearest(
-                    chunks, CHUNK, partial(dense, width=width), list(rows["query_id"]),
-                    dense(rows, width), k, queries.schema["query_id"].dataType.simpleString(), True,
-                )
-            )
-        return ranked(found, CHUNK, k)
+        asked = unit_weights(queries, ["query_id"], self.vocabulary, self.stop_words)
+        return self.impacts.search(
+            asked.select("query_id", F.col("term_no").cast("int").alias("term_no"), F.col("weight").alias("query_weight")), k
+        )
 
     def with_text(self, hits: DataFrame) -> DataFrame:
-        """Look up source and text of the hits; only their documents are cut again."""
-        return hits.join(self.docs.select("doc_id", "source", "text"), "doc_id").withColumn(
+        """Look up source and text of the hits; only their documents are cut again. The hits are
+        counted first, so that a few of them do not make Spark shuffle all texts."""
+        return small_side(hits).join(self.docs.select("doc_id", "source", "text"), "doc_id").withColumn(
             "text", chunk_at(clean(F.col("text")), F.col("chunk_no"))
         )
 
@@ -246,27 +161,54 @@ def unit_rows(frame: pd.DataFrame) -> np.ndarray:
 
 
 def vector_topk(
-    vectors: DataFrame, queries: DataFrame, k: int = 4, block: int = QUERY_BLOCK
+    vectors: DataFrame, queries: DataFrame, k: int = 4, block: int = QUERY_BLOCK, group: int = VECTOR_GROUP
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query by cosine, ties by id. ``vectors``: ``vec_id,
-    embedding``; ``queries``: ``query_id, embedding``."""
-    asked, blocks = blocks_of(queries.select("query_id", "embedding"), block)
+    embedding``; ``queries``: ``query_id, embedding``. Vectors are dealt by hash into groups of about
+    ``group`` and queries into blocks of about ``block`` rows; every pair of the two is one matrix
+    product, of which the best ``k`` per query leave the task."""
+    asked = pinned(queries.select("query_id", "embedding"))
+    kept = vectors.select("vec_id", "embedding").where(F.col("embedding").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    groups = max(1, -(-kept.count() // group))
     kind = queries.schema["query_id"].dataType.simpleString()
-    found = []
-    for number in range(blocks):
-        rows = asked.filter(F.col("_block") == number).toPandas()
-        if len(rows):
-            found.append(
-                nearest(
-                    vectors.select("vec_id", "embedding"), ["vec_id"], unit_rows,
-                    list(rows["query_id"]), unit_rows(rows), k, kind, False,
-                )
-            )
-    if not found:
-        return vectors.sparkSession.createDataFrame(
-            [], f"query_id {kind}, rank int, vec_id long, score double"
+    spread = kept.withColumn("_group", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    )
+    sent = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
+        "_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    )
+    names = ["query_id", "vec_id", "score"]
+
+    def best(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(wanted):
+            return pd.DataFrame({c: [] for c in names})
+        # ranked at 6 places, so that ties do not hang on the last bit of a sum
+        scores = np.round(unit_rows(found) @ unit_rows(wanted).T, 6)
+        least = np.partition(scores, -min(k, len(scores)), axis=0)[-min(k, len(scores))]
+        row, query = np.nonzero(scores >= least)
+        ids = found["vec_id"].to_numpy()[row]
+        order = np.lexsort((ids, -scores[row, query], query))
+        row, query, ids = row[order], query[order], ids[order]
+        first = np.searchsorted(query, query)
+        top = np.arange(len(query)) - first < k
+        return pd.DataFrame(
+            {
+                "query_id": wanted["query_id"].to_numpy()[query[top]],
+                "vec_id": ids[top],
+                "score": scores[row[top], query[top]],
+            }
         )
-    return ranked(found, ["vec_id"], k)
+
+    id_kind = vectors.schema["vec_id"].dataType.simpleString()
+    found = spread.groupBy("_group", "_block").cogroup(sent.groupBy("_group", "_block")).applyInPandas(
+        best, f"query_id {kind}, vec_id {id_kind}, score double"
+    )
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return (
+        found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        .select("query_id", "rank", "vec_id", "score")
+    )
 
 
 def label_centroids(vectors: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlens.operators import decisions, monthly
-from bizlens.operators.retrieval import TextIndex
+from bizlens.operators.retrieval import TextIndex, unit_weights
 from bizlens.plans.business import Business
 from bizlens.plans.catalog import REGISTRY
 
@@ -59,16 +59,27 @@ def test_latest_month_is_an_aggregate(b):
     assert "Window" not in plan_of(monthly.latest_month(b.monthly))
 
 
-def test_retrieval_has_no_join_between_chunks_and_queries(spark, b):
+def test_retrieval_reads_postings_by_layer_and_never_crosses(spark, b):
     index = TextIndex.fit(b.base("documents"))
     queries = b.base("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = unit_weights(queries, ["query_id"], index.vocabulary).select(
+        "query_id", F.col("term_no").cast("int"), F.col("weight").alias("query_weight")
+    )
+    cells = asked.join(index.impacts.cells, "term_no").where("layer < 3")
+    plan = plan_of(index.impacts.contributions(cells.select("query_id", "term_no", "layer", "query_weight", "salts")))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+    # the layer is a folder: what lies deeper than any cell asked for is not read
+    assert re.search(r"PartitionFilters: \[isnotnull\(layer#\d+\), \(layer#\d+ <= Subquery", plan)
+
+
+@pytest.mark.parametrize("count", [10, 5000])
+def test_retrieval_plan_does_not_depend_on_the_number_of_queries(spark, b, count):
+    index = TextIndex.fit(b.base("documents"))
+    index.impacts  # noqa: B018  written once, before the plans are taken
+    queries = spark.range(count).select(F.col("id").alias("query_id"), F.lit("the price of tin and the rest").alias("text"))
     plan = plan_of(index.retrieve(queries))
-    assert plan.index("Final") < plan.index("Exchange hashpartitioning(query_id") < plan.index("Partial")
-    # one join, with the vocabulary; one shuffle to spread a single file, one by chunk, one by query
-    assert plan.count("Join") == 1
-    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) == 3
-    # the tokeniser runs once; the other pattern cuts the text into steps
-    assert plan.count("[\\p{L}") == 1
+    assert plan.count("WindowGroupLimit") >= 1
+    assert "Union" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_window_without_key_only_sees_months(b):
