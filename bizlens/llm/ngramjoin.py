@@ -10,12 +10,12 @@ no linked pair can miss.
    needed to make linked sets meet. The counting is a shuffle of packed arrays.
 2. *Tiles.* A tile is a shared shingle and a band of sizes; linked sizes lie in one band or in
    neighbouring ones, so every node is an owner of its band and a guest of the next.
-3. *Links.* First every node is compared with the best-connected node of each of its tiles. What
-   remains are tiles with several components. They are cut into blocks of
+3. *Links.* First every node is compared with the hub of each of its shingles, the node with the most
+   to share. What remains are tiles with several components. They are cut into blocks of
    ``TILE_ROWS`` nodes; a task gets two blocks and compares bitmaps of ``MARK_BITS`` hashed shingles:
-   a bit that one set has and the other lacks is a shingle not shared. Only pairs of different
-   components that this bound lets through are made, and exact intersection of the sorted arrays
-   decides. No tile is expanded into its pairs.
+   a bit that one set has and the other lacks is a shingle not shared. Only for pairs of different
+   components that this bound lets through does exact intersection of the sorted arrays decide. No
+   tile is expanded into its pairs.
 
 Very frequent shingles (by a table of counts of fixed size) are ranked last, and leave the counting
 shuffle; only documents that consist mostly of them carry them, so no task gathers one shingle of a
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from bizlens.llm.common import mixed, settled, small_batches, table
 from bizlens.llm.neardup import components
-from bizlens.llm.wordgrams import Words, byte_set, part_of, text_slices
+from bizlens.llm.wordgrams import Words, bloom_of, byte_set, in_bloom, part_of, text_slices
 
 SHINGLE = 4
 LINKED = 85  # percent
@@ -54,6 +54,7 @@ TILE_ROWS = 256
 MARK_BITS = 4096
 PAIRS = 1 << 16  # pairs compared at a time
 BUCKET_ROWS = 16_384
+SENT = 1024  # shingles of a set that travels with its bitmap
 BAND = math.log(100 / LINKED) * (1 + 1e-6)
 _BREAKS, _NONE = byte_set(" \t\n\x0b\x0c\r"), np.zeros(256, bool)
 
@@ -202,7 +203,7 @@ def packed_tokens(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, parts
         yield sent(held)
 
 
-SHARED = "node long, token long, texts long, size int, common int"
+SHARED = "node long, token long, texts int, size int, common int"
 
 
 def shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +239,7 @@ def required(size: Column) -> Column:
     return F.floor(least / 5) + 1
 
 
-NODES = "doc_id long, content long, node long, size int, rest array<long>"
+NODES = "doc_id long, node long, size int, rest array<long>"
 
 
 def named_sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -263,7 +264,6 @@ def named_sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Itera
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id").slice(low, rows),
-                "content": batch.column("content").slice(low, rows),
                 "node": pa.array(node.view(np.int64), mask=size == 0),
                 "size": pa.array(size, pa.int32()),
                 "rest": rest,
@@ -271,47 +271,83 @@ def named_sets(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Itera
         )
 
 
-def tile_members(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``token, band, node, size, own``: the nodes of every tile that has an owner and another node."""
+def token_rows(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``token, node, size, kept``: the prefix tokens that a node has to meet others on, and how many
+    it has; an original has more of them than its changed copies."""
     of_node = Window.partitionBy("node")
     rare = (
         shared.withColumn("many", F.count("*").over(of_node))
         .withColumn("place", F.row_number().over(of_node.orderBy("texts", "token")))
-        .withColumn("spare", F.col("many") + F.col("common") - required(F.col("size")))
-        .where("place <= spare + 1").select("token", "node", "size")
+        .withColumn("kept", (F.col("many") + F.col("common") - required(F.col("size")) + 1).cast("int"))
+        .where("place <= kept").select("token", "node", "size", "kept")
     )
     often = nodes.where(F.size("rest") > 0).groupBy("node").agg(
         F.first("size").alias("size"), F.first("rest").alias("rest")
-    ).select(F.explode("rest").alias("token"), "node", "size")
+    ).select(F.explode("rest").alias("token"), "node", "size", F.size("rest").alias("kept"))
+    return settled(rare.union(often), "prefix-tokens")
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """``token, node, size, hub``: the rows of tokens that several nodes have, beside the node of the
+    token with the most tokens."""
+    hubs = rows.groupBy("token").agg(
+        F.count("*").alias("members"), F.max(F.struct("kept", "node")).alias("hub"),
+        F.min("size").alias("least"), F.max("size").alias("most"),
+    )
+    hubs = settled(hubs.where("members > 1").select("token", F.col("hub.node").alias("hub")), "hubs")
+    return settled(rows.join(hubs, "token").select("token", "node", "size", "hub"), "token-members")
+
+
+def tile_members(inside: DataFrame) -> DataFrame:
+    """``token, band, node, size, component, own, members`` of the tiles that have an owner and
+    several components. Every node owns its band and is a guest of the next."""
     band = F.floor(F.log(F.col("size").cast("double")) / BAND).cast("int")
-    places = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
-    rows = settled(rare.union(often).select("token", "node", "size", F.inline(places)), "prefix-tokens")
-    sizes = rows.groupBy("token", "band").agg(F.count("*").alias("members"), F.max("own").alias("owned"))
-    full = settled(sizes.where("members > 1 and owned").select("token", "band", "members"), "tiles")
-    return settled(rows.join(full, ["token", "band"]), "tile-members")
+    places = F.array(
+        F.struct(band.alias("band"), F.lit(True).alias("own")),
+        F.struct((band + 1).alias("band"), F.lit(False).alias("own")),
+    )
+    rows = inside.select("token", "node", "size", "component", F.inline(places))
+    tiles = rows.groupBy("token", "band").agg(
+        F.count("*").alias("members"), F.max("own").alias("owned"),
+        F.min("component").alias("least"), F.max("component").alias("most"),
+    ).where("owned and least <> most").select("token", "band", "members")
+    return rows.join(settled(tiles, "open-tiles"), ["token", "band"])
 
 
 # --- exact comparison
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted shingles of every set, and the bitmap of their hashes."""
+def set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The sorted shingles of every set of a task, once, and the bitmap of their hashes. ``wanted`` is a
+    Bloom filter of nodes; a few others may pass it."""
+    seen: set[int] = set()
     for _, _, found, owner, size, node in sets_of(batches):
         ends = np.cumsum(size)
-        blobs, marks = [], []
-        for low, high in zip((ends - size).tolist(), ends.tolist(), strict=True):
-            own = found[low:high]
+        hit = size > 0
+        if wanted is not None:
+            hit &= in_bloom(wanted, node)
+        names, blobs, marks = [], [], []
+        for place in np.flatnonzero(hit).tolist():
+            name = int(node[place])
+            if wanted is not None:
+                if name in seen:
+                    continue
+                seen.add(name)
+            own = found[ends[place] - size[place] : ends[place]]
             bits = np.zeros(MARK_BITS, np.uint8)
             bits[own & np.uint64(MARK_BITS - 1)] = 1
+            names.append(name)
             blobs.append(own.tobytes())
             marks.append(np.packbits(bits).tobytes())
         yield pa.RecordBatch.from_pydict(
             {
-                "node": pa.array(node.view(np.int64)),
+                "node": pa.array(np.array(names, np.uint64).view(np.int64)),
                 "shingles": pa.array(blobs, pa.binary()),
                 "marks": pa.array(marks, pa.binary()),
             }
         )
+        if len(seen) > HELD:
+            seen.clear()
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +356,7 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = np.zeros(batch.num_rows, bool)
         for place, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"), strict=True)):
             a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-            if 100 * min(len(a), len(b)) >= LINKED * max(len(a), len(b)):
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                good[place] = 100 * both >= LINKED * (len(a) + len(b) - both)
+            good[place] = 100 * min(len(a), len(b)) >= LINKED * max(len(a), len(b)) and intersects(a, b)
         kept = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(kept), batch.column("v").filter(kept)], names=["u", "v"])
 
@@ -339,13 +373,20 @@ def ordered_pair(one: Column, two: Column) -> list[Column]:
 
 
 def not_joined(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with their components, of tiles that hold several."""
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = named.groupBy("token", "band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return settled(
-        named.join(settled(several.where("least <> most").select("token", "band"), "open-tiles"), ["token", "band"]),
-        "open-members",
+    """``token, node, size, component`` of tokens whose nodes are of several components."""
+    named = settled(
+        members.join(labels, "node", "left").select(
+            "token", "node", "size", F.coalesce("component", "node").alias("component")
+        ),
+        "named-members",
     )
+    several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return named.join(settled(several.where("least <> most").select("token"), "open-tokens"), "token")
+
+
+def intersects(a: np.ndarray, b: np.ndarray) -> bool:
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= LINKED * (len(a) + len(b) - both)
 
 
 def pair_places(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -367,14 +408,26 @@ def pair_places(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def blocked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of some tiles, one or two each: the pairs of different components that bitmaps allow."""
+    """Blocks of some tiles, one or two each: the pairs of different components that bitmaps allow.
+    Sets that came along are intersected here, likeliest pairs first, and a pair whose components
+    an earlier link has already joined is left out; of the others the pair is returned unsure."""
     number = rows.groupby(["token", "band", "i", "j"], sort=False).ngroup().to_numpy()
     order = np.lexsort((rows["side"].to_numpy(), number))
     tile, side = number[order], rows["side"].to_numpy()[order]
     node, own, label = (rows[c].to_numpy()[order] for c in ("node", "own", "component"))
     size = rows["size"].to_numpy(np.int64)[order]
     bits = np.frombuffer(b"".join(rows["marks"]), np.uint64).reshape(len(rows), -1)[order]
-    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    blobs = rows["shingles"].to_numpy()[order]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out: set[tuple[int, int, bool]] = set()
+    no: set[tuple[int, int]] = set()
     for one, two in pair_places(tile, side):
         fit = (label[one] != label[two]) & (own[one] | own[two])
         fit &= 100 * np.minimum(size[one], size[two]) >= LINKED * np.maximum(size[one], size[two])
@@ -382,16 +435,29 @@ def blocked(rows: pd.DataFrame) -> pd.DataFrame:
         lost = np.bitwise_count(bits[one] & ~bits[two]).sum(axis=1, dtype=np.int64)
         gained = np.bitwise_count(bits[two] & ~bits[one]).sum(axis=1, dtype=np.int64)
         most = np.minimum(size[one] - lost, size[two] - gained)
-        fit = 100 * most >= LINKED * (size[one] + size[two] - most)
-        u.append(np.minimum(node[one[fit]], node[two[fit]]))
-        v.append(np.maximum(node[one[fit]], node[two[fit]]))
-    return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}).drop_duplicates()
+        whole = size[one] + size[two] - most
+        fit = np.flatnonzero(100 * most >= LINKED * whole)
+        fit = fit[np.argsort(-(most[fit] / whole[fit]), kind="stable")]
+        for a, b in zip(one[fit].tolist(), two[fit].tolist(), strict=True):
+            pair = (min(node[a], node[b]), max(node[a], node[b]))
+            if blobs[a] is None or blobs[b] is None:
+                out.add((*pair, False))
+                continue
+            x, y = root(label[a]), root(label[b])
+            if x == y or pair in no:
+                continue
+            if intersects(np.frombuffer(blobs[a], np.uint64), np.frombuffer(blobs[b], np.uint64)):
+                parent[x] = y
+                out.add((*pair, True))
+            else:
+                no.add(pair)
+    return pd.DataFrame(sorted(out), columns=["u", "v", "sure"]).astype({"u": np.int64, "v": np.int64, "sure": bool})
 
 
 def bitmap_pairs(inside: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of different components in open tiles, block against block. A member goes to the
-    pairs of its own block with every block of the tile; side 2 is a block with itself. A task takes
-    the block pairs of a bucket, about ``BUCKET_ROWS`` rows."""
+    """What block against block finds in open tiles. A member goes to the pairs of its own block with
+    every block of the tile; side 2 is a block with itself. A task takes the block pairs of a bucket,
+    about ``BUCKET_ROWS`` rows. Sets of up to ``SENT`` shingles travel with their bitmap."""
     blocks = F.ceil(F.col("members") / TILE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = inside.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -405,9 +471,10 @@ def bitmap_pairs(inside: DataFrame, sets: DataFrame) -> DataFrame:
     )
     buckets = max(1, rows.count() // BUCKET_ROWS)
     bucket = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(buckets))
+    carried = sets.select("node", "marks", F.when(F.length("shingles") <= 8 * SENT, F.col("shingles")).alias("shingles"))
     found = (
-        rows.join(sets.select("node", "marks"), "node").groupBy(bucket.alias("bucket"))
-        .applyInPandas(lambda x: blocked(x), "u long, v long")
+        rows.join(carried, "node").groupBy(bucket.alias("bucket"))
+        .applyInPandas(lambda x: blocked(x), "u long, v long, sure boolean")
     )
     return settled(found.distinct(), "bitmap-pairs")
 
@@ -416,7 +483,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, size, node, component`` for every row; node and component are null for empty sets."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, total = frequent_slots(texts.select("text"))
     held = spark.sparkContext.broadcast(frequent)  # 2**SLOT_BITS flags
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
@@ -427,29 +494,20 @@ def classes(docs: DataFrame) -> DataFrame:
         "shared-tokens",
     )
     nodes = settled(texts.mapInArrow(lambda b: named_sets(b, held.value), NODES), "nodes")
-    members = tile_members(shared, nodes)
-    # one text of every node in a tile
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("content", "doc_id")).alias("one")
-    ).select(F.col("one.content").alias("_content"), F.col("one.doc_id").alias("_doc_id"))
-    own = texts.join(
-        settled(chosen, "chosen-texts"),
-        (F.col("content") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi",
+    members = star_pairs(token_rows(shared, nodes))
+    wanted = spark.sparkContext.broadcast(bloom_of(members.select("node").distinct(), "node"))
+    rows = texts.select("text").mapInArrow(
+        lambda b: set_rows(b, wanted.value), "node long, shingles binary, marks binary"
     )
-    rows = own.select("text").mapInArrow(set_rows, "node long, shingles binary, marks binary")
     sets = settled(rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("marks").alias("marks")), "sets")
-    # every node with the best-connected one of each of its tiles
-    degrees = settled(members.groupBy("node").agg(F.sum("members").alias("degree")), "degrees")
-    centre = members.join(degrees, "node").groupBy("token", "band").agg(
-        F.max(F.struct("degree", "node")).alias("centre")
-    )
-    centres = settled(centre, "centres")
-    hub = F.col("centre.node")
-    near = members.join(centres, ["token", "band"]).where(F.col("node") != hub)
-    links = links_among(near.select(*ordered_pair(F.col("node"), hub)).distinct(), sets)
-    # all that the bitmaps allow
-    inside = not_joined(members, components(links))
-    links = links.union(links_among(bitmap_pairs(inside, sets), sets))
+    # every node with the hub of each of its tokens
+    near = members.where("node <> hub").select(*ordered_pair(F.col("node"), F.col("hub"))).distinct()
+    links = links_among(near, sets)
+    # all that the bitmaps allow where several components are left
+    inside = tile_members(not_joined(members.drop("hub"), components(links)))
+    found = bitmap_pairs(inside, sets)
+    links = links.union(found.where("sure").select("u", "v"))
+    links = links.union(links_among(found.where("not sure").select("u", "v"), sets))
     labels = components(links)
     return nodes.join(labels, "node", "left").select(
         "doc_id", "size", "node", F.coalesce("component", "node").alias("component")
