@@ -8,14 +8,15 @@ no linked pair can miss.
    linked sets share at least ``reserve(needed(n))`` of these, for either's ``n``. So shingles that
    stand in one prefix only rule out most documents, and of the shared ones only the rarest are
    needed to make linked sets meet. The counting is a shuffle of packed arrays.
-2. *Tiles.* A tile is a shared shingle and a band of sizes; linked sizes lie in one band or in
-   neighbouring ones, so every node is an owner of its band and a guest of the next.
-3. *Links.* First every node is compared with the hub of each of its shingles, the node with the most
-   to share. What remains are tiles with several components. They are cut into blocks of
-   ``TILE_ROWS`` nodes; a task gets two blocks and compares bitmaps of ``MARK_BITS`` hashed shingles:
-   a bit that one set has and the other lacks is a shingle not shared. Only for pairs of different
-   components that this bound lets through does exact intersection of the sorted arrays decide. No
-   tile is expanded into its pairs.
+2. *Families.* The hub of a shared shingle is the node with the most to share (an original rather
+   than its changed copies); its family are the nodes that share such a shingle with it. Any two
+   nodes that share a shingle are in a family together. Every node is compared with its hubs.
+3. *Tiles.* What remains are families with several components. A large one is cut into bands of
+   sizes (linked sizes lie in one band or in neighbouring ones, so a node is also a guest of the next
+   band) and these into blocks of ``TILE_ROWS`` nodes. A task gets two blocks and compares bitmaps of
+   ``MARK_BITS`` hashed shingles: a bit that one set has and the other lacks is a shingle not shared.
+   Only for pairs of different components that this bound lets through does exact intersection of the
+   sorted arrays decide. No family is expanded into its pairs.
 
 Very frequent shingles (by a table of counts of fixed size) are ranked last, and leave the counting
 shuffle; only documents that consist mostly of them carry them, so no task gathers one shingle of a
@@ -50,10 +51,10 @@ SLOT_PARTS = 64
 FREQUENT = 1000  # a shingle in fewer prefixes is never ranked as frequent
 HELD = 3_000_000
 PART_TOKENS = 2_000_000
-TILE_ROWS = 256
+TILE_ROWS = 1024
 MARK_BITS = 4096
 PAIRS = 1 << 16  # pairs compared at a time
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 8192
 SENT = 1024  # shingles of a set that travels with its bitmap
 BAND = math.log(100 / LINKED) * (1 + 1e-6)
 _BREAKS, _NONE = byte_set(" \t\n\x0b\x0c\r"), np.zeros(256, bool)
@@ -287,31 +288,35 @@ def token_rows(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return settled(rare.union(often), "prefix-tokens")
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """``token, node, size, hub``: the rows of tokens that several nodes have, beside the node of the
-    token with the most tokens."""
-    hubs = rows.groupBy("token").agg(
-        F.count("*").alias("members"), F.max(F.struct("kept", "node")).alias("hub"),
-        F.min("size").alias("least"), F.max("size").alias("most"),
-    )
+def families(rows: DataFrame) -> DataFrame:
+    """``hub, node, size``: the nodes that share a token with its hub, the node of the token with the
+    most tokens. Two nodes that share a token are in a family together."""
+    hubs = rows.groupBy("token").agg(F.count("*").alias("members"), F.max(F.struct("kept", "node")).alias("hub"))
     hubs = settled(hubs.where("members > 1").select("token", F.col("hub.node").alias("hub")), "hubs")
-    return settled(rows.join(hubs, "token").select("token", "node", "size", "hub"), "token-members")
+    return settled(
+        rows.join(hubs, "token").groupBy("hub", "node").agg(F.first("size").alias("size")), "families"
+    )
 
 
 def tile_members(inside: DataFrame) -> DataFrame:
-    """``token, band, node, size, component, own, members`` of the tiles that have an owner and
-    several components. Every node owns its band and is a guest of the next."""
+    """``hub, band, node, size, component, own, members`` of the tiles that have an owner and several
+    components. A family of up to ``TILE_ROWS`` nodes is one tile; in a larger one every node owns
+    its band of sizes and is a guest of the next."""
     band = F.floor(F.log(F.col("size").cast("double")) / BAND).cast("int")
+    many = inside.groupBy("hub").agg(F.count("*").alias("many"))
+    one = F.array(F.struct(F.lit(0).alias("band"), F.lit(True).alias("own")))
     places = F.array(
         F.struct(band.alias("band"), F.lit(True).alias("own")),
         F.struct((band + 1).alias("band"), F.lit(False).alias("own")),
     )
-    rows = inside.select("token", "node", "size", "component", F.inline(places))
-    tiles = rows.groupBy("token", "band").agg(
+    rows = inside.join(settled(many, "family-sizes"), "hub").select(
+        "hub", "node", "size", "component", F.inline(F.when(F.col("many") <= TILE_ROWS, one).otherwise(places))
+    )
+    tiles = rows.groupBy("hub", "band").agg(
         F.count("*").alias("members"), F.max("own").alias("owned"),
         F.min("component").alias("least"), F.max("component").alias("most"),
-    ).where("owned and least <> most").select("token", "band", "members")
-    return rows.join(settled(tiles, "open-tiles"), ["token", "band"])
+    ).where("owned and least <> most").select("hub", "band", "members")
+    return rows.join(settled(tiles, "open-tiles"), ["hub", "band"])
 
 
 # --- exact comparison
@@ -373,15 +378,15 @@ def ordered_pair(one: Column, two: Column) -> list[Column]:
 
 
 def not_joined(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``token, node, size, component`` of tokens whose nodes are of several components."""
+    """``hub, node, size, component`` of families whose nodes are of several components."""
     named = settled(
         members.join(labels, "node", "left").select(
-            "token", "node", "size", F.coalesce("component", "node").alias("component")
+            "hub", "node", "size", F.coalesce("component", "node").alias("component")
         ),
         "named-members",
     )
-    several = named.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return named.join(settled(several.where("least <> most").select("token"), "open-tokens"), "token")
+    several = named.groupBy("hub").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return named.join(settled(several.where("least <> most").select("hub"), "open-families"), "hub")
 
 
 def intersects(a: np.ndarray, b: np.ndarray) -> bool:
@@ -411,7 +416,7 @@ def blocked(rows: pd.DataFrame) -> pd.DataFrame:
     """Blocks of some tiles, one or two each: the pairs of different components that bitmaps allow.
     Sets that came along are intersected here, likeliest pairs first, and a pair whose components
     an earlier link has already joined is left out; of the others the pair is returned unsure."""
-    number = rows.groupby(["token", "band", "i", "j"], sort=False).ngroup().to_numpy()
+    number = rows.groupby(["hub", "band", "i", "j"], sort=False).ngroup().to_numpy()
     order = np.lexsort((rows["side"].to_numpy(), number))
     tile, side = number[order], rows["side"].to_numpy()[order]
     node, own, label = (rows[c].to_numpy()[order] for c in ("node", "own", "component"))
@@ -464,13 +469,13 @@ def bitmap_pairs(inside: DataFrame, sets: DataFrame) -> DataFrame:
     side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
     rows = settled(
         rows.select(
-            "token", "band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
+            "hub", "band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
             side.alias("side"), "node", "size", "own", "component",
         ),
         "tile-blocks",
     )
     buckets = max(1, rows.count() // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(buckets))
+    bucket = F.pmod(F.xxhash64("hub", "band", "i", "j"), F.lit(buckets))
     carried = sets.select("node", "marks", F.when(F.length("shingles") <= 8 * SENT, F.col("shingles")).alias("shingles"))
     found = (
         rows.join(carried, "node").groupBy(bucket.alias("bucket"))
@@ -494,17 +499,17 @@ def classes(docs: DataFrame) -> DataFrame:
         "shared-tokens",
     )
     nodes = settled(texts.mapInArrow(lambda b: named_sets(b, held.value), NODES), "nodes")
-    members = star_pairs(token_rows(shared, nodes))
+    members = families(token_rows(shared, nodes))
     wanted = spark.sparkContext.broadcast(bloom_of(members.select("node").distinct(), "node"))
     rows = texts.select("text").mapInArrow(
         lambda b: set_rows(b, wanted.value), "node long, shingles binary, marks binary"
     )
     sets = settled(rows.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("marks").alias("marks")), "sets")
-    # every node with the hub of each of its tokens
+    # every node with the hubs of its families
     near = members.where("node <> hub").select(*ordered_pair(F.col("node"), F.col("hub"))).distinct()
     links = links_among(near, sets)
     # all that the bitmaps allow where several components are left
-    inside = tile_members(not_joined(members.drop("hub"), components(links)))
+    inside = tile_members(not_joined(members, components(links)))
     found = bitmap_pairs(inside, sets)
     links = links.union(found.where("sure").select("u", "v"))
     links = links.union(links_among(found.where("not sure").select("u", "v"), sets))
