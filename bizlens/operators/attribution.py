@@ -13,14 +13,15 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.exact import rounded
 from bizlens.operators.customers import driver_phrases, risk_tier
-from bizlens.operators.decisions import scenario_inputs, scenario_outcome
+from bizlens.operators.decisions import scenario_outcome
 from bizlens.operators.metrics import confidence_label
 from bizlens.operators.models import FittedModel
+from bizlens.operators.monthly import last_rows
 from bizlens.session import scratch_path
 
 
@@ -231,9 +232,10 @@ def customer_scores(rows: DataFrame, churn: FittedModel, value: FittedModel) ->
     ).orderBy(F.col("churn_probability").desc(), "customer_id")
 
 
-def scenario_scores(revenue: FittedModel, units: FittedModel, latest: DataFrame) -> DataFrame:
-    """Base and scenario forecasts of both models for every region and scenario, in one plan."""
-    rows = scenario_inputs(latest)
+def scenario_scores(revenue: FittedModel, units: FittedModel, rows: DataFrame) -> DataFrame:
+    """Base and scenario forecasts of both models for every row, in one plan. ``rows`` is a table of
+    parameters beside the newest month of their region (``decisions.shifted_inputs``): any number
+    of scenarios or questions is one batch."""
     shifted = ["inflation_rate_pct", "competitor_price_index", "marketing_spend"]
     inputs = [f"x_{c}" for c in revenue.numeric] + [
         c for c in revenue.inputs if not c.startswith("x_")
@@ -254,3 +256,51 @@ def scenario_scores(revenue: FittedModel, units: FittedModel, latest: DataFrame)
         F.col("_model_units"),
         [rounded(F.col("_model_revenue"), 2).alias("revenue_model_scenario")],
     )
+
+
+def attribution_gap(attribution: DataFrame, keys: list[str], classifier: bool = False) -> DataFrame:
+    """How far base value and contributions are from the model's output: 0 for an exact attribution.
+    A classifier's output is compared as a probability, the scale of its contributions being
+    log-odds."""
+    total = F.aggregate("factors", F.col("base_value"), lambda t, f: t + f["contribution"])
+    if classifier:
+        total = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    size = F.greatest(F.abs("prediction"), F.lit(1.0))
+    return attribution.select(*keys, F.abs(rounded((total - F.col("prediction")) / size, 6)).alias("gap"))
+
+
+def change_drivers(model: FittedModel, features: DataFrame) -> DataFrame:
+    """Why a region's forecast moved: for every input, its contribution in the newest month less that
+    in the month before. ``region, month, place, feature, value_before, value_now, effect,
+    predicted_before, predicted_now``; over a region the effects sum to the predicted change."""
+    cards = tree_attribution(model, last_rows(features, 2), ["region", "month", "step"])
+    rows = cards.select("region", "month", "step", "prediction", F.inline("factors"))
+    now, before = F.col("step") == 2, F.col("step") == 1
+
+    def of(which, column: str):
+        return F.max(F.when(which, F.col(column)))
+
+    effects = (
+        rows.groupBy("region", "feature")
+        .agg(
+            F.max("month").alias("month"),
+            of(before, "value").alias("value_before"), of(now, "value").alias("value_now"),
+            (of(now, "contribution") - of(before, "contribution")).alias("effect"),
+            of(before, "prediction").alias("predicted_before"), of(now, "prediction").alias("predicted_now"),
+        )
+        .where("predicted_now IS NOT NULL")
+    )
+    order = Window.partitionBy("region").orderBy(F.abs("effect").desc(), "feature")
+    return effects.withColumn("place", F.row_number().over(order).cast("long")).select(
+        "region", "month", "place", "feature", "value_before", "value_now", "effect",
+        "predicted_before", "predicted_now",
+    )
+
+
+def change_gap(drivers: DataFrame) -> DataFrame:
+    """Per region how far the effects are from the predicted change, relative to the forecast."""
+    moved = F.max("predicted_now") - F.max("predicted_before")
+    return drivers.groupBy("region").agg(
+        F.abs(rounded((F.sum("effect") - moved) / F.greatest(F.abs(F.max("predicted_now")), F.lit(1.0)), 6)).alias("gap"),
+        F.count(F.lit(1)).alias("features"),
+    )

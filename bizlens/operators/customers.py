@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.exact import exact_sum, flag, rounded
@@ -77,9 +77,9 @@ def scorecard(features: DataFrame, enterprise: str = "Enterprise") -> DataFrame:
     )
 
 
-def scorecard_attribution(features: DataFrame, enterprise: str = "Enterprise") -> DataFrame:
-    """Long form: per customer and term, weight times the distance from the population mean.
-    For a linear score this is the exact additive attribution."""
+def scorecard_factors(features: DataFrame, enterprise: str = "Enterprise") -> Column:
+    """Per customer and term, weight times the distance from the population mean, as one array. For a
+    linear score this is the exact additive attribution. The means are one scalar row."""
     terms = scorecard_terms(enterprise)
     means = features.agg(
         F.struct(
@@ -89,40 +89,37 @@ def scorecard_attribution(features: DataFrame, enterprise: str = "Enterprise") -
             ]
         ).alias("means")
     ).scalar()
-    parts = F.array(
+    return F.array(
         *[
             F.struct(
                 F.lit(name).alias("feature"),
                 term.cast("double").alias("value"),
                 rounded(
-                    F.lit(WEIGHTS[name]) * (term - F.col("_means").getField(name)), 6
+                    F.lit(WEIGHTS[name]) * (term - means.getField(name)), 6
                 ).alias("contribution"),
             )
             for name, term in terms.items()
         ]
     )
-    return features.withColumn("_means", means).select("customer_id", F.inline(parts))
-
-
-def drivers_text(attribution: DataFrame, top: int = 3) -> DataFrame:
-    """``name (+0.12); name (-0.05)`` for the strongest contributions of each customer. A customer
-    has a fixed small number of features, so the list per customer is short."""
-    strongest = F.slice(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    (-F.abs("contribution")).alias("size"), F.col("feature"), F.col("contribution")
-                )
-            )
-        ),
-        1,
-        top,
+
+
+def scorecard_attribution(features: DataFrame, enterprise: str = "Enterprise") -> DataFrame:
+    """Long form: a row per customer and term."""
+    return features.withColumn("_factors", scorecard_factors(features, enterprise)).select(
+        "customer_id", F.inline("_factors")
     )
-    return (
-        attribution.groupBy("customer_id")
-        .agg(strongest.alias("strongest"))
-        .select("customer_id", driver_phrases(F.col("strongest")).alias("top_churn_drivers"))
+
+
+def strongest_drivers(factors: Column, top: int = 3) -> Column:
+    """``name (+0.12); name (-0.05)`` for the strongest of an array of contributions, in the row."""
+    by_size = F.transform(
+        factors,
+        lambda f: F.struct(
+            (-F.abs(f["contribution"])).alias("size"), f["feature"].alias("feature"),
+            f["contribution"].alias("contribution"),
+        ),
     )
+    return driver_phrases(F.slice(F.array_sort(by_size), 1, top))
 
 
 def driver_phrases(strongest: Column) -> Column:
@@ -140,9 +137,13 @@ def driver_phrases(strongest: Column) -> Column:
     )
 
 
-def scored_customers(features: DataFrame, enterprise: str = "Enterprise") -> DataFrame:
-    """Probability and expected value per customer, from the scorecard."""
-    return scorecard(features, enterprise).select(
+def scored_customers(features: DataFrame, enterprise: str = "Enterprise", drivers: bool = False) -> DataFrame:
+    """Probability and expected value per customer, from the scorecard; with ``drivers``, the three
+    strongest contributions in words. One pass over the customers."""
+    rows = scorecard(features, enterprise)
+    if drivers:
+        rows = rows.withColumn("_factors", scorecard_factors(features, enterprise))
+    return rows.select(
         "customer_id",
         "region",
         "segment",
@@ -153,6 +154,7 @@ def scored_customers(features: DataFrame, enterprise: str = "Enterprise") -> Dat
             * (F.lit(1.0) - F.lit(CHURN_LOSS) * F.col("churn_probability")),
             2,
         ).alias("predicted_clv_12mo"),
+        *([strongest_drivers(F.col("_factors")).alias("top_churn_drivers")] if drivers else []),
     )
 
 
@@ -220,5 +222,20 @@ def churn_histogram(scores: DataFrame) -> DataFrame:
     return counts.select("region", F.inline(rows))
 
 
+def top_by_region(scores: DataFrame, rows: int = 10, whole: str = "ALL") -> DataFrame:
+    """``scope, place`` and the score columns: the riskiest customers of every region, and of all.
+    Tasks keep ``rows`` rows per region before anything is shuffled; the overall list comes from
+    those of the regions."""
+    order = [F.col("churn_probability").desc(), F.col("customer_id")]
+
+    def best(frame: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("scope").orderBy(*order))
+        return frame.withColumn("place", place.cast("long")).filter(F.col("place") <= rows)
+
+    own = best(scores.withColumn("scope", F.col("region")))
+    every = best(own.withColumn("scope", F.lit(whole)))
+    return own.unionByName(every).select("scope", "place", *scores.columns)
+
+
 def top_at_risk(scores: DataFrame, rows: int = 10) -> DataFrame:
     return scores.orderBy(F.col("churn_probability").desc(), "customer_id").limit(rows)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens.functions.exact import clip, exact_sum, ratio, rounded
+from bizlens.functions.ordered import running_before
 
 # Price changes tried, assumed elasticities, unit cost share of price.
 PRICE_CHANGES = (-0.15, -0.10, -0.05, 0.0, 0.05, 0.08, 0.10, 0.15)
@@ -184,6 +185,66 @@ def supplier_offers(offers=SUPPLIER_OFFERS) -> Column:
     )
 
 
+def given_offers(spark: SparkSession, offers=SUPPLIER_OFFERS) -> DataFrame:
+    """The offers as a table: ``supplier, unit_cost, capacity``."""
+    return spark.createDataFrame(
+        [(n, float(c), float(k)) for n, c, k in offers], "supplier string, unit_cost double, capacity double"
+    )
+
+
+def shared_fill(offers: DataFrame, demand: DataFrame) -> DataFrame:
+    """Offers whose capacity all regions share: the cheapest first, regions served in name order.
+
+    Both sides are laid end to end by a running sum; what a region takes of an offer is the overlap of
+    their stretches. Offers may be many (their sum is taken over slices); the regions are a short list
+    and travel as one array. Regions left without any volume have one row without a supplier."""
+    supply = running_before(
+        offers.withColumn("_capacity", F.col("capacity").cast("decimal(18,2)")),
+        [F.col("unit_cost"), F.col("supplier")], {"_from": "_capacity"}, total="_all",
+    )
+    wanted = demand.select(
+        "region", F.col("required_volume").cast("decimal(18,2)").alias("volume")
+    ).agg(F.array_sort(F.collect_list(F.struct("region", "volume"))).alias("regions")).scalar()
+    zero = F.lit(0).cast("decimal(28,2)")
+    # one running total beside each region of the short list
+    placed = F.aggregate(
+        F.col("_wanted"),
+        F.struct(zero.alias("end"), F.array().cast(
+            "array<struct<region:string,volume:decimal(18,2),at:decimal(28,2)>>").alias("rows")),
+        lambda t, r: F.struct(
+            (t["end"] + r["volume"]).cast("decimal(28,2)").alias("end"),
+            F.concat(t["rows"], F.array(F.struct(r["region"], r["volume"], t["end"].alias("at")))).alias("rows"),
+        ),
+    )["rows"]
+    start, end = F.col("_from"), F.col("_from") + F.col("_capacity")
+    cut = F.transform(
+        F.col("_regions"),
+        lambda r: F.struct(
+            r["region"].alias("region"), r["volume"].cast("double").alias("required_volume"),
+            (F.least(end, r["at"] + r["volume"]) - F.greatest(start, r["at"])).cast("double").alias("allocated_volume"),
+            F.when(r["at"] + r["volume"] <= F.col("_all"), "served").otherwise("partly served").alias("status"),
+        ),
+    )
+    columns = ["region", "supplier", "unit_cost", "capacity", "required_volume", "status", "allocated_volume"]
+    taken = (
+        supply.withColumn("_wanted", wanted).withColumn("_regions", placed)
+        .select("supplier", "unit_cost", "capacity", F.inline(F.filter(cut, lambda r: r["allocated_volume"] > 0)))
+        .select(*columns)
+    )
+    whole = offers.agg(F.coalesce(F.sum(F.col("capacity").cast("decimal(18,2)")), zero)).scalar()
+    short = (
+        offers.sparkSession.range(1).select(wanted.alias("_wanted"), whole.alias("_whole"))
+        .select(placed.alias("_regions"), "_whole").select("_whole", F.inline("_regions")).where((F.col("at") >= F.col("_whole")) & (F.col("volume") > 0))
+        .select(
+            "region", F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"),
+            F.col("volume").cast("double"), F.lit("unserved"), F.lit(0.0),
+        )
+    )
+    return taken.union(short).withColumn(
+        "allocated_cost", F.coalesce(rounded(F.col("allocated_volume") * F.col("unit_cost"), 2), F.lit(0.0))
+    )
+
+
 def offers_from_stock(stock: DataFrame) -> DataFrame:
     """Supplier offers read from the stock table: mean unit cost, units on hand as capacity."""
     return stock.groupBy("region", "supplier").agg(
@@ -255,9 +316,10 @@ def scenario_array(scenarios=SCENARIOS) -> Column:
     )
 
 
-def scenario_inputs(latest: DataFrame, scenarios=SCENARIOS) -> DataFrame:
-    """Each region's newest row under each scenario, with the shifted model inputs beside it."""
-    return latest.select("*", F.inline(scenario_array(scenarios))).withColumns(
+def shifted_inputs(rows: DataFrame) -> DataFrame:
+    """Add the model inputs that a scenario changes. ``rows`` holds a region's newest month beside
+    the scenario's parameters."""
+    return rows.withColumns(
         {
             "scenario_inflation_rate_pct": rounded(
                 F.col("inflation_rate_pct") + F.col("inflation_delta_pts"), 6
@@ -274,6 +336,11 @@ def scenario_inputs(latest: DataFrame, scenarios=SCENARIOS) -> DataFrame:
     )
 
 
+def scenario_inputs(latest: DataFrame, scenarios=SCENARIOS) -> DataFrame:
+    """Each region's newest row under each scenario, with the shifted model inputs beside it."""
+    return shifted_inputs(latest.select("*", F.inline(scenario_array(scenarios))))
+
+
 def scenario_outcome(
     rows: DataFrame,
     base_revenue: Column,

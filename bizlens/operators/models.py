@@ -36,6 +36,8 @@ FORECAST_TREES, FORECAST_RATE = 250, 0.06
 CUSTOMER_TREES, CUSTOMER_RATE = 200, 0.08
 DEPTH, ROW_SAMPLE, SEED = 4, 0.9, 42
 MISSING = -1.0e9
+# Training rows of a task: every level of a tree is a job over all partitions.
+FIT_ROWS = 50_000
 
 
 @dataclass
@@ -97,7 +99,8 @@ def fit(
     rate: float,
     classifier: bool = False,
 ) -> FittedModel:
-    """``train`` is materialised once in the shared folder, because every tree reads it again."""
+    """``train`` is materialised once in the shared folder, because every tree reads it again, in as
+    many partitions as its rows need."""
     shared_folder(train.sparkSession)
     inputs = input_columns(numeric, categories)
     rows = pinned(
@@ -105,6 +108,7 @@ def fit(
             *inputs, F.col(target).cast("double").alias("label")
         )
     )
+    rows = rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
     settings = dict(
         maxIter=trees, maxDepth=DEPTH, stepSize=rate, subsamplingRate=ROW_SAMPLE, seed=SEED,
         checkpointInterval=10,

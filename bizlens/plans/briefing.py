@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bizlens.functions import questions as q
 from bizlens.functions.exact import exact_sum, rounded
-from bizlens.operators import customers, decisions, inventory, monthly
+from bizlens.operators import attribution, customers, decisions, inventory, metrics, models, monthly
 from bizlens.operators.metrics import confidence_label
-from bizlens.operators.products import discontinue_candidates
-from bizlens.plans.business import SCENARIO_REGION, SENSITIVE_REGION, Business
+from bizlens.operators.products import discontinue_candidates, ranked
+from bizlens.plans.business import ENTERPRISE, SCENARIO_REGION, SENSITIVE_REGION, Business
 from bizlens.session import pinned, small_side
 
 ALL = "ALL"
+TOP_DRIVERS = 5
+EXCERPT = 300
 
 
 def tagged_questions(b: Business) -> DataFrame:
@@ -29,6 +33,9 @@ def tagged_questions(b: Business) -> DataFrame:
     return q.scenario_numbers(rows)
 
 
+# --- analyses per region ---------------------------------------------------------------------------
+
+
 def root_cause(features: DataFrame) -> DataFrame:
     """Newest month against the one before, with the outside signals of the month."""
     return monthly.month_over_month(
@@ -53,6 +60,49 @@ def trend_list(features: DataFrame) -> DataFrame:
     )
 
 
+def revenue_drivers(b: Business, top: int = TOP_DRIVERS) -> DataFrame:
+    """Per region the model's forecast for the newest month and the month before, and the ``top``
+    inputs whose contributions moved most between the two."""
+    rows = attribution.change_drivers(b.forecast_model("revenue"), b.settled().features)
+    entry = F.struct(
+        "place", "feature", rounded(F.col("value_before"), 4).alias("value_before"),
+        rounded(F.col("value_now"), 4).alias("value_now"), rounded(F.col("effect"), 2).alias("effect"),
+        F.when(F.col("effect") > 0, "up").when(F.col("effect") < 0, "down").otherwise("none").alias("direction"),
+    )
+    return (
+        rows.where(F.col("place") <= top)
+        .groupBy("region")
+        .agg(
+            rounded(F.max("predicted_before"), 2).alias("predicted_before"),
+            rounded(F.max("predicted_now"), 2).alias("predicted_now"),
+            F.array_sort(F.collect_list(entry)).alias("drivers"),
+        )
+    )
+
+
+def model_confidence(b: Business) -> DataFrame:
+    """One row: the revenue model's R² on the newest year, which it has not seen, in words."""
+    test = models.holdout_by_time(b.settled().features).filter("is_test = 1")
+    quality = models.evaluate_regression(b.forecast_model("revenue"), test, "revenue")
+    r2 = F.col("r2")
+    return quality.select(
+        rounded(r2, 3).alias("r2"), confidence_label(r2, F.lit(None).cast("double")).alias("confidence")
+    )
+
+
+def root_cause_full(b: Business) -> DataFrame:
+    """Figures, trend, drivers and confidence of every region's newest month."""
+    b = b.settled()
+    quality = model_confidence(b)
+    return (
+        root_cause(b.features)
+        .join(trend_list(b.features), "region")
+        .join(revenue_drivers(b), "region", "left")
+        .withColumn("model_r2", quality.select("r2").scalar())
+        .withColumn("confidence", quality.select("confidence").scalar())
+    )
+
+
 def pricing(latest: DataFrame) -> DataFrame:
     """Current price, assumed elasticity and the best price change per region."""
     base = decisions.region_price_base(latest, SENSITIVE_REGION).withColumns(
@@ -65,46 +115,62 @@ def pricing(latest: DataFrame) -> DataFrame:
 
 
 def churn(scores: DataFrame, top: int = 10) -> DataFrame:
-    """Per region and overall: the KPIs, the five bucket counts and the ten riskiest customers.
-    The riskiest are cut to ten per region inside the tasks before anything is shuffled, and the
-    overall ten are taken from those."""
+    """Per region and overall: the KPIs, the five bucket counts and the ids of the riskiest
+    customers; see ``churn_full`` for their columns."""
     scores = pinned(scores)
-    order = [F.col("churn_probability").desc(), F.col("customer_id")]
-    mine = scores.withColumn(
-        "_place", F.row_number().over(Window.partitionBy("region").orderBy(*order))
-    ).filter(F.col("_place") <= top)
-    ours = mine.withColumn("region", F.lit(ALL)).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("region").orderBy(*order))
-    ).filter(F.col("_place") <= top)
-    riskiest = (
-        mine.unionByName(ours)
-        .groupBy("region")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("_place", "customer_id"))),
-                    lambda r: r["customer_id"].cast("string"),
-                ),
-                ",",
-            ).alias("top_at_risk_customers")
-        )
+    place = F.array_sort(F.collect_list(F.struct("place", "customer_id")))
+    riskiest = customers.top_by_region(scores, top, ALL).groupBy(F.col("scope").alias("region")).agg(
+        F.array_join(F.transform(place, lambda r: r["customer_id"].cast("string")), ",")
+        .alias("top_at_risk_customers")
     )
     return customers.churn_summary(scores, buckets=True).join(riskiest, "region")
 
 
-def supplier_mix(plan: DataFrame, share: float = decisions.SUPPLIER_SHARE, relax: bool = True):
-    """Serve each region's recommended units from the suppliers found in its stock."""
-    volume = plan.groupBy("region").agg(
+def churn_full(b: Business, top: int = 10) -> DataFrame:
+    """The same with the riskiest customers in full: probability, value and drivers."""
+    entry = F.struct(
+        "place", "customer_id", F.col("home").alias("region"), "segment", "churn_probability",
+        "predicted_clv_12mo", "top_churn_drivers",
+    )
+    riskiest = (
+        customers.top_by_region(b.driven_scores, top, ALL).withColumnRenamed("region", "home")
+        .groupBy(F.col("scope").alias("region"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("top_at_risk_customers"))
+    )
+    return customers.churn_summary(b.scores, buckets=True).join(riskiest, "region")
+
+
+def required_volume(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("region").agg(
         F.sum("recommended_order_qty").cast("long").cast("double").alias("required_volume")
     )
-    offers = decisions.offers_from_stock(plan).join(volume, "region")
+
+
+def supplier_mix(plan: DataFrame, share: float = decisions.SUPPLIER_SHARE, relax: bool = True):
+    """Serve each region's recommended units from the suppliers found in its stock."""
+    offers = decisions.offers_from_stock(plan).join(required_volume(plan), "region")
     return decisions.select_suppliers(offers, ["region"], share, relax)
 
 
-def scenario_answers(b: Business) -> DataFrame:
-    """Every scenario question scored on the newest month of its region."""
+def given_supplier_mix(b: Business, share: float = decisions.SUPPLIER_SHARE) -> DataFrame:
+    """Serve each region's recommended units from the table of given offers, every region on its
+    own; the offers are a short list and travel beside each region."""
+    offers = b.offers.agg(F.collect_list(F.struct("supplier", "unit_cost", "capacity"))).scalar()
+    rows = required_volume(b.plan).withColumn("_offers", offers).select("region", "required_volume", F.inline("_offers"))
+    return decisions.select_suppliers(rows, ["region"], share, relax=True)
+
+
+def shared_supplier_fill(b: Business) -> DataFrame:
+    """The same volumes from the same offers where all regions share each offer's capacity."""
+    return decisions.shared_fill(b.offers, required_volume(b.plan))
+
+
+# --- questions ---------------------------------------------------------------------------------------
+
+
+def scenario_questions(b: Business) -> DataFrame:
+    """The parameters of every scenario question beside the newest month of its region."""
     asked = tagged_questions(b).filter(F.col("answer_type") == "scenario_simulation").select(
-        "question_id",
         F.coalesce("region", F.lit(SCENARIO_REGION)).alias("region"),
         F.col("question_id").alias("scenario"),
         "price_change_pct",
@@ -113,9 +179,37 @@ def scenario_answers(b: Business) -> DataFrame:
         F.lit(0.0).alias("marketing_change_pct"),
         F.lit(decisions.SCENARIO_ELASTICITY).alias("demand_elasticity"),
     )
-    rows = asked.join(b.latest.select("region", "revenue", "units_sold", "avg_unit_price"), "region")
+    return asked.join(b.settled().latest, "region")
+
+
+def scenario_answers(b: Business) -> DataFrame:
+    """Every scenario question through both stored models, all questions in one batch."""
+    rows = decisions.shifted_inputs(scenario_questions(b))
+    return attribution.scenario_scores(b.forecast_model("revenue"), b.forecast_model("units_sold"), rows)
+
+
+def scenario_elastic_answers(b: Business) -> DataFrame:
+    """The same with the observed month in place of both models: elasticities only."""
     units = F.col("units_sold").cast("double")
-    return decisions.scenario_outcome(rows, F.col("revenue"), units, units)
+    return decisions.scenario_outcome(scenario_questions(b), F.col("revenue"), units, units)
+
+
+def scenario_table(b: Business, steps=((0.0, 0.0), (3.0, 0.0), (-3.0, 0.0), (0.0, 0.5), (0.0, -0.5), (3.0, 0.5))) -> DataFrame:
+    """Every region under steps of inflation points and marketing change, through both models."""
+    table = [
+        (f"inflation {points:+g}, marketing {spend:+.0%}", 0.0, points, 0.0, spend, decisions.SCENARIO_ELASTICITY)
+        for points, spend in steps
+    ]
+    rows = decisions.scenario_inputs(b.settled().latest, table)
+    return attribution.scenario_scores(b.forecast_model("revenue"), b.forecast_model("units_sold"), rows)
+
+
+def scenario_unchanged(b: Business) -> DataFrame:
+    """The scenario that changes nothing: model against model, every percentage must be 0."""
+    return scenario_table(b, ((0.0, 0.0),)).select(
+        "region", "demand_pct", "like_for_like_pct",
+        rounded(F.col("revenue_model_scenario") - F.col("baseline_revenue"), 2).alias("model_difference"),
+    )
 
 
 def marketing_answers(b: Business) -> DataFrame:
@@ -127,9 +221,16 @@ def marketing_answers(b: Business) -> DataFrame:
     )
 
 
+# --- briefing ----------------------------------------------------------------------------------------
+
+
 def kpi_rows(b: Business) -> DataFrame:
-    """The figures of the briefing, one per row."""
-    b = b.settled()
+    """The figures of the briefing, one per row; the last section says how far to trust the scores
+    behind them. Monthly features and scores feed two sections each and are settled first."""
+    b = b.settled("monthly", "features", "scores")
+    labelled = customers.scorecard(b.customers, ENTERPRISE).select(
+        F.col("churned").alias("label"), F.col("churn_probability").alias("probability")
+    )
     blocks = [
         ("revenue", root_cause(b.features).select(
             "region", "revenue", "month_over_month_change_pct", "competitor_price_index")),
@@ -140,6 +241,7 @@ def kpi_rows(b: Business) -> DataFrame:
         ("pricing", pricing(b.latest).select(
             "region", "current_avg_price", "recommended_price_change_pct",
             "projected_profit_impact")),
+        ("confidence", metrics.auc(labelled).select(F.lit(ALL).alias("region"), F.col("auc").alias("churn_auc"))),
     ]
     out = None
     for section, frame in blocks:
@@ -151,18 +253,18 @@ def kpi_rows(b: Business) -> DataFrame:
     return out
 
 
-# Priority, owner and topic of the four actions.
+# Priority and owner of the four actions. The wording is ours.
 ACTIONS = (
-    (1, "VP Supply Chain", "Qualify a secondary supplier for the items at stockout risk"),
-    (2, "VP Pricing", "Review the price decision against the profit-optimizing move"),
-    (3, "VP Sales / Customer Success", "Launch retention outreach to the highest-risk customers"),
-    (4, "CFO", "Update the revenue forecast for the latest change"),
+    (1, "VP Supply Chain", "Find a second source for stock that runs out before delivery"),
+    (2, "VP Pricing", "Trial the price step with the best modelled profit"),
+    (3, "VP Sales / Customer Success", "Call customers over the churn limit, largest value first"),
+    (4, "CFO", "Restate the forecast from the newest month"),
 )
 
 
 def action_plan(b: Business) -> DataFrame:
-    """Four prioritised rows per region, filled from the stock, pricing, churn and revenue
-    analyses. The four are joined on region, then unfolded."""
+    """Four prioritised rows per region with the reason for each, filled from the stock, pricing,
+    churn and revenue analyses. The four are joined on region, then unfolded."""
     b = b.settled()
     stock = inventory.stock_summary(b.plan).select("region", "items_at_risk", "units_to_order")
     joined = (
@@ -173,11 +275,12 @@ def action_plan(b: Business) -> DataFrame:
             "region", "high_risk_count", "clv_at_risk"), "region")
         .join(stock, "region")
     )
-    figures = {
-        1: ("items_at_risk", "units_to_order"),
-        2: ("recommended_price_change_pct", "projected_profit_impact"),
-        3: ("high_risk_count", "clv_at_risk"),
-        4: ("month_over_month_change_pct", "revenue"),
+    # per priority: the two figures of the row and the reason as a pattern over them
+    reasons = {
+        1: ("items_at_risk", "units_to_order", "%.0f stock items have fewer days left than their delivery takes; %.0f units are due for order."),
+        2: ("recommended_price_change_pct", "projected_profit_impact", "Of all price steps tried, %.2f earns most: %.2f more a month than today."),
+        3: ("high_risk_count", "clv_at_risk", "%.0f customers score above 0.6; over a year they stand for %.2f."),
+        4: ("month_over_month_change_pct", "revenue", "Revenue changed by %.2f percent in a month and now stands at %.2f."),
     }
     rows = F.array(
         *[
@@ -185,8 +288,12 @@ def action_plan(b: Business) -> DataFrame:
                 F.lit(priority).alias("priority"),
                 F.lit(owner).alias("owner"),
                 F.lit(action).alias("action"),
-                F.col(figures[priority][0]).cast("double").alias("figure"),
-                F.col(figures[priority][1]).cast("double").alias("amount"),
+                F.col(reasons[priority][0]).cast("double").alias("figure"),
+                F.col(reasons[priority][1]).cast("double").alias("amount"),
+                F.format_string(
+                    reasons[priority][2],
+                    *[F.col(c).cast("double") for c in reasons[priority][:2]],
+                ).alias("rationale"),
             )
             for priority, owner, action in ACTIONS
         ]
@@ -194,74 +301,69 @@ def action_plan(b: Business) -> DataFrame:
     return joined.select("region", F.inline(rows))
 
 
+def _said(kind: str, frame: DataFrame, pattern: str, *columns) -> DataFrame:
+    return frame.select(
+        "region", F.lit(kind).alias("answer_type"), F.format_string(pattern, *columns).alias("narrative")
+    )
+
+
+def _places(column: str, places: int = 2) -> Column:
+    return rounded(F.col(column), places)
+
+
 def narrative(b: Business) -> DataFrame:
-    """One sentence per region and answer type, written from the figures."""
+    """One sentence per region and answer type, written from the figures. Numbers are rounded before
+    they are printed, so that a sentence says the same on every engine."""
     b = b.settled()
-    cause = root_cause(b.features).select(
-        "region", F.lit("revenue_root_cause").alias("answer_type"),
-        F.format_string(
-            "%s revenue %s %.1f%% month-over-month, to $%,.0f.", "region",
-            F.when(F.col("month_over_month_change_pct") < 0, "declined").otherwise("grew"),
-            F.abs("month_over_month_change_pct"), "revenue",
-        ).alias("narrative"),
-    )
-    leaving = customers.churn_summary(b.scores).select(
-        "region", F.lit("churn_prediction").alias("answer_type"),
-        F.format_string(
-            "%d of %d customers analyzed are High risk (>60%% churn probability), an estimated "
-            "$%,.0f of 12-month value at risk.",
-            "high_risk_count", "customers_analyzed", "clv_at_risk",
-        ).alias("narrative"),
-    )
-    prices = pricing(b.latest).select(
-        "region", F.lit("pricing_strategy").alias("answer_type"),
-        F.format_string(
-            "At a demand elasticity of %.1f in %s the profit-maximizing price change is %+.0f%%, "
-            "for $%,.0f a month against $%,.0f at the current price.",
-            "elasticity_assumption", "region", F.col("recommended_price_change_pct") * 100,
-            "estimated_profit", "unchanged_profit",
-        ).alias("narrative"),
-    )
-    stock = inventory.stock_summary(b.plan).select(
-        "region", F.lit("inventory_recommendation").alias("answer_type"),
-        F.format_string(
-            "%d of %d product and region combinations are at stockout risk (days of supply below "
-            "supplier lead time).", "items_at_risk", "items",
-        ).alias("narrative"),
-    )
+    weak = discontinue_candidates(b.performance).agg(
+        F.count(F.lit(1)).alias("weak"), F.coalesce(exact_sum(F.col("revenue")), F.lit(0.0)).alias("amount")
+    ).select(F.lit(ALL).alias("region"), "*")
+    stock = inventory.stock_summary(b.plan)
     budgets = decisions.allocate_marketing(
         monthly.marketing_roi(b.monthly).select("region", "roi_per_dollar"),
         b.spark.range(1).select(F.lit(decisions.DEFAULT_BUDGET).alias("budget")),
-    ).select(
-        "region", F.lit("marketing_budget_allocation").alias("answer_type"),
-        F.format_string(
-            "Of a $%,.0f marketing budget %s receives $%,.0f, expected to bring $%,.0f.",
-            "budget", "region", "allocated_budget", "predicted_incremental_revenue",
-        ).alias("narrative"),
-    )
-    supply = (
-        supplier_mix(b.plan)
-        .groupBy("region")
-        .agg(F.max("required_volume").alias("volume"), F.max("status").alias("status"))
-        .select(
-            "region", F.lit("supplier_selection").alias("answer_type"),
-            F.format_string(
-                "To fulfill %,.0f units for %s with at most 40%% from one supplier: %s.",
-                "volume", "region", "status",
-            ).alias("narrative"),
-        )
     )
-    what_if = decisions.scenario_elastic(b.latest).select(
-        "region", F.lit("scenario_simulation").alias("answer_type"),
-        F.format_string(
-            "Under '%s' %s revenue moves from $%,.0f to $%,.0f (%+.1f%%).",
-            "scenario", "region", "baseline_revenue", "scenario_revenue", "revenue_pct",
-        ).alias("narrative"),
+    supply = given_supplier_mix(b).groupBy("region").agg(
+        F.max("required_volume").alias("volume"), F.max("status").alias("status"),
+        F.count_if(F.col("allocated_volume") > 0).alias("used"),
+        F.sum(F.col("allocated_cost").cast("decimal(18,2)")).cast("double").alias("cost"),
     )
-    out = cause
-    for part in (leaving, prices, stock, budgets, supply, what_if):
-        out = out.unionByName(part)
-    return out
+    what_if = decisions.scenario_elastic(b.latest).where("scenario = 'competitor cuts 10%'")
+    plan = action_plan(b).groupBy("region").agg(F.min_by("action", "priority").alias("first"), F.count(F.lit(1)).alias("n"))
+    parts = [
+        _said("revenue_root_cause", root_cause(b.features),
+              "In %s the newest month brought %.2f, a change of %.2f percent on the month before.",
+              "region", _places("revenue"), _places("month_over_month_change_pct")),
+        _said("churn_prediction", customers.churn_summary(b.scores),
+              "%s: %d out of %d customers are likely to go, and %.2f of yearly value with them.",
+              "region", "high_risk_count", "customers_analyzed", _places("clv_at_risk")),
+        _said("product_discontinuation", weak,
+              "%d products sell little at a thin margin; together they brought %.2f lately.",
+              "weak", _places("amount")),
+        _said("inventory_recommendation", stock,
+              "%s: %d items of %d run short before a delivery; ordering %d units costs %.2f.",
+              "region", "items_at_risk", "items", "units_to_order", _places("order_cost_total")),
+        _said("pricing_strategy", pricing(b.latest),
+              "%s: with elasticity %.1f a step of %.2f earns %.2f a month, staying put %.2f.",
+              "region", "elasticity_assumption", "recommended_price_change_pct",
+              _places("estimated_profit"), _places("unchanged_profit")),
+        _said("marketing_budget_allocation", budgets,
+              "%s gets %.2f of a budget of %.2f and should return %.2f.",
+              "region", "allocated_budget", "budget", "predicted_incremental_revenue"),
+        _said("supplier_selection", supply,
+              "%s needs %.0f units: %d suppliers at a cost of %.2f (%s).",
+              "region", "volume", "used", "cost", "status"),
+        _said("scenario_simulation", what_if,
+              "%s: if competitors cut prices by a tenth, revenue goes from %.2f to %.2f.",
+              "region", "baseline_revenue", "scenario_revenue"),
+        _said("executive_action_plan", plan,
+              "%s: %d steps in order of priority, beginning with this one: %s.", "region", "n", "first"),
+        _said(q.DEFAULT_TYPE, b.base("documents").agg(
+                  F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("m")
+              ).select(F.lit(ALL).alias("region"), "*"),
+              "No figures apply; the closest passages are taken from %d documents of %d sources.", "n", "m"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _pack(kind: str, key: str, frame: DataFrame) -> DataFrame:
@@ -276,43 +378,62 @@ def _listed(key: str, frame: DataFrame, name: str) -> DataFrame:
     return frame.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*body))).alias(name))
 
 
-def region_payloads(b: Business) -> DataFrame:
-    """One JSON answer per answer type and region, a few dozen short rows. Lists inside are bounded
-    by months, price points, suppliers or actions; product lists stay tables of their own."""
-    weak = discontinue_candidates(b.performance)
-    counts = weak.agg(
+def evidence_batch(b: Business, general: DataFrame) -> DataFrame:
+    """Passages for every document question, for the cause of each region's change and for the
+    pricing policy, searched together: ``kind, key, evidence, sources``."""
+    causes = b.base("region").select(
+        F.lit("cause").alias("kind"), F.col("r_name").alias("key"),
+        F.format_string("why did revenue change in %s causes", "r_name").alias("text"),
+    )
+    policy = b.spark.createDataFrame(
+        [("policy", ALL, "pricing policy discount elasticity competitor response")], "kind string, key string, text string"
+    )
+    asked = general.select(F.lit("question").alias("kind"), F.col("question_id").cast("string").alias("key"), "text")
+    batch = asked.unionByName(causes).unionByName(policy).select(F.struct("kind", "key").alias("query_id"), "text")
+    found = b.index.evidence(batch, excerpt=EXCERPT)
+    return pinned(found.select("query_id.kind", "query_id.key", "evidence", "sources"))
+
+
+def region_payloads(b: Business, evidence: DataFrame) -> DataFrame:
+    """One JSON answer per answer type and region, a few dozen rows. Lists inside are bounded by
+    months, inputs, price points, suppliers, ten customers or actions. The long lists (all products
+    ranked, the order plan) are tables that the question is joined to: see ``answer_rows``."""
+    counts = discontinue_candidates(b.performance).agg(
         F.count(F.lit(1)).alias("discontinuation_candidates"),
         exact_sum(F.col("revenue")).alias("their_revenue"),
     ).select(F.lit(ALL).alias("region"), "*")
     grid = decisions.price_grid(decisions.region_price_base(b.latest, SENSITIVE_REGION), ["region"])
+    why = evidence.where("kind = 'cause'").select(
+        F.col("key").alias("region"), F.slice("evidence", 1, 3).alias("supporting_evidence")
+    )
+    policy = evidence.where("kind = 'policy'").select(F.slice("evidence", 1, 2)).scalar()
+    exposure = inventory.supplier_exposure(b.stock).select("region", "units_on_hand", "supplier")
+    supply = (
+        _listed("region", given_supplier_mix(b), "supplier_allocation")
+        .join(_listed("region", exposure, "supplier_exposure"), "region", "left")
+    )
     parts = [
-        _pack("revenue_root_cause", "region",
-              root_cause(b.features).join(trend_list(b.features), "region")),
-        _pack("churn_prediction", "region", churn(b.scores)),
+        _pack("revenue_root_cause", "region", root_cause_full(b).join(why, "region", "left")),
+        _pack("churn_prediction", "region", churn_full(b)),
         _pack("product_discontinuation", "region", counts),
         _pack("inventory_recommendation", "region", inventory.stock_summary(b.plan)),
         _pack("pricing_strategy", "region",
-              pricing(b.latest).join(_listed("region", grid, "price_scenarios"), "region")),
-        _pack("supplier_selection", "region",
-              _listed("region", supplier_mix(b.plan), "supplier_allocation")),
+              pricing(b.latest).join(_listed("region", grid, "price_scenarios"), "region")
+              .withColumn("policy_context", policy)),
+        _pack("supplier_selection", "region", supply),
         _pack("executive_action_plan", "region",
               _listed("region", action_plan(b), "recommended_actions")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    told = narrative(b).select("region", "answer_type", "narrative")
+    return reduce(DataFrame.unionByName, parts).join(told, ["region", "answer_type"], "left")
 
 
-def answers(b: Business) -> DataFrame:
-    """One row per question: its type, region and JSON answer. Answers that depend on type and
-    region alone come from the small payload table; budgets, scenarios and document questions are
-    answered per question."""
-    b = b.settled()
+def asked_regions(b: Business) -> DataFrame:
+    """The questions with the region that their answer is about."""
     needs_region = F.col("answer_type").isin(
         "revenue_root_cause", "pricing_strategy", "supplier_selection", "executive_action_plan"
     )
-    asked = tagged_questions(b).select(
+    return tagged_questions(b).select(
         "question_id",
         "question",
         "answer_type",
@@ -321,10 +442,42 @@ def answers(b: Business) -> DataFrame:
         .otherwise(F.coalesce("region", F.lit(ALL)))
         .alias("region"),
     )
+
+
+def answer_rows(b: Business) -> DataFrame:
+    """The long lists of the answers as rows, once per answer type and region: all products ranked
+    with their candidates marked, and the order plan. A question is joined to them on ``answer_type``
+    and ``region``; they are not repeated for every question."""
+    weak = discontinue_candidates(b.performance).select("sku", F.lit(True).alias("weak"))
+    everything = ranked(b.performance).join(weak, "sku", "left").select(
+        F.lit("product_discontinuation").alias("answer_type"), F.lit(ALL).alias("region"),
+        F.lit(ALL).alias("item_region"), F.col("sku").cast("long").alias("sku"),
+        F.col("revenue").alias("amount"), F.coalesce("weak", F.lit(False)).alias("marked"),
+    )
+    orders = b.plan.select("region", "sku", "recommended_order_qty", "stockout_risk")
+    own = orders.withColumn("item_region", F.col("region"))
+    every = own.withColumn("region", F.lit(ALL))
+    plan = own.unionByName(every).select(
+        F.lit("inventory_recommendation").alias("answer_type"), "region", "item_region",
+        F.col("sku").cast("long").alias("sku"), F.col("recommended_order_qty").cast("double").alias("amount"),
+        (F.col("stockout_risk") == 1).alias("marked"),
+    )
+    return everything.unionByName(plan)
+
+
+def answers(b: Business) -> DataFrame:
+    """One row per question: its type, region, JSON answer and sentence. Answers that depend on type
+    and region alone come from the small payload table; budgets, scenarios and document questions
+    are answered per question."""
+    b = b.settled()
+    asked = asked_regions(b)
     general = asked.filter(F.col("answer_type") == q.DEFAULT_TYPE).select(
-        F.col("question_id").alias("query_id"), F.col("question").alias("text")
+        "question_id", F.col("question").alias("text")
+    )
+    evidence = evidence_batch(b, general)
+    passages = evidence.where("kind = 'question'").select(
+        F.col("key").cast(b.questions.schema["question_id"].dataType).alias("question_id"), "evidence", "sources"
     )
-    passages = b.index.evidence(general).withColumnRenamed("query_id", "question_id")
     own = (
         _pack("marketing_budget_allocation", "question_id",
               _listed("question_id", marketing_answers(b), "marketing_allocation"))
@@ -334,11 +487,11 @@ def answers(b: Business) -> DataFrame:
         .select("question_id", F.col("answer").alias("_own"))
     )
     return (
-        asked.join(small_side(region_payloads(b)), ["answer_type", "region"], "left")
+        asked.join(small_side(region_payloads(b, evidence)), ["answer_type", "region"], "left")
         .join(own, "question_id", "left")
         .select(
             "question_id", "question", "answer_type", "region",
-            F.coalesce("answer", "_own").alias("answer"),
+            F.coalesce("answer", "_own").alias("answer"), "narrative",
         )
     )
 
@@ -354,4 +507,3 @@ def scenario_shift(b: Business) -> DataFrame:
             "region", "month", "inflation_rate_pct", "competitor_price_index", "marketing_spend"
         )
     )
-

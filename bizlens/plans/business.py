@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.operators import customers, decisions, inventory, monthly, products
+from bizlens.operators import customers, decisions, inventory, metrics, models, monthly, products
+from bizlens.operators.models import FittedModel
 from bizlens.operators.retrieval import TextIndex
+from bizlens.operators.store import ModelStore
 from bizlens.session import pinned
 from bizlens.sources import views
 from bizlens.sources.tables import table
@@ -27,7 +29,7 @@ class Business:
 
     spark: SparkSession
     path: str
-    shared: bool = False
+    kept: set[str] = field(default_factory=set)
 
     def base(self, name: str) -> DataFrame:
         return table(self.spark, self.path, name)
@@ -77,6 +79,44 @@ class Business:
     def scores(self) -> DataFrame:
         return customers.scored_customers(self.customers, ENTERPRISE)
 
+    @cached_property
+    def store(self) -> ModelStore:
+        return ModelStore.shared(self.spark)
+
+    def forecast_model(self, target: str) -> FittedModel:
+        """The stored forecast of ``revenue`` or ``units_sold``, fitted on all but the newest year."""
+        train = models.holdout_by_time(self.settled("features").features).filter("is_test = 0")
+        return self.store.fitted(
+            f"forecast-{target}", train, ["region", *models.FORECAST_FEATURES], target,
+            lambda: models.fit_forecast(train, target),
+        )
+
+    @cached_property
+    def customer_rows(self) -> DataFrame:
+        """Customers with their value label, split in training and test rows."""
+        return pinned(metrics.split_rows(customers.value_label(self.customers), "customer_id", ["churned"]))
+
+    def customer_model(self, name: str, target: str, features, fit) -> FittedModel:
+        train = self.customer_rows.filter("is_test = 0")
+        return self.store.fitted(name, train, ["segment", "region", *features], target, lambda: fit(train))
+
+    @cached_property
+    def churn_model(self) -> FittedModel:
+        return self.customer_model("churn", "churned", models.CHURN_FEATURES, models.fit_churn)
+
+    @cached_property
+    def value_model(self) -> FittedModel:
+        return self.customer_model("value", "clv_12mo", models.VALUE_FEATURES, models.fit_value)
+
+    @cached_property
+    def driven_scores(self) -> DataFrame:
+        """The scores with the three strongest drivers of each customer."""
+        return customers.scored_customers(self.customers, ENTERPRISE, drivers=True)
+
+    @cached_property
+    def offers(self) -> DataFrame:
+        return decisions.given_offers(self.spark)
+
     @cached_property
     def stock(self) -> DataFrame:
         return inventory.inventory_features(views.inventory(self.spark, self.path))
@@ -93,12 +133,13 @@ class Business:
     def questions(self) -> DataFrame:
         return views.questions(self.spark, self.path)
 
-    def settled(self) -> "Business":
+    def settled(self, *names: str) -> "Business":
         """The same tables, with those that several answers share computed once and kept in the
-        shared folder: a row per region and month, per customer, and per region and product."""
-        if not self.shared:
-            self.shared = True
-            for name in ("monthly", "features", "scores", "plan"):
+        shared folder: a row per region and month, per customer, and per region and product. With
+        ``names``, only these."""
+        for name in names or ("monthly", "features", "scores", "plan"):
+            if name not in self.kept:
+                self.kept.add(name)
                 setattr(self, name, pinned(getattr(self, name)))
-            self.__dict__.pop("latest", None)
+                self.__dict__.pop("latest", None)
         return self

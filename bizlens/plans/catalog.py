@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from bizlens.functions.exact import exact_sum, rounded
 from bizlens.operators import customers, decisions, inventory, metrics, models, monthly, products
 from bizlens.operators import attribution as attr
 from bizlens.operators import retrieval as rt
+from bizlens.operators.store import fingerprint
 from bizlens.plans import briefing
 from bizlens.plans.business import ENTERPRISE, RECENT_DAYS, SENSITIVE_REGION, Business
 from bizlens.session import pinned, scratch_path
@@ -20,7 +22,6 @@ from bizlens.sources import files, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
-_SHARED: dict[tuple[str, str, str], object] = {}
 
 # Parameters of the registered runs.
 BUDGET_PER_REGION = 2_000_000.0
@@ -236,8 +237,13 @@ def _(b):
 
 @query("customer_scores")
 def _(b):
-    drivers = customers.drivers_text(customers.scorecard_attribution(b.customers, ENTERPRISE))
-    return b.scores.join(drivers, "customer_id")
+    return b.driven_scores
+
+
+@query("top_customers")
+def _(b):
+    """The ten riskiest customers of every region, and of all, with value and drivers."""
+    return customers.top_by_region(b.driven_scores)
 
 
 @query("risk_tier")
@@ -423,6 +429,18 @@ def _(b):
     return briefing.supplier_mix(b.plan, relax=False)
 
 
+@query("supplier_given")
+def _(b):
+    """Each region's volume from the table of given offers, at most 40% from one supplier."""
+    return briefing.given_supplier_mix(b)
+
+
+@query("supplier_shared")
+def _(b):
+    """All regions' volumes from the given offers, whose capacity they share."""
+    return briefing.shared_supplier_fill(b)
+
+
 @query("supplier_relaxed")
 def _(b):
     """The same choice with at most 30% from one supplier, relaxed where that cannot be met."""
@@ -441,34 +459,37 @@ def _(b):
 
 @query("scenario_answer")
 def _(b):
+    """Every scenario question through the stored models."""
     return briefing.scenario_answers(b)
 
 
-# --- models -------------------------------------------------------------------------------------
+@query("scenario_elastic_answer")
+def _(b):
+    return briefing.scenario_elastic_answers(b)
 
 
-def _shared(b: Business, name: str, build: Callable[[], object]):
-    """One value per application, data folder and name, built once and shared by the queries: a
-    fitted model, read back from the shared folder, or the checkpointed rows it was fitted on."""
-    key = (b.spark.sparkContext.applicationId, b.path, name)
-    if key not in _SHARED:
-        _SHARED[key] = build()
-    return _SHARED[key]
+@query("scenario_table")
+def _(b):
+    """Inflation and marketing steps for every region through the stored models."""
+    return briefing.scenario_table(b)
+
+
+@query("scenario_unchanged")
+def _(b):
+    return briefing.scenario_unchanged(b)
+
 
+# --- models -------------------------------------------------------------------------------------
 
-def _stored(b: Business, name: str, fit: Callable[[], models.FittedModel]) -> models.FittedModel:
-    def build() -> models.FittedModel:
-        model, folder = fit(), scratch_path(b.spark, f"model-{name}")
-        model.save(folder)
-        return models.FittedModel.load(folder, model.numeric, model.categories, model.classifier)
 
-    return _shared(b, f"model-{name}", build)
+def _forecast_rows(b: Business) -> tuple[DataFrame, DataFrame]:
+    rows = models.holdout_by_time(b.settled("features").features)
+    return rows.filter("is_test = 0"), rows.filter("is_test = 1")
 
 
 def _forecast(b: Business, target: str):
-    rows = _shared(b, "forecast-rows", lambda: models.holdout_by_time(pinned(b.features)))
-    train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
-    return _stored(b, target, lambda: models.fit_forecast(train, target)), train, test
+    train, test = _forecast_rows(b)
+    return b.forecast_model(target), train, test
 
 
 def _forecast_report(b: Business, target: str) -> DataFrame:
@@ -496,27 +517,14 @@ def _(b):
 
 
 def _customer_split(b: Business):
-    def build() -> DataFrame:
-        return pinned(
-            metrics.split_rows(customers.value_label(b.customers), "customer_id", ["churned"])
-        )
-
-    rows = _shared(b, "customer-rows", build)
+    rows = b.customer_rows
     return rows, rows.filter("is_test = 0"), rows.filter("is_test = 1")
 
 
-def _churn_model(b: Business, train: DataFrame) -> models.FittedModel:
-    return _stored(b, "churn", lambda: models.fit_churn(train))
-
-
-def _value_model(b: Business, train: DataFrame) -> models.FittedModel:
-    return _stored(b, "value", lambda: models.fit_value(train))
-
-
 @query("churn_model")
 def _(b):
     _, train, test = _customer_split(b)
-    model = _churn_model(b, train)
+    model = b.churn_model
     return models.evaluate_classifier(model, test, "churned").select(
         "auc", "precision", "recall", "f1", F.col("rows").alias("n_test"),
         train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
@@ -526,7 +534,7 @@ def _(b):
 @query("clv_model")
 def _(b):
     _, train, test = _customer_split(b)
-    model = _value_model(b, train)
+    model = b.value_model
     return models.evaluate_regression(model, test, "clv_12mo").select(
         "mae", "r2", F.col("rows").alias("n_test"),
         train.agg(F.count(F.lit(1))).scalar().alias("n_train"),
@@ -537,8 +545,8 @@ def _(b):
 def _(b):
     """All customers with both models: probability, value and the three strongest drivers."""
     rows, train, _ = _customer_split(b)
-    churn = _churn_model(b, train)
-    value = _value_model(b, train)
+    churn = b.churn_model
+    value = b.value_model
     return attr.customer_scores(rows, churn, value)
 
 
@@ -561,7 +569,7 @@ def _(b):
 @query("explain_churn")
 def _(b):
     rows, train, _ = _customer_split(b)
-    return attr.churn_card(_churn_model(b, train), rows)
+    return attr.churn_card(b.churn_model, rows)
 
 
 @query("scenario_scored")
@@ -569,7 +577,61 @@ def _(b):
     """Every region and scenario scored by the fitted revenue and demand models."""
     revenue, _, _ = _forecast(b, "revenue")
     units, _, _ = _forecast(b, "units_sold")
-    return attr.scenario_scores(revenue, units, b.latest)
+    return attr.scenario_scores(revenue, units, decisions.scenario_inputs(b.latest))
+
+
+@query("change_drivers")
+def _(b):
+    """Why each region's revenue forecast moved in the newest month, input by input."""
+    return attr.change_drivers(b.forecast_model("revenue"), b.settled("features").features)
+
+
+@query("change_gap")
+def _(b):
+    """The effects of a region's inputs sum to its predicted change: gap 0."""
+    return attr.change_gap(attr.change_drivers(b.forecast_model("revenue"), b.settled("features").features))
+
+
+@query("attribution_gap")
+def _(b):
+    """Base value and contributions against the output of both forecasts, for every test row."""
+    out = []
+    for target in ("revenue", "units_sold"):
+        model, _, test = _forecast(b, target)
+        gaps = attr.attribution_gap(attr.tree_attribution(model, test, ["region", "month"]), ["region", "month"])
+        out.append(gaps.select(F.lit(target).alias("target"), "region", "month", "gap"))
+    return out[0].unionByName(out[1])
+
+
+@query("customer_attribution_gap")
+def _(b):
+    """The same for the churn model, for every customer."""
+    rows, _, _ = _customer_split(b)
+    cards = attr.tree_attribution(b.churn_model, rows, ["customer_id"])
+    return attr.attribution_gap(cards, ["customer_id"], classifier=True)
+
+
+@query("model_store")
+def _(b):
+    """A model fitted now, saved and read back: on how many rows do the two differ? Few trees, as the
+    question is the store; the other queries read the full models from it."""
+    train, test = _forecast_rows(b)
+    fitted = models.fit_forecast(train, "revenue", trees=5)
+    store = b.store
+    rows, print_ = fingerprint(train, ["region", *models.FORECAST_FEATURES, "revenue"])
+    name = f"roundtrip-{uuid.uuid4().hex}"
+    version = store.save(name, fitted, "revenue", rows, print_)
+    back = store.load(name, version)
+    both = back.score(fitted.score(test).select(*test.columns, F.col("prediction").alias("_first")))
+    entry = store.manifests(name)
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_first") != F.col("prediction")).alias("differing")
+    ).select(
+        F.lit(version).alias("version"), "rows", "differing",
+        entry.agg(F.max("rows")).scalar().alias("trained_on"),
+        entry.agg(F.max("trees")).scalar().alias("trees"),
+        entry.agg(F.max(F.size("numeric"))).scalar().alias("inputs"),
+    )
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -681,6 +743,12 @@ def _(b):
     return briefing.action_plan(b)
 
 
+@query("answer_rows")
+def _(b):
+    """The long lists behind the answers: products ranked, orders planned."""
+    return briefing.answer_rows(b)
+
+
 @query("kpi_rows")
 def _(b):
     return briefing.kpi_rows(b)

@@ -267,6 +267,10 @@ PARTS = {
         SELECT *, rank() OVER (ORDER BY revenue DESC)
                + (count(*) OVER (PARTITION BY revenue) - 1) / 2.0::DOUBLE AS revenue_rank
         FROM perf""",
+    "weak": """
+        SELECT sku FROM perf_ranked
+        WHERE revenue_rank > (SELECT quantile_cont(revenue_rank, 0.7) FROM perf_ranked)
+        AND gross_margin_pct < (SELECT median(gross_margin_pct) FROM perf_ranked)""",
     "crm": f"""
         SELECT c_custkey AS customer_id, r_name AS region, c_mktsegment AS segment,
                min(o_orderdate)::DATE AS signup_date,
@@ -685,7 +689,7 @@ check("scenario_inputs", f"""SELECT region, month, inflation_rate_pct, competito
     FROM latest, (VALUES {SCENARIO_VALUES}) AS v({SCENARIO_NAMES})""")
 check("scenario_elastic", f"""SELECT {outcome("revenue", "units_sold::DOUBLE")}
     FROM latest, (VALUES {SCENARIO_VALUES}) AS v({SCENARIO_NAMES})""")
-check("scenario_answer", f"""SELECT {outcome("revenue", "units_sold::DOUBLE")} FROM (
+check("scenario_elastic_answer", f"""SELECT {outcome("revenue", "units_sold::DOUBLE")} FROM (
     SELECT coalesce(t.region, 'AMERICA') AS region, t.question_id AS scenario, p.*,
            0.0::DOUBLE AS marketing_change_pct, -1.1::DOUBLE AS demand_elasticity
     FROM tagged t JOIN parsed p USING (question_id) WHERE answer_type = 'scenario_simulation')
@@ -718,19 +722,24 @@ check("detect_region", "SELECT question_id, region FROM tagged")
 check("parse_budget", "SELECT question_id, budget FROM tagged")
 check("parse_scenario", "SELECT * FROM parsed")
 check("root_cause", "SELECT * FROM cause")
-check("action_plan", """SELECT region, priority, owner, action, CASE priority
+ACTION_ROWS = """SELECT region, priority, owner, action, figure, amount, printf(pattern, figure, amount) AS rationale
+    FROM (SELECT region, priority, owner, action, pattern, CASE priority
       WHEN 1 THEN items_at_risk WHEN 2 THEN recommended_price_change_pct
       WHEN 3 THEN high_risk_count ELSE month_over_month_change_pct END::DOUBLE AS figure,
     CASE priority WHEN 1 THEN units_to_order WHEN 2 THEN projected_profit_impact
       WHEN 3 THEN clv_at_risk ELSE revenue END::DOUBLE AS amount
     FROM (SELECT * FROM cause JOIN pricing USING (region) JOIN summary USING (region)
           JOIN stock_summary USING (region)),
-    (VALUES (1, 'VP Supply Chain', 'Qualify a secondary supplier for the items at stockout risk'),
-            (2, 'VP Pricing', 'Review the price decision against the profit-optimizing move'),
-            (3, 'VP Sales / Customer Success',
-             'Launch retention outreach to the highest-risk customers'),
-            (4, 'CFO', 'Update the revenue forecast for the latest change'))
-      AS v(priority, owner, action)""")
+    (VALUES (1, 'VP Supply Chain', 'Find a second source for stock that runs out before delivery',
+             '%.0f stock items have fewer days left than their delivery takes; %.0f units are due for order.'),
+            (2, 'VP Pricing', 'Trial the price step with the best modelled profit',
+             'Of all price steps tried, %.2f earns most: %.2f more a month than today.'),
+            (3, 'VP Sales / Customer Success', 'Call customers over the churn limit, largest value first',
+             '%.0f customers score above 0.6; over a year they stand for %.2f.'),
+            (4, 'CFO', 'Restate the forecast from the newest month',
+             'Revenue changed by %.2f percent in a month and now stands at %.2f.'))
+      AS v(priority, owner, action, pattern))"""
+check("action_plan", ACTION_ROWS)
 check("kpi_rows", """SELECT region, 'revenue' AS section, kpi, value FROM (UNPIVOT
       (SELECT region, revenue, month_over_month_change_pct, competitor_price_index FROM cause)
       ON COLUMNS(* EXCLUDE region) INTO NAME kpi VALUE value)
@@ -740,4 +749,98 @@ check("kpi_rows", """SELECT region, 'revenue' AS section, kpi, value FROM (UNPIV
        FROM summary) ON COLUMNS(* EXCLUDE region) INTO NAME kpi VALUE value)
     UNION ALL SELECT region, 'pricing', kpi, value FROM (UNPIVOT
       (SELECT region, current_avg_price, recommended_price_change_pct, projected_profit_impact
-       FROM pricing) ON COLUMNS(* EXCLUDE region) INTO NAME kpi VALUE value)""")
+       FROM pricing) ON COLUMNS(* EXCLUDE region) INTO NAME kpi VALUE value)
+    UNION ALL SELECT 'ALL', 'confidence', 'churn_auc', auc FROM area""")
+
+# --- answers in full
+check("top_customers", f"""SELECT scope, place, customer_id, region, segment, churn_probability,
+    predicted_clv_12mo, top_churn_drivers
+    FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY churn_probability DESC, customer_id)
+            AS place FROM (SELECT region AS scope, * FROM scores UNION ALL SELECT 'ALL', * FROM scores))
+    JOIN (SELECT customer_id, string_agg(printf('%s (%s%.2f)', feature,
+        CASE WHEN contribution > 0 THEN '+' ELSE '-' END, {rnd("abs(contribution)", 2)}), '; '
+        ORDER BY spot) AS top_churn_drivers
+      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+              ORDER BY abs(contribution) DESC, feature) AS spot FROM attribution)
+      WHERE spot <= 3 GROUP BY customer_id) USING (customer_id) WHERE place <= 10""")
+OFFERS = """(VALUES ('Nordic Supply Co', 42.0::DOUBLE, 25000.0::DOUBLE), ('Meridian Components', 45.0, 25000.0),
+    ('PacificParts Ltd', 44.0, 22000.0), ('Delta Manufacturing', 47.5, 18000.0)) AS o(supplier, unit_cost, capacity)"""
+VOLUMES = "SELECT region, sum(recommended_order_qty)::BIGINT::DOUBLE AS required_volume FROM plan GROUP BY region"
+check("supplier_given", supply(0.4, True).replace(
+    "FROM offers WINDOW", f"FROM (SELECT * FROM ({VOLUMES}), {OFFERS}) WINDOW"))
+check("supplier_shared", f"""WITH supply AS (SELECT *, sum(capacity::DECIMAL(18,2)) OVER (
+        ORDER BY unit_cost, supplier ROWS UNBOUNDED PRECEDING) AS upto FROM {OFFERS}),
+    wanted AS (SELECT *, sum(required_volume::DECIMAL(18,2)) OVER (ORDER BY region ROWS UNBOUNDED PRECEDING)
+        AS upto FROM ({VOLUMES})),
+    everything AS (SELECT sum(capacity::DECIMAL(18,2)) AS total FROM supply),
+    overlap AS (SELECT region, supplier, unit_cost, capacity, required_volume,
+        CASE WHEN w.upto <= total THEN 'served' ELSE 'partly served' END AS status,
+        (least(s.upto, w.upto) - greatest(s.upto - capacity::DECIMAL(18,2), w.upto - required_volume::DECIMAL(18,2)))
+          ::DOUBLE AS allocated_volume FROM supply s, wanted w, everything)
+    SELECT *, {rnd("allocated_volume * unit_cost", 2)} AS allocated_cost FROM overlap WHERE allocated_volume > 0
+    UNION ALL SELECT region, NULL, NULL, NULL, required_volume, 'unserved', 0.0, 0.0 FROM wanted, everything
+    WHERE upto - required_volume::DECIMAL(18,2) >= total AND required_volume > 0""")
+check("answer_rows", """SELECT 'product_discontinuation' AS answer_type, 'ALL' AS region, 'ALL' AS item_region,
+      sku, revenue AS amount, sku IN (SELECT sku FROM weak) AS marked FROM perf
+    UNION ALL SELECT 'inventory_recommendation', region, region, sku, recommended_order_qty::DOUBLE, stockout_risk = 1 FROM plan
+    UNION ALL SELECT 'inventory_recommendation', 'ALL', region, sku, recommended_order_qty::DOUBLE, stockout_risk = 1 FROM plan""")
+
+# --- invariants of the models: what holds whatever the trees are
+check("change_gap", "SELECT region, 0.0::DOUBLE AS gap, 19::BIGINT AS features FROM latest")
+TEST_ROWS = "SELECT * FROM features WHERE time_idx > (SELECT max(time_idx) FROM features) - 12"
+check("attribution_gap", f"""SELECT target, region, month, 0.0::DOUBLE AS gap
+    FROM ({TEST_ROWS}), (VALUES ('revenue'), ('units_sold')) AS t(target)""")
+check("customer_attribution_gap", "SELECT customer_id, 0.0::DOUBLE AS gap FROM people")
+check("scenario_unchanged", """SELECT region, 0.0::DOUBLE AS demand_pct, 0.0::DOUBLE AS like_for_like_pct,
+    0.0::DOUBLE AS model_difference FROM latest""")
+check("model_store", f"""SELECT 1 AS version, (SELECT count(*) FROM ({TEST_ROWS})) AS rows, 0::BIGINT AS differing,
+    (SELECT count(*) FROM features) - (SELECT count(*) FROM ({TEST_ROWS})) AS trained_on, 5 AS trees, 14 AS inputs""")
+
+# --- the sentences, word for word
+SENTENCES = [
+    ("revenue_root_cause",
+     "In %s the newest month brought %.2f, a change of %.2f percent on the month before.",
+     f"region, {rnd('revenue', 2)}, {rnd('month_over_month_change_pct', 2)}", "cause"),
+    ("churn_prediction",
+     "%s: %d out of %d customers are likely to go, and %.2f of yearly value with them.",
+     f"region, high_risk_count, customers_analyzed, {rnd('clv_at_risk', 2)}", "summary"),
+    ("product_discontinuation",
+     "%d products sell little at a thin margin; together they brought %.2f lately.",
+     f"weak, {rnd('amount', 2)}",
+     """(SELECT 'ALL' AS region, count(*) AS weak, coalesce(sum(revenue::DECIMAL(18,4)), 0)::DOUBLE AS amount
+         FROM perf WHERE sku IN (SELECT sku FROM weak))"""),
+    ("inventory_recommendation",
+     "%s: %d items of %d run short before a delivery; ordering %d units costs %.2f.",
+     f"region, items_at_risk, items, units_to_order, {rnd('order_cost_total', 2)}", "stock_summary"),
+    ("pricing_strategy",
+     "%s: with elasticity %.1f a step of %.2f earns %.2f a month, staying put %.2f.",
+     "region, elasticity_assumption, recommended_price_change_pct, "
+     f"{rnd('estimated_profit', 2)}, {rnd('unchanged_profit', 2)}", "pricing"),
+    ("marketing_budget_allocation",
+     "%s gets %.2f of a budget of %.2f and should return %.2f.",
+     f"region, {rnd('spend', 2)}, budget, {rnd(rnd('spend', 2) + ' * roi_per_dollar', 2)}",
+     """(SELECT *, (50000.0 + CASE WHEN place = 1 AND roi_per_dollar > 0 THEN budget - floors ELSE 0 END)::DOUBLE AS spend
+         FROM (SELECT region, roi_per_dollar, 1000000.0::DOUBLE AS budget, 50000.0 * count(*) OVER () AS floors,
+                 row_number() OVER (ORDER BY roi_per_dollar DESC, region) AS place FROM roi))"""),
+    ("supplier_selection",
+     "%s needs %.0f units: %d suppliers at a cost of %.2f (%s).",
+     "region, volume, used, cost, status",
+     f"""(SELECT region, max(required_volume) AS volume, max(status) AS status,
+           count(*) FILTER (allocated_volume > 0) AS used, sum(allocated_cost::DECIMAL(18,2))::DOUBLE AS cost
+         FROM ({supply(0.4, True).replace("FROM offers WINDOW", f"FROM (SELECT * FROM ({VOLUMES}), {OFFERS}) WINDOW")})
+         GROUP BY region)"""),
+    ("scenario_simulation",
+     "%s: if competitors cut prices by a tenth, revenue goes from %.2f to %.2f.",
+     "region, baseline_revenue, scenario_revenue",
+     f"""(SELECT {outcome("revenue", "units_sold::DOUBLE")}
+         FROM latest, (VALUES {SCENARIO_VALUES}) AS v({SCENARIO_NAMES}) WHERE scenario = 'competitor cuts 10%')"""),
+    ("executive_action_plan",
+     "%s: %d steps in order of priority, beginning with this one: %s.",
+     "region, n, first", f"(SELECT region, count(*) AS n, min_by(action, priority) AS first FROM ({ACTION_ROWS}) GROUP BY region)"),
+    ("general_document_qa",
+     "No figures apply; the closest passages are taken from %d documents of %d sources.",
+     "n, m", "(SELECT 'ALL' AS region, count(*) AS n, count(DISTINCT source) AS m FROM documents)"),
+]
+check("narrative", " UNION ALL ".join(
+    f"SELECT region, '{kind}' AS answer_type, printf({quoted(pattern)}, {columns}) AS narrative FROM {rows}"
+    for kind, pattern, columns, rows in SENTENCES))
