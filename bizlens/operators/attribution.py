@@ -20,7 +20,7 @@ from bizlens.functions.exact import rounded
 from bizlens.operators.customers import driver_phrases, risk_tier
 from bizlens.operators.decisions import scenario_outcome
 from bizlens.operators.metrics import confidence_label
-from bizlens.operators.models import FittedModel
+from bizlens.operators.models import MISSING, FittedModel
 from bizlens.operators.monthly import last_rows
 from bizlens.session import scratch_path
 
@@ -134,7 +134,8 @@ def tree_attribution(model: FittedModel, df: DataFrame, keys: list[str]) -> Data
             ),
             lambda f: F.struct(
                 f["feature"].alias("feature"),
-                f["value"].alias("value"),
+                # what was missing has no value to show
+                F.when(f["value"] != MISSING, f["value"]).alias("value"),
                 f["contribution"].alias("contribution"),
             ),
         ).alias("factors"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -58,12 +58,13 @@ class FittedModel:
         return self.pipeline.stages[-1]
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction`` (a number, or the probability of class 1)."""
-        ready = prepared(df, self.numeric, self.categories)
-        out = self.pipeline.transform(ready)
+        """Add ``prediction`` (a number, or the probability of class 1) and the inputs."""
+        # rows that another model has scored bring its inputs along
+        plain = df.drop(*[f"x_{c}" for c in self.numeric])
+        out = self.pipeline.transform(encoded(plain, self.categories))
         if self.classifier:
             out = out.withColumn("prediction", vector_to_array("probability")[1])
-        return out.drop("features", "rawPrediction", "probability")
+        return out.drop("features", "rawPrediction", "probability", *missing_flags(self.numeric))
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
@@ -79,17 +80,45 @@ def input_columns(numeric: Sequence[str], categories: dict[str, Sequence[str]])
     ]
 
 
-def prepared(df: DataFrame, numeric: Sequence[str], categories) -> DataFrame:
-    """Inputs as plain numbers: a missing value becomes a far-off one, which a tree can split
-    away, and each category becomes its own 0/1 column."""
-    df = df.withColumns(
-        {f"x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in numeric}
+def missing_flags(numeric: Sequence[str]) -> list[str]:
+    return [f"missing_{c}" for c in numeric]
+
+
+def missing_stage(numeric: Sequence[str]) -> SQLTransformer:
+    """The policy for missing values as a stage that is saved with the model: ``x_<name>`` holds the
+    value, or for a missing one a far-off number that a tree can split away, and ``missing_<name>``
+    is 1 where it was missing."""
+    columns = ", ".join(
+        f"coalesce(cast(`{c}` as double), {MISSING}D) AS `x_{c}`, "
+        f"cast(`{c}` IS NULL as int) AS `missing_{c}`"
+        for c in numeric
+    )
+    return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
+
+
+def missing_inputs(df: DataFrame, keys: Sequence[str], stage: SQLTransformer, numeric: Sequence[str]) -> DataFrame:
+    """Long form of what the stage makes of every row: ``keys, feature, value, missing``."""
+    entries = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.col(f"x_{c}").alias("value"), F.col(f"missing_{c}").alias("missing"))
+            for c in numeric
+        ]
     )
+    return stage.transform(df).select(*keys, F.inline(entries))
+
+
+def encoded(df: DataFrame, categories) -> DataFrame:
+    """Each category becomes its own 0/1 column."""
     for column, values in categories.items():
         df = one_hot(df, column, values)
     return df
 
 
+def prepared(df: DataFrame, numeric: Sequence[str], categories) -> DataFrame:
+    """All inputs as plain numbers."""
+    return missing_stage(numeric).transform(encoded(df, categories))
+
+
 def fit(
     train: DataFrame,
     target: str,
@@ -115,7 +144,8 @@ def fit(
     )
     booster = GBTClassifier(**settings) if classifier else GBTRegressor(**settings)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    model = Pipeline(stages=[assembler, booster]).fit(rows)
+    stages = Pipeline(stages=[assembler, booster]).fit(rows).stages
+    model = PipelineModel([missing_stage(numeric), *stages])
     return FittedModel(model, tuple(numeric), categories, classifier)
 
 

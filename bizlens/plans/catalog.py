@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from bizlens.functions.exact import exact_sum, rounded
 from bizlens.operators import customers, decisions, inventory, metrics, models, monthly, products
 from bizlens.operators import attribution as attr
 from bizlens.operators import retrieval as rt
+from bizlens.operators.embedders import HashingEmbedder, TfidfEmbedder, embed
 from bizlens.operators.store import fingerprint
 from bizlens.plans import briefing
 from bizlens.plans.business import ENTERPRISE, RECENT_DAYS, SENSITIVE_REGION, Business
@@ -76,6 +78,68 @@ def _(b):
     )
 
 
+@query("src_text_folder")
+def _(b):
+    """The documents written as one text file each and read back as whole files."""
+    folder = scratch_path(b.spark, "texts")
+    files.write_text_folder(b.base("documents"), folder)
+    return files.read_text_folders(b.spark, folder).select(
+        "doc_id", F.split("source", "/")[0].alias("folder"), "bytes",
+        F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"),
+    )
+
+
+def _sorted(b: Business, name: str, rows: DataFrame, order: list) -> DataFrame:
+    """Written sorted and read back with the place of every row in the files."""
+    folder = scratch_path(b.spark, name)
+    files.write_sorted(rows, order, folder)
+    return files.read_sorted(b.spark, folder)
+
+
+@query("sorted_scores")
+def _(b):
+    """Customers, riskiest first."""
+    return _sorted(b, "scores", b.scores, [F.col("churn_probability").desc(), F.col("customer_id")])
+
+
+@query("sorted_products")
+def _(b):
+    """Products by revenue, largest first."""
+    rows = b.performance.select("sku", "revenue")
+    return _sorted(b, "products", rows, [F.col("revenue").desc_nulls_last(), F.col("sku")])
+
+
+@query("sorted_candidates")
+def _(b):
+    """Products to discontinue, smallest revenue first."""
+    rows = products.discontinue_candidates(b.performance).select("sku", "revenue")
+    return _sorted(b, "candidates", rows, [F.col("revenue").asc_nulls_last(), F.col("sku")])
+
+
+@query("sorted_plan")
+def _(b):
+    """The order plan, items at risk first."""
+    rows = b.plan.select("region", "sku", "stockout_risk", "recommended_order_qty")
+    return _sorted(b, "plan", rows, [F.col("stockout_risk").desc(), F.col("region"), F.col("sku")])
+
+
+@query("sorted_supply")
+def _(b):
+    """The supplier allocation of every region, largest volume first."""
+    rows = briefing.given_supplier_mix(b).select("region", "supplier", "allocated_volume", "allocated_cost")
+    return _sorted(
+        b, "supply", rows, [F.col("region"), F.col("allocated_volume").desc(), F.col("supplier")]
+    )
+
+
+@query("sorted_budget")
+def _(b):
+    """The marketing budgets of every question, largest share first."""
+    rows = briefing.marketing_answers(b).select("question_id", "region", "allocated_budget")
+    order = [F.col("question_id"), F.col("allocated_budget").desc_nulls_last(), F.col("region")]
+    return _sorted(b, "budget", rows, order)
+
+
 @query("answer_json")
 def _(b):
     return briefing.answers(b)
@@ -611,6 +675,15 @@ def _(b):
     return attr.attribution_gap(cards, ["customer_id"], classifier=True)
 
 
+@query("missing_inputs")
+def _(b):
+    """Every input of the forecasts with its missing flag, by the stage that is saved with a model."""
+    folder = scratch_path(b.spark, "missing-stage")
+    models.missing_stage(models.FORECAST_FEATURES).write().save(folder)
+    stage = SQLTransformer.load(folder)
+    return models.missing_inputs(b.features, ["region", "month"], stage, models.FORECAST_FEATURES)
+
+
 @query("model_store")
 def _(b):
     """A model fitted now, saved and read back: on how many rows do the two differ? Few trees, as the
@@ -705,6 +778,34 @@ def _(b):
     )
 
 
+@query("embed_topk")
+def _(b):
+    """The benchmark against all chunks by a second embedder, hashed words and pairs, through the
+    same search as given vectors. A chunk's number is doc_id times a million plus its place."""
+    embedder = HashingEmbedder().fit(b.base("documents"))
+    chunks = tx.with_terms(tx.chunk_documents(b.base("documents"))).select(
+        (F.col("doc_id") * 1_000_000 + F.col("chunk_no")).alias("vec_id"), "terms"
+    )
+    asked = tx.with_terms(_benchmark(b)).select("query_id", "terms")
+    found = rt.vector_topk(embed(chunks, ["vec_id"], embedder), embed(asked, ["query_id"], embedder))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+
+
+@query("embed_tfidf")
+def _(b):
+    """The weights of every chunk as vectors of the fitted vocabulary, by the first embedder: their
+    squared length and largest weight."""
+    embedder = TfidfEmbedder(size=256).fit(b.base("documents"))
+    chunks = tx.with_terms(tx.chunk_documents(b.base("documents")))
+    vectors = embed(chunks, ["doc_id", "chunk_no"], embedder)
+    square = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    return vectors.select(
+        "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), rounded(square, 3).alias("length"),
+        F.size("embedding").alias("dim"),
+        rounded(F.array_max("embedding").cast("double"), 3).alias("largest"),
+    )
+
+
 # --- questions and briefing -----------------------------------------------------------------------
 
 

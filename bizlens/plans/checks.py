@@ -646,7 +646,7 @@ check("price_grid", f"""SELECT sku, option_no, price_change_pct,
 check("price_best", f"""WITH {best_of("sku_price", "sku")}
     SELECT sku, {BEST_COLUMNS} FROM ranked WHERE place = 1""")
 check("pricing_answer", "SELECT * FROM pricing")
-check("marketing_allocation", f"""SELECT question_id, budget,
+MARKETING = f"""SELECT question_id, budget,
     CASE WHEN budget >= floors THEN 'allocated' ELSE 'budget below floors' END AS status, region,
     roi_per_dollar AS predicted_roi_per_dollar, {rnd("spend", 2)} AS allocated_budget,
     {rnd(rnd("spend", 2) + " * roi_per_dollar", 2)} AS predicted_incremental_revenue
@@ -657,7 +657,8 @@ check("marketing_allocation", f"""SELECT question_id, budget,
                  row_number() OVER (PARTITION BY question_id
                    ORDER BY roi_per_dollar DESC, r.region) AS place
           FROM tagged t, (SELECT * FROM roi) r
-          WHERE answer_type = 'marketing_budget_allocation'))""")
+          WHERE answer_type = 'marketing_budget_allocation'))"""
+check("marketing_allocation", MARKETING)
 
 
 def supply(share: float, relax: bool) -> str:
@@ -844,3 +845,62 @@ SENTENCES = [
 check("narrative", " UNION ALL ".join(
     f"SELECT region, '{kind}' AS answer_type, printf({quoted(pattern)}, {columns}) AS narrative FROM {rows}"
     for kind, pattern, columns, rows in SENTENCES))
+
+
+# --- files
+check("src_text_folder", """SELECT doc_id, 'doc_id=' || doc_id AS folder, strlen(coalesce(text, '')) + 1 AS bytes,
+    length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+
+
+def in_order(columns: str, rows: str, order: str) -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS place FROM {rows}"
+
+
+check("sorted_scores", in_order("*", "scores", "churn_probability DESC, customer_id"))
+check("sorted_products", in_order("sku, revenue", "perf", "revenue DESC NULLS LAST, sku"))
+check("sorted_candidates", in_order(
+    "sku, revenue", "perf WHERE sku IN (SELECT sku FROM weak)", "revenue ASC NULLS LAST, sku"))
+check("sorted_plan", in_order(
+    "region, sku, stockout_risk, recommended_order_qty", "plan", "stockout_risk DESC, region, sku"))
+GIVEN = supply(0.4, True).replace("FROM offers WINDOW", f"FROM (SELECT * FROM ({VOLUMES}), {OFFERS}) WINDOW")
+check("sorted_supply", in_order(
+    "region, supplier, allocated_volume, allocated_cost", f"({GIVEN})", "region, allocated_volume DESC, supplier"))
+check("sorted_budget", in_order(
+    "question_id, region, allocated_budget", f"({MARKETING})", "question_id, allocated_budget DESC NULLS LAST, region"))
+
+# --- model inputs, embedders
+INPUTS = (
+    "revenue_lag1", "revenue_lag2", "revenue_rolling3", "units_sold_lag1", "units_sold_lag2", "units_sold_rolling3",
+    "avg_temp_c", "total_precip_mm", "competitor_price_index", "market_sentiment_score", "inflation_rate_pct",
+    "marketing_spend", "month_num", "time_idx",
+)
+check("missing_inputs", " UNION ALL ".join(
+    f"SELECT region, month, '{c}' AS feature, coalesce({c}::DOUBLE, -1e9) AS value, ({c} IS NULL)::INT AS missing FROM features"
+    for c in INPUTS))
+HASHED = """SELECT {key}, list(n ORDER BY place) AS e FROM (
+      SELECT {key}, place, coalesce(sum(CASE WHEN bucket = place THEN sign END), 0)::DOUBLE AS n
+      FROM (SELECT {key}, ('0x' || substr(md5(term), 1, 4))::INT % 64 AS bucket,
+              CASE WHEN ('0x' || substr(md5(term), 5, 1))::INT < 8 THEN 1 ELSE -1 END AS sign
+            FROM (SELECT {key}, unnest(terms) AS term FROM {rows})), range(64) AS p(place)
+      GROUP BY {key}, place) GROUP BY {key}"""
+BENCH_TERMS = f"""(SELECT item_id AS query_id, {PAIRS} AS terms
+    FROM (SELECT item_id, {words("text")} AS w FROM benchmark))"""
+check("embed_topk", f"""WITH c AS (SELECT doc_id * 1000000 + chunk_no AS vec_id, e FROM (
+        {HASHED.format(key="doc_id, chunk_no", rows="chunk_terms")})),
+    z AS (SELECT vec_id, coalesce(e, list_transform(range(64), lambda x: 0.0::DOUBLE)) AS e
+          FROM (SELECT doc_id * 1000000 + chunk_no AS vec_id FROM chunk_terms) LEFT JOIN c USING (vec_id)),
+    q AS ({HASHED.format(key="query_id", rows=BENCH_TERMS)})
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM (SELECT query_id, vec_id, {rnd("coalesce(list_dot_product(z.e, q.e) / nullif(sqrt(list_dot_product(z.e, z.e)) * sqrt(list_dot_product(q.e, q.e)), 0), 0.0)", 6)}
+            AS score FROM z, q) QUALIFY rank <= 4""")
+check("embed_tfidf", f"""WITH v AS (SELECT term FROM (SELECT unnest(terms) AS term FROM chunk_terms)
+        GROUP BY term ORDER BY count(*) DESC, term LIMIT 256),
+    t AS (SELECT doc_id, chunk_no, term, count(*) AS tf
+          FROM (SELECT doc_id, chunk_no, unnest(terms) AS term FROM chunk_terms) JOIN v USING (term) GROUP BY ALL),
+    i AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM chunks)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf
+          FROM t GROUP BY term),
+    w AS (SELECT doc_id, chunk_no, max(tf * idf) / sqrt(sum(tf * idf * tf * idf)) AS most FROM t JOIN i USING (term)
+          GROUP BY doc_id, chunk_no)
+    SELECT doc_id, chunk_no, CASE WHEN most IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS length,
+        (SELECT count(*) FROM v)::INT AS dim, coalesce({rnd("most", 3)}, 0.0::DOUBLE) AS largest
+    FROM chunks LEFT JOIN w USING (doc_id, chunk_no)""")

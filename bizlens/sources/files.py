@@ -1,8 +1,10 @@
-"""Readers and writers for CSV, Parquet, JSON and plain-text folders."""
+"""Readers and writers for CSV, Parquet, JSON, sorted tables and plain-text folders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizlens.sources.tables import SCHEMAS
@@ -48,3 +50,48 @@ def read_text_folder(spark: SparkSession, folder: str, pattern: str = "*.txt") -
             F.col("value").alias("text"),
         )
     )
+
+
+def write_text_folder(docs: DataFrame, folder: str) -> None:
+    """One text file per document, in a folder named after its ``doc_id``; the file ends with one
+    line break more than the text. A null text is an empty one."""
+    docs.select("doc_id", F.coalesce("text", F.lit("")).alias("value")).repartition("doc_id").write.mode(
+        "overwrite"
+    ).partitionBy("doc_id").text(folder)
+
+
+def read_text_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_text_folder`` wrote, whole files at a time: ``doc_id, text`` and, from the file
+    itself, ``source`` (its path below the folder) and ``bytes``."""
+    path = F.col("_metadata.file_path")
+    return (
+        spark.read.schema("value string, doc_id long").text(folder, wholetext=True)
+        .select(
+            "doc_id",
+            F.regexp_extract(path, "([^/]+/[^/]+)$", 1).alias("source"),
+            F.regexp_replace("value", "\\n\\z", "").alias("text"),
+            F.col("_metadata.file_size").alias("bytes"),
+        )
+    )
+
+
+def write_sorted(df: DataFrame, order: Sequence[Column], folder: str) -> None:
+    """A table in a total order: tasks hold ranges of it, and files follow one another in the order of
+    their numbers. ``order`` must end in a unique key. No task sees more than its range."""
+    df.orderBy(*order).write.mode("overwrite").parquet(folder)
+
+
+def read_sorted(spark: SparkSession, folder: str, place: str = "place") -> DataFrame:
+    """The table with the place of every row in that order, counted from 1: the row's number in its
+    file behind the rows of all earlier files (one count per file)."""
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, "part-(\\d+)", 1).cast("long")
+    rows = spark.read.parquet(folder).select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    return (
+        rows.join(starts, "_file").withColumn(place, F.col("_start") + F.col("_row") + 1)
+        .drop("_file", "_row", "_start")
+    )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from bizlens.operators import attribution as attr
 from bizlens.operators import customers as cu
-from bizlens.operators import metrics, models
+from bizlens.operators import decisions, metrics, models
+from bizlens.operators.store import ModelStore, fingerprint
 from bizlens.plans import catalog
 from bizlens.plans.business import ENTERPRISE, Business
 from bizlens.session import pinned
@@ -32,12 +33,93 @@ def value(people):
     return models.fit_value(people.filter("is_test = 0"), trees=8)
 
 
-def test_registered_models_have_all_their_trees(spark, folder, people, monkeypatch):
+def test_registered_models_have_all_their_trees(spark, folder, monkeypatch):
     monkeypatch.setattr(models, "fit", lambda *given: given[4])
-    monkeypatch.setattr(catalog, "_stored", lambda b, name, fit: fit())
-    b, train = Business(spark, folder), people.filter("is_test = 0")
+    monkeypatch.setattr(ModelStore, "fitted", lambda store, name, train, columns, target, fit: fit())
+    b = Business(spark, folder)
     assert [catalog._forecast(b, x)[0] for x in ("revenue", "units_sold")] == [250, 250]
-    assert [catalog._churn_model(b, train), catalog._value_model(b, train)] == [200, 200]
+    assert [b.churn_model, b.value_model] == [200, 200]
+
+
+def test_store_fits_once_and_again_when_the_rows_change(spark, people, tmp_path):
+    store, calls = ModelStore(spark, str(tmp_path / "store")), []
+
+    def ask(rows):
+        def fit():
+            calls.append(1)
+            return models.fit_value(rows, trees=3)
+
+        return store.fitted("value", rows, ["segment", "region", *models.VALUE_FEATURES], "clv_12mo", fit)
+
+    train = people.filter("is_test = 0")
+    first = ask(train)
+    again = ask(train.repartition(7).orderBy("customer_id"))
+    assert calls == [1]
+    key = F.col("customer_id")
+    one = {r.customer_id: r.prediction for r in first.score(people).select(key, "prediction").collect()}
+    assert one == {r.customer_id: r.prediction for r in again.score(people).select(key, "prediction").collect()}
+    ask(train.withColumn("avg_order_value", F.col("avg_order_value") + F.when(key == train.first().customer_id, 1).otherwise(0)))
+    ask(train)
+    assert calls == [1, 1]
+    entries = store.manifests("value").orderBy("version").collect()
+    assert [e.version for e in entries] == [1, 2] and {e.trees for e in entries} == {3}
+    assert store.load("value", 1).categories == first.categories
+    with pytest.raises(LookupError):
+        store.load("value", 9)
+    with pytest.raises(LookupError):
+        store.load("nothing")
+
+
+def test_fingerprint_sees_lost_repeated_and_changed_rows(spark):
+    rows = [(1, 2.0, None), (2, None, "a"), (3, 1.0, "b")]
+    mark = lambda r: fingerprint(spark.createDataFrame(r, "k int, x double, s string"), ["k", "x", "s"])
+    assert mark(rows) == mark(rows[::-1])
+    others = [rows[:2], [*rows, rows[0]], [(1, 2.5, None), *rows[1:]], [rows[0], rows[0], rows[1]], []]
+    assert len({mark(rows), *map(mark, others)}) == len(others) + 1
+
+
+def test_missing_values_are_flagged_and_have_no_value_in_an_explanation(spark, value, people, tmp_path):
+    columns = ["customer_id", "avg_order_value", "tenure_days"]
+    rows = people.withColumn("avg_order_value", F.when(F.col("customer_id") % 2 == 0, F.col("avg_order_value")))
+    stage = models.missing_stage(columns[1:])
+    stage.write().save(str(tmp_path / "stage"))
+    found = models.missing_inputs(rows, ["customer_id"], type(stage).load(str(tmp_path / "stage")), columns[1:])
+    odd = found.where("customer_id % 2 = 1 AND feature = 'avg_order_value'")
+    assert odd.count() and odd.where(f"missing = 0 OR value <> {models.MISSING}").count() == 0
+    assert found.where("(customer_id % 2 = 0 OR feature = 'tenure_days') AND missing = 1").count() == 0
+    card = attr.tree_attribution(value, rows.where("customer_id % 2 = 1").limit(3), ["customer_id"]).first()
+    assert {f.feature: f.value for f in card.factors}["avg_order_value"] is None
+
+
+@pytest.mark.parametrize("changed", ["inflation_rate_pct", "marketing_spend"])
+def test_what_if_answers_react_to_inflation_and_spend(spark, changed):
+    """Two models that have learnt both inputs: an asked change moves the answer, no change does not."""
+    rng = np.random.default_rng(5)
+    names = list(models.FORECAST_FEATURES)
+    data = pd.DataFrame(rng.normal(size=(400, len(names))), columns=names)
+    data["inflation_rate_pct"], data["marketing_spend"] = rng.uniform(0, 9, 400), rng.uniform(1, 9, 400)
+    data["revenue"] = 1000 + 50 * data["marketing_spend"] - 40 * data["inflation_rate_pct"]
+    data["units_sold"], data["avg_unit_price"], data["region"] = data["revenue"] / 10, 10.0, "R"
+    rows = spark.createDataFrame(data)
+    revenue, units = (models.fit_forecast(rows, t, trees=20) for t in ("revenue", "units_sold"))
+    inflation = [0.0, 4.0, -4.0] if changed == "inflation_rate_pct" else [0.0] * 3
+    spend = [0.0, 0.6, -0.6] if changed == "marketing_spend" else [0.0] * 3
+    table = [(f"s{k}", 0.0, i, 0.0, m, -1.1) for k, (i, m) in enumerate(zip(inflation, spend, strict=True))]
+    latest = rows.where("inflation_rate_pct BETWEEN 4 AND 5 AND marketing_spend BETWEEN 4 AND 6").limit(1)
+    found = attr.scenario_scores(revenue, units, decisions.scenario_inputs(latest, table)).collect()
+    by = {r.scenario: r for r in found}
+    assert by["s0"].demand_pct == by["s0"].like_for_like_pct == 0
+    up, down = ("s2", "s1") if changed == "inflation_rate_pct" else ("s1", "s2")
+    assert by[up].demand_pct > 1 and by[down].demand_pct < -1
+
+
+def test_effects_sum_to_the_predicted_change(spark, value, people):
+    months = people.select("*", (F.col("customer_id") % 2 + 1).cast("int").alias("step0")).withColumn(
+        "region", F.concat("region", F.lit("")))
+    rows = months.withColumn("month", F.expr("make_date(2020, step0, 1)")).dropDuplicates(["region", "month"])
+    drivers = attr.change_drivers(value, rows)
+    gaps = attr.change_gap(drivers).collect()
+    assert gaps and all(g.gap == 0 for g in gaps)
 
 
 def test_split_sizes_are_exact_per_label(people):
