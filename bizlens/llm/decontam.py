@@ -142,19 +142,30 @@ def candidates(data: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[
     edits = (EDIT_SHARE * size).astype(np.int64)
     diagonal = at - offsets[row] - place + WINDOW  # not negative
     step = edits + 1
-    parts = []
-    for shift in (0, 1):
-        band = diagonal // step - shift
-        parts.append(np.column_stack([row, window, band, place]))
-    hits = np.unique(np.concatenate(parts), axis=0)
-    change = np.flatnonzero(np.any(np.diff(hits[:, :3], axis=0) != 0, axis=1)) + 1
-    begin = np.concatenate([[0], change])
-    count = np.diff(np.concatenate([begin, [len(hits)]]))
-    for b, n in zip(begin.tolist(), count.tolist(), strict=True):
-        r, w, band, _ = hits[b].tolist()
-        size, e = len(index.texts[w]), budget(len(index.texts[w]))
-        if n >= max(size + 1 - Q * (e + 1), 1):
-            yield r, w, band * (e + 1) - WINDOW, (band + 2) * (e + 1) - 1 - WINDOW
+    row, window, place = (np.concatenate([x, x]) for x in (row, window, place))
+    band = np.concatenate([diagonal // step - shift for shift in (0, 1)])
+    # distinct (row, window, band, place) in that order, each as one number where it fits one
+    low = int(band.min())
+    spans = [int(row.max()) + 1, len(sizes), int(band.max()) - low + 1, int(place.max()) + 1]
+    fits = np.prod(np.array(spans, float)) < 2.0**62
+    if fits:
+        key = np.unique(((row * spans[1] + window) * spans[2] + band - low) * spans[3] + place)
+        group = key // spans[3]
+    else:
+        hits = np.unique(np.column_stack([row, window, band - low, place]), axis=0)
+        change = np.any(np.diff(hits[:, :3], axis=0) != 0, axis=1)
+        group = np.concatenate([[0], np.cumsum(change)])
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(begin, len(group)))
+    if fits:
+        owner, own_band = np.divmod(group[begin], spans[2])
+        own_row, own_window = np.divmod(owner, spans[1])
+    else:
+        own_row, own_window, own_band = hits[begin, 0], hits[begin, 1], hits[begin, 2]
+    kept = count >= least[own_window]
+    for r, w, band in zip(own_row[kept].tolist(), own_window[kept].tolist(), (own_band[kept] + low).tolist(), strict=True):
+        e = budget(len(index.texts[w]))
+        yield r, w, band * (e + 1) - WINDOW, (band + 2) * (e + 1) - 1 - WINDOW
 
 
 def aligned(pattern: bytes, text: bytes, limit: int) -> tuple[int, int] | None:
