@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def sheltered(docs: DataFrame, own: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but ``own`` named after their place, so that none can clash with an
+    operator's columns, whatever its name or case; and these names in order."""
+    names = [c if c in own else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows, so that a worker holds a few megabytes of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

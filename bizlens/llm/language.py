@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import fold, held_model, small_batches, table
+from bizlens.llm.common import fold, held_model, sheltered, small_batches, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 40_000
@@ -273,5 +273,6 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language can be named; those without a letter go."""
-    found = identify(docs, learnt(docs), docs.columns)
-    return found.where(F.col("lang_pred") != UNDECIDED).select(*docs.columns)
+    part, names = sheltered(docs, ("doc_id", "text", "lang"))
+    found = identify(part, learnt(part), names)
+    return found.where(F.col("lang_pred") != UNDECIDED).select(*names).toDF(*docs.columns)

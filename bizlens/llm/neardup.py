@@ -38,6 +38,7 @@ from bizlens.llm.common import (
     mixed,
     runs,
     settled,
+    sheltered,
     slices,
     small_batches,
     table,
@@ -498,16 +499,17 @@ def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest doc_id of every class (once, if its row repeats)."""
-    found = classes(docs.select("doc_id", "text"))
+    part, names = sheltered(docs, ("doc_id", "text"))
+    found = classes(part.select("doc_id", "text"))
     best = settled(
         found.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"))
         .select(F.col("best.doc_id").alias("_best_id"), F.col("best.node").alias("_best_node")),
         "representatives",
     )
     has = F.col("doc_id").isNotNull() & (F.length("text") > 0)
-    rows = docs.where(has).withColumn("_node", by_content())
+    rows = part.where(has).withColumn("_node", by_content())
     kept = rows.join(
         best, (F.col("doc_id") == F.col("_best_id")) & (F.col("_node") == F.col("_best_node"))
     ).dropDuplicates(["_best_id", "_best_node"])
-    rest = docs.where(~F.coalesce(has, F.lit(False)))
-    return kept.select(*docs.columns).unionByName(rest)
+    rest = part.where(~F.coalesce(has, F.lit(False)))
+    return kept.select(*names).unionByName(rest).toDF(*docs.columns)

@@ -14,6 +14,7 @@ The rules look at one page at a time, so there is no shuffle and no state betwee
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -61,7 +62,8 @@ SHORT, LONG = 70, 200
 LOW, HIGH = 0.10, 0.20
 LINKS = 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+MARK = re.compile("[>\"']")
 STRAY = re.compile(r"</?[a-zA-Z][^<>]*>?")  # tags whose quotes do not close
 LABELS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -96,11 +98,86 @@ def is_aside(tag: str, attributes: str, above: Section) -> bool:
     return bool(words & ASIDE_WORDS)
 
 
+class Scanner:
+    """The markup of a page, one item at a time, in linear time whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.dead: set[int] = set()  # places outside quotes from which no tag ends
+        self.ahead: dict[str, tuple[int, int]] = {}  # what was looked for last: from where, and where it is
+
+    def next(self, what: str, at: int) -> int:
+        """The next ``what`` from ``at`` on, or the page's size; "any" is an end or a quote. The last
+        answer holds for every place up to it."""
+        start, found = self.ahead.get(what, (0, -1))
+        if not start <= at <= found:
+            if what == "any":
+                m = MARK.search(self.page, at)
+                found = m.start() if m else len(self.page)
+            else:
+                found = self.page.find(what, at)
+                found = len(self.page) if found < 0 else found
+            self.ahead[what] = at, found
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, quotes skipped; -1 if there is none."""
+        passed = []
+        while at not in self.dead:
+            passed.append(at)
+            mark = self.next("any", at)
+            if mark == len(self.page):
+                break
+            if self.page[mark] == ">":
+                return mark
+            close = self.next(self.page[mark], mark + 1)
+            if close == len(self.page):
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def items(self) -> Iterator[tuple[str, str | None, str, bool]]:
+        """(text before, tag, attributes, whether it closes); without a tag for comments and the end."""
+        page, size, at = self.page, len(self.page), 0
+        while at < size:
+            self.at = size
+            open_ = page.find("<", at)
+            while open_ >= 0:
+                follow = page[open_ + 1 : open_ + 2]
+                name = None
+                if page.startswith("<!--", open_):
+                    end = page.find("-->", open_ + 4)
+                    self.at = size if end < 0 else end + 3
+                    break
+                if follow in ("!", "?"):
+                    end = page.find(">", open_)
+                    self.at = size if end < 0 else end + 1
+                    break
+                name = NAME.match(page, open_)
+                end = self.tag_end(name.end()) if name else -1
+                if end >= 0:
+                    self.at = end + 1
+                    break
+                open_ = page.find("<", open_ + 1)
+            if open_ < 0:
+                yield page[at:], None, "", False
+                return
+            lead = page[at:open_]
+            if name is None:
+                yield lead, None, "", False
+            else:
+                yield lead, name[1].lower(), page[name.end() : self.at - 1], page[open_ + 1] == "/"
+            at = self.at
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order; markup that is not closed takes the rest of the page."""
     stack = [Section("", False, 0)]
+    open_tags: Counter[str] = Counter()
     found = [Block(stack[-1])]
-    links = articles = at = 0
+    links = articles = 0
+    scanner = Scanner(page)
 
     def put(text: str) -> None:
         if "<" in text:
@@ -110,17 +187,10 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 found[-1].linked += len("".join(text.split()))
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            put(page[at:])
-            break
-        lead = page[at : m.start()]
+    for lead, tag, attributes, closing in scanner.items():
         put(lead)
-        at = m.end()
-        if m[2] is None:
+        if tag is None:
             continue
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag == "a":
             links = 0 if closing else 1
             continue
@@ -129,16 +199,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if not closing and tag in DROPPED_TAGS:
             if tag != "embed" and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, scanner.at)
+                scanner.at = end.end() if end else len(page)
             put(" ")
             continue
         if tag not in BLOCK_TAGS:
             continue
         if closing:
-            names = [s.tag for s in stack]
-            if tag in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if open_tags[tag]:
+                while True:
+                    last = stack.pop().tag
+                    open_tags[last] -= 1
+                    if last == tag:
+                        break
         elif tag not in VOID_TAGS:
             above = stack[-1]
             own = is_aside(tag, attributes, above)
@@ -147,6 +220,7 @@ def blocks_of(page: str) -> list[Block]:
                 articles += 1
                 article = articles
             stack.append(Section(tag, own or above.aside, article))
+            open_tags[tag] += 1
         links = 0
         found.append(Block(stack[-1]))
     for block in found:
@@ -177,14 +251,21 @@ def first_pass(block: Block) -> str:
 def second_pass(blocks: list[Block]) -> None:
     """Open blocks take the label of the nearest decided block of their section; with different
     neighbours equally near, or none, a block is text inside an article and near good prose."""
-    decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
     labels = [b.label for b in blocks]
+    sides_of = []
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        near: dict[int, int] = {}
+        side: list[int | None] = [None] * len(blocks)
+        for i in order:
+            section = blocks[i].section
+            side[i] = near.get(section.article)
+            if labels[i] in ("good", "bad") and not section.aside:
+                near[section.article] = i
+        sides_of.append(side)
     for i, block in enumerate(blocks):
         if labels[i] in ("good", "bad"):
             continue
-        same = [j for j in decided if blocks[j].section.article == block.section.article and not blocks[j].section.aside]
-        back = max((j for j in same if j < i), default=None)
-        ahead = min((j for j in same if j > i), default=None)
+        back, ahead = sides_of[0][i], sides_of[1][i]
         sides = {j: labels[j] for j in (back, ahead) if j is not None}
         inclined = "good" if block.section.article or labels[i] == "near" else "bad"
         if len(set(sides.values())) == 1:
