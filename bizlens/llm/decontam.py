@@ -2,8 +2,8 @@
 
 Items and documents are normalised (lower case, one space between runs of letters and digits). An
 item is searched for in windows of ``WINDOW`` characters that start every ``STEP`` characters: a passage
-of ``WINDOW`` + ``STEP`` - 1 = 87 normalised characters or more holds a whole window, so it is found as well
-as the whole item. Windows off the grid of ``GRID`` are aligned only where none of the item's
+of ``WINDOW`` + ``STEP`` - 1 = 59 normalised characters or more (about ten words) holds a whole window, so it
+is found, with up to ``EDIT_SHARE`` of the window (3) edits, as well as the whole item. Windows off the grid of ``GRID`` are aligned only where none of the item's
 windows on it was found, so ``hits`` lists those on the grid, or else all found. Window and text share a q-gram at a diagonal (text place less item place); diagonals are
 gathered in bands that overlap by half. An occurrence with at most e edits stays inside one
 band and shares at least w + 1 - q (e + 1) q-grams there (the q-gram lemma), so only bands with
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from bizlens.llm.common import Hashes, joined, slices, small_batches, table
 
 Q = 10
-WINDOW = 80
+WINDOW = 52
 STEP = 8
 GRID = 40
 EDIT_SHARE = 0.06

@@ -4,12 +4,13 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bizlens.llm import pages
+from bizlens.llm import decontam, pages
 from bizlens.llm.packing import TOKENIZER, Words, tokenizer_path
 
 CLASH = [
@@ -123,3 +124,39 @@ def test_pages_repeat_and_may_be_missing(spark):
         [(1, "http://a", text, len(text))] * 2 + [(2, None, "", 0), (None, "x", "", 0)], key=str
     )
     assert pages.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("size", [59, 60, 75, 90, 140])
+@pytest.mark.parametrize("edits", [0, 1, 3])
+def test_every_passage_of_59_characters_is_found(size, edits):
+    """Passages from anywhere in an item, with edits anywhere, between other words: all are found, and
+    texts without one are clean."""
+    rng = random.Random(size * 10 + edits)
+    items = [(k, prose(rng, 60)) for k in range(4)]
+    index = decontam.Index.of(items)
+    texts, want = [], []
+    for _ in range(60):
+        item, whole = rng.choice(items)
+        at = rng.randrange(len(whole) - size)
+        passage = list(whole[at : at + size])
+        # the promise is about a stretch of 59 characters: edits all fall in one
+        for place in sorted(rng.sample(range(59), edits), reverse=True):
+            kind = rng.choice("sdi")
+            if kind == "s":
+                passage[place] = "z"
+            elif kind == "d":
+                del passage[place]
+            else:
+                passage.insert(place, "z")
+        text = "".join(passage)
+        texts.append(prose(rng, 30) + " " + text + " " + prose(rng, 30))
+        want.append(None if edits and size < 75 else item)  # edits may shorten a passage of just 59
+        texts.append(prose(rng, 70))
+        want.append(-1)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    out = next(decontam.searched(iter([batch]), index)).column("hits").to_pylist()
+    for hits, item in zip(out, want, strict=True):
+        if item == -1:
+            assert not hits
+        elif item is not None:
+            assert item in {h["item_id"] for h in hits}
