@@ -448,11 +448,11 @@ def answer_rows(b: Business) -> DataFrame:
     """The long lists of the answers as rows, once per answer type and region: all products ranked
     with their candidates marked, and the order plan. A question is joined to them on ``answer_type``
     and ``region``; they are not repeated for every question."""
-    weak = discontinue_candidates(b.performance).select("sku", F.lit(True).alias("weak"))
+    weak = discontinue_candidates(b.performance).select("sku", F.lit(1).alias("weak"))
     everything = ranked(b.performance).join(weak, "sku", "left").select(
         F.lit("product_discontinuation").alias("answer_type"), F.lit(ALL).alias("region"),
         F.lit(ALL).alias("item_region"), F.col("sku").cast("long").alias("sku"),
-        F.col("revenue").alias("amount"), F.coalesce("weak", F.lit(False)).alias("marked"),
+        F.col("revenue").alias("amount"), F.coalesce("weak", F.lit(0)).alias("marked"),
     )
     orders = b.plan.select("region", "sku", "recommended_order_qty", "stockout_risk")
     own = orders.withColumn("item_region", F.col("region"))
@@ -460,7 +460,7 @@ def answer_rows(b: Business) -> DataFrame:
     plan = own.unionByName(every).select(
         F.lit("inventory_recommendation").alias("answer_type"), "region", "item_region",
         F.col("sku").cast("long").alias("sku"), F.col("recommended_order_qty").cast("double").alias("amount"),
-        (F.col("stockout_risk") == 1).alias("marked"),
+        F.col("stockout_risk").cast("int").alias("marked"),
     )
     return everything.unionByName(plan)
 

@@ -782,9 +782,9 @@ check("supplier_shared", f"""WITH supply AS (SELECT *, sum(capacity::DECIMAL(18,
     UNION ALL SELECT region, NULL, NULL, NULL, required_volume, 'unserved', 0.0, 0.0 FROM wanted, everything
     WHERE upto - required_volume::DECIMAL(18,2) >= total AND required_volume > 0""")
 check("answer_rows", """SELECT 'product_discontinuation' AS answer_type, 'ALL' AS region, 'ALL' AS item_region,
-      sku, revenue AS amount, sku IN (SELECT sku FROM weak) AS marked FROM perf
-    UNION ALL SELECT 'inventory_recommendation', region, region, sku, recommended_order_qty::DOUBLE, stockout_risk = 1 FROM plan
-    UNION ALL SELECT 'inventory_recommendation', 'ALL', region, sku, recommended_order_qty::DOUBLE, stockout_risk = 1 FROM plan""")
+      sku, revenue AS amount, (sku IN (SELECT sku FROM weak))::INT AS marked FROM perf
+    UNION ALL SELECT 'inventory_recommendation', region, region, sku, recommended_order_qty::DOUBLE, stockout_risk::INT FROM plan
+    UNION ALL SELECT 'inventory_recommendation', 'ALL', region, sku, recommended_order_qty::DOUBLE, stockout_risk::INT FROM plan""")
 
 # --- invariants of the models: what holds whatever the trees are
 check("change_gap", "SELECT region, 0.0::DOUBLE AS gap, 19::BIGINT AS features FROM latest")
