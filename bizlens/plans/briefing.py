@@ -179,7 +179,7 @@ def scenario_questions(b: Business) -> DataFrame:
         F.lit(0.0).alias("marketing_change_pct"),
         F.lit(decisions.SCENARIO_ELASTICITY).alias("demand_elasticity"),
     )
-    return asked.join(b.settled().latest, "region")
+    return asked.join(b.settled("monthly", "features").latest, "region")
 
 
 def scenario_answers(b: Business) -> DataFrame:
@@ -200,7 +200,7 @@ def scenario_table(b: Business, steps=((0.0, 0.0), (3.0, 0.0), (-3.0, 0.0), (0.0
         (f"inflation {points:+g}, marketing {spend:+.0%}", 0.0, points, 0.0, spend, decisions.SCENARIO_ELASTICITY)
         for points, spend in steps
     ]
-    rows = decisions.scenario_inputs(b.settled().latest, table)
+    rows = decisions.scenario_inputs(b.settled("monthly", "features").latest, table)
     return attribution.scenario_scores(b.forecast_model("revenue"), b.forecast_model("units_sold"), rows)
 
 

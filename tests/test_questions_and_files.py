@@ -153,3 +153,10 @@ def test_every_question_gets_an_answer(spark, small):
     assert [a["priority"] for a in actions] == [1, 2, 3, 4]
     budgets = json.loads(samples["sample-08"].answer)["marketing_allocation"]
     assert sum(a["allocated_budget"] for a in budgets) == pytest.approx(2_500_000)
+
+
+def test_scenario_questions_settle_only_what_they_read(spark, small):
+    """The order plan and the customer scores are no input of a scenario."""
+    b = Business(spark, small)
+    briefing.scenario_elastic_answers(b)
+    assert b.kept == {"monthly", "features"}
