@@ -179,3 +179,16 @@ def test_text_files_are_dealt_over_buckets(spark, tmp_path):
     back = {r.doc_id: (r.text, r.bytes, r.source) for r in files.read_text_folders(spark, str(tmp_path / "t")).collect()}
     assert {k: v[:2] for k, v in back.items()} == {7: ("a\na", 4), None: ("b", 2), -3: ("", 1)}
     assert back[7][2].startswith("doc_id=7/") and back[None][2].startswith("doc_id=__HIVE_DEFAULT_PARTITION__/")
+
+
+def test_a_group_sends_only_what_can_be_among_the_best(spark, tmp_path):
+    """Every chunk shares a term with every query, but no row per query and chunk leaves a task."""
+    rng = np.random.default_rng(6)
+    rows = [(c, 0, t, float(w)) for c in range(500) for t, w in enumerate(rng.uniform(0.1, 0.9, 3))]
+    weights = spark.createDataFrame(rows, "doc_id long, chunk_no int, term_no int, weight double")
+    index = impacts.ImpactIndex.write(weights, ["doc_id", "chunk_no"], str(tmp_path / "index"))
+    asked = [(q, t, float(rng.uniform(0.1, 0.9))) for q in range(20) for t in range(3)]
+    cells = spark.createDataFrame(
+        [(*a, 0.0, 4) for a in asked], "query_id long, term_no int, query_weight double, bound double, places int"
+    )
+    assert index.contributions(cells).count() == 20 * 4
