@@ -192,3 +192,15 @@ def test_a_group_sends_only_what_can_be_among_the_best(spark, tmp_path):
         [(*a, 0.0, 4) for a in asked], "query_id long, term_no int, query_weight double, bound double, places int"
     )
     assert index.contributions(cells).count() == 20 * 4
+
+
+def test_queries_may_have_composed_ids(spark, tmp_path):
+    """The batch of the answers names a query by kind and key."""
+    rows, asked = sparse(9, 60), asked_rows(9, 5)
+    weights = spark.createDataFrame(rows, "doc_id long, chunk_no int, term_no int, weight double")
+    index = impacts.ImpactIndex.write(weights, ["doc_id", "chunk_no"], str(tmp_path / "index"))
+    table = spark.createDataFrame(asked, "query_id long, term_no int, query_weight double").withColumn(
+        "query_id", F.struct(F.lit("q").alias("kind"), F.col("query_id").cast("string").alias("key"))
+    )
+    got = {(int(r.query_id.key), r["rank"], r.doc_id, r.chunk_no) for r in index.search(table, 3).collect()}
+    assert got == {w[:4] for w in full_scan(rows, asked, 3)}
