@@ -22,7 +22,7 @@ from bizlens.operators.decisions import scenario_outcome
 from bizlens.operators.metrics import confidence_label
 from bizlens.operators.models import MISSING, FittedModel
 from bizlens.operators.monthly import last_rows
-from bizlens.session import scratch_path
+from bizlens.session import pinned, scratch_path
 
 
 def tree_nodes(model: FittedModel, spark) -> pd.DataFrame:
@@ -71,29 +71,51 @@ def base_value(paths) -> float:
     return float(sum(value * np.prod([p[3] for p in parts]) for value, parts in paths))
 
 
-def shapley_values(paths, matrix: np.ndarray) -> np.ndarray:
-    """Contributions, one column per feature."""
-    phi = np.zeros_like(matrix, dtype=np.float64)
-    for value, parts in paths:
-        size = len(parts)
-        meets = [
-            ((matrix[:, f] > low) & (matrix[:, f] <= high)).astype(np.float64)
-            for f, low, high, _ in parts
-        ]
-        for i in range(size):
-            others = [j for j in range(size) if j != i]
-            total = np.zeros(len(matrix))
-            for known in range(size):
-                weight = factorial(known) * factorial(size - known - 1) / factorial(size)
-                for chosen in combinations(others, known):
-                    unknown = np.prod([parts[j][3] for j in others if j not in chosen])
-                    term = np.full(len(matrix), weight * unknown)
-                    for j in chosen:
-                        term *= meets[j]
-                    total += term
-            feature, _, _, share = parts[i]
-            phi[:, feature] += value * total * (meets[i] - share)
-    return phi
+def contribution_table(value: float, shares: list[float]) -> np.ndarray:
+    """What a leaf adds to each feature of its path, for every pattern of conditions met (bit ``i``
+    of the row number: condition ``i``). A path of ``depth`` features has at most 2 ** depth."""
+    size = len(shares)
+    meets = ((np.arange(1 << size)[:, None] >> np.arange(size)) & 1).astype(np.float64)
+    table = np.zeros_like(meets)
+    for i in range(size):
+        others = [j for j in range(size) if j != i]
+        total = np.zeros(len(meets))
+        for known in range(size):
+            weight = factorial(known) * factorial(size - known - 1) / factorial(size)
+            for chosen in combinations(others, known):
+                unknown = np.prod([shares[j] for j in others if j not in chosen])
+                term = np.full(len(meets), weight * unknown)
+                for j in chosen:
+                    term *= meets[:, j]
+                total += term
+        table[:, i] = value * total * (meets[:, i] - shares[i])
+    return np.asfortranarray(table)
+
+
+def contribution_tables(paths) -> list:
+    """Per leaf its conditions and its table; built once, looked up for every row."""
+    return [
+        ([p[:3] for p in parts], contribution_table(value, [p[3] for p in parts])) for value, parts in paths
+    ]
+
+
+def shapley_values(paths, matrix: np.ndarray, tables: list | None = None) -> np.ndarray:
+    """Contributions, one column per feature: each row finds its place in the table of each leaf.
+    ``tables`` are those of ``paths``, where a caller has many matrices."""
+    tables = contribution_tables(paths) if tables is None else tables
+    # a condition stands in many leaves, but is compared once; columns are contiguous
+    columns = np.ascontiguousarray(matrix.T, dtype=np.float64)
+    phi = np.zeros_like(columns)
+    met: dict[tuple, np.ndarray] = {}
+    for conditions, table in tables:
+        place = np.zeros(columns.shape[1], np.intp)
+        for i, (f, low, high) in enumerate(conditions):
+            if (f, low, high) not in met:
+                met[f, low, high] = ((columns[f] > low) & (columns[f] <= high)).astype(np.uint8)
+            place += met[f, low, high].astype(np.intp) << i
+        for i, (f, _, _) in enumerate(conditions):
+            phi[f] += table[:, i][place]
+    return phi.T
 
 
 def tree_attribution(model: FittedModel, df: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,7 +124,7 @@ def tree_attribution(model: FittedModel, df: DataFrame, keys: list[str]) -> Data
     scale = 2.0 if model.classifier else 1.0
     nodes = tree_nodes(model, df.sparkSession)
     paths = leaf_paths(nodes, [scale * w for w in model.trees.treeWeights])
-    base = base_value(paths)
+    base, tables = base_value(paths), contribution_tables(paths)
     inputs = model.inputs
     names = [name.removeprefix("x_") for name in inputs]
     scored = model.score(df).select(*keys, *inputs, "prediction")
@@ -113,7 +135,7 @@ def tree_attribution(model: FittedModel, df: DataFrame, keys: list[str]) -> Data
             out = frame[[*keys, "prediction"]].copy()
             out["base_value"] = base
             out["input_values"] = list(values)
-            out["contributions"] = list(shapley_values(paths, values))
+            out["contributions"] = list(shapley_values(paths, values, tables))
             yield out
 
     kinds = ", ".join(f"`{k}` {scored.schema[k].dataType.simpleString()}" for k in keys)
@@ -223,13 +245,16 @@ def customer_scores(rows: DataFrame, churn: FittedModel, value: FittedModel) ->
         1,
         3,
     )
-    return cards.select(
-        "customer_id",
-        "region",
-        "segment",
-        F.round("prediction", 3).alias("churn_probability"),
-        F.round("_value", 2).alias("predicted_clv_12mo"),
-        driver_phrases(strongest).alias("top_churn_drivers"),
+    # the sort reads its rows twice, to find the ranges and to deal them: they are computed once
+    return pinned(
+        cards.select(
+            "customer_id",
+            "region",
+            "segment",
+            F.round("prediction", 3).alias("churn_probability"),
+            F.round("_value", 2).alias("predicted_clv_12mo"),
+            driver_phrases(strongest).alias("top_churn_drivers"),
+        )
     ).orderBy(F.col("churn_probability").desc(), "customer_id")
 
 
