@@ -185,7 +185,7 @@ def scenario_questions(b: Business) -> DataFrame:
 def scenario_answers(b: Business) -> DataFrame:
     """Every scenario question through both stored models, all questions in one batch."""
     rows = decisions.shifted_inputs(scenario_questions(b))
-    return attribution.scenario_scores(b.forecast_model("revenue"), b.forecast_model("units_sold"), rows)
+    return attribution.scenario_scores(*b.forecast_models(), rows)
 
 
 def scenario_elastic_answers(b: Business) -> DataFrame:
@@ -201,7 +201,7 @@ def scenario_table(b: Business, steps=((0.0, 0.0), (3.0, 0.0), (-3.0, 0.0), (0.0
         for points, spend in steps
     ]
     rows = decisions.scenario_inputs(b.settled("monthly", "features").latest, table)
-    return attribution.scenario_scores(b.forecast_model("revenue"), b.forecast_model("units_sold"), rows)
+    return attribution.scenario_scores(*b.forecast_models(), rows)
 
 
 def scenario_unchanged(b: Business) -> DataFrame:

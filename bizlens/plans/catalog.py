@@ -609,8 +609,7 @@ def _(b):
 def _(b):
     """All customers with both models: probability, value and the three strongest drivers."""
     rows, train, _ = _customer_split(b)
-    churn = b.churn_model
-    value = b.value_model
+    churn, value = b.models_together(lambda: b.churn_model, lambda: b.value_model)
     return attr.customer_scores(rows, churn, value)
 
 
@@ -639,8 +638,7 @@ def _(b):
 @query("scenario_scored")
 def _(b):
     """Every region and scenario scored by the fitted revenue and demand models."""
-    revenue, _, _ = _forecast(b, "revenue")
-    units, _, _ = _forecast(b, "units_sold")
+    revenue, units = b.forecast_models()
     return attr.scenario_scores(revenue, units, decisions.scenario_inputs(b.latest))
 
 
@@ -660,8 +658,8 @@ def _(b):
 def _(b):
     """Base value and contributions against the output of both forecasts, for every test row."""
     out = []
-    for target in ("revenue", "units_sold"):
-        model, _, test = _forecast(b, target)
+    _, test = _forecast_rows(b)
+    for target, model in zip(("revenue", "units_sold"), b.forecast_models(), strict=True):
         gaps = attr.attribution_gap(attr.tree_attribution(model, test, ["region", "month"]), ["region", "month"])
         out.append(gaps.select(F.lit(target).alias("target"), "region", "month", "gap"))
     return out[0].unionByName(out[1])
