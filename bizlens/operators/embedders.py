@@ -13,7 +13,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any, ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ def loaded(key: str, build: Callable[[], Any]) -> Any:
 
 def embed(rows: DataFrame, keys: Sequence[str], embedder: Embedder) -> DataFrame:
     """The keys and ``embedding`` of every row, encoded in Arrow batches. A null or empty value has the
-    vector of an empty one."""
+    vector of an empty one. An embedder with ``arrow`` is given the Arrow column instead of a list."""
     state, key, reads, keys = embedder.state(), uuid.uuid4().hex, embedder.reads, list(keys)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -57,7 +57,9 @@ def embed(rows: DataFrame, keys: Sequence[str], embedder: Embedder) -> DataFrame
         for batch in batches:
             for start in range(0, batch.num_rows, ENCODED_ROWS):
                 part = batch.slice(start, ENCODED_ROWS)
-                vectors = np.asarray(run(part.column(reads).to_pylist()), np.float32)
+                given = part.column(reads)
+                given = given if getattr(embedder, "arrow", False) else given.to_pylist()
+                vectors = np.asarray(run(given), np.float32)
                 flat = pa.array(vectors.reshape(-1))
                 ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
                 columns = [part.column(c) for c in keys]
@@ -68,6 +70,12 @@ def embed(rows: DataFrame, keys: Sequence[str], embedder: Embedder) -> DataFrame
     return rows.select(*keys, reads).mapInArrow(encode, f"{kinds}, embedding array<float>")
 
 
+def numbered(values: pa.Array | Sequence) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The terms of all rows: row, number, and the terms by number."""
+    given = values if isinstance(values, pa.Array) else pa.array(list(values), pa.list_(pa.string()))
+    return retrieval.numbered(given)
+
+
 @dataclass
 class HashingEmbedder:
     """Counts of terms in ``dim`` places chosen by a hash of the term, with a sign from the same hash,
@@ -75,6 +83,7 @@ class HashingEmbedder:
 
     dim: int = 64
     reads: str = "terms"
+    arrow: ClassVar[bool] = True
 
     def fit(self, docs: DataFrame) -> "HashingEmbedder":
         return self
@@ -93,13 +102,13 @@ class HashingEmbedder:
                 known[term] = int(digest[:4], 16) % state, 1 if int(digest[4], 16) < 8 else -1
             return known[term]
 
-        def run(values: Sequence) -> np.ndarray:
-            out = np.zeros((len(values), state), np.float32)
-            for row, terms in enumerate(values):
-                for term in terms or ():
-                    at, sign = place(term)
-                    out[row, at] += sign
-            return out
+        def run(values: pa.Array | Sequence) -> np.ndarray:
+            row, term, names = numbered(values)
+            spots = np.array([place(name) for name in names.to_pylist()], np.int64).reshape(-1, 2)
+            cells = row * state + spots[term, 0]
+            signs = spots[term, 1].astype(np.float64)
+            out = np.bincount(cells, weights=signs, minlength=len(values) * state)
+            return out.reshape(len(values), state).astype(np.float32)
 
         return run
 
@@ -112,6 +121,7 @@ class TfidfEmbedder:
     size: int = 256
     reads: str = "terms"
     terms: list[tuple[str, float]] = field(default_factory=list)
+    arrow: ClassVar[bool] = True
 
     @property
     def dim(self) -> int:
@@ -131,13 +141,12 @@ class TfidfEmbedder:
         places = {term: k for k, (term, _) in enumerate(state)}
         idf = np.array([weight for _, weight in state])
 
-        def run(values: Sequence) -> np.ndarray:
-            out = np.zeros((len(values), len(state)))
-            for row, terms in enumerate(values):
-                for term in terms or ():
-                    if term in places:
-                        out[row, places[term]] += 1
-            out *= idf
+        def run(values: pa.Array | Sequence) -> np.ndarray:
+            row, term, names = numbered(values)
+            spots = np.array([places.get(name, -1) for name in names.to_pylist()], np.int64)[term]
+            known = spots >= 0
+            cells = row[known] * len(state) + spots[known]
+            out = np.bincount(cells, minlength=len(values) * len(state)).reshape(len(values), len(state)) * idf
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
         return run

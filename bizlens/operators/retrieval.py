@@ -7,18 +7,21 @@ queries against groups of vectors; tasks send the best ``k`` per query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bizlens.functions.exact import rounded
 from bizlens.functions.text import (
-    STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, term_rows, with_terms,
+    STOP_WORDS, chunk_at, chunk_count, chunk_documents, clean, strip, tokens,
 )
 from bizlens.operators.impacts import ImpactIndex
 from bizlens.session import pinned, scratch_path, small_side
@@ -27,26 +30,85 @@ from bizlens.session import pinned, scratch_path, small_side
 VOCABULARY = 2048
 # Rows of a block: dense queries and vectors of one matrix product.
 QUERY_BLOCK = 1024
+# Chunks whose words a task counts at a time.
+COUNTED_ROWS = 16_384
 VECTOR_GROUP = 8192
 CHUNK = ["doc_id", "chunk_no"]
 
 
+def numbered(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all lists in order: the list each stands in, its number, and the words by number."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    return (
+        np.repeat(np.arange(len(words)), lengths), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+        coded.dictionary,
+    )
+
+
+def term_numbers(owner: np.ndarray, word: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words and, behind them, each pair of neighbours in a list: their lists and numbers. A pair has
+    the number ``distinct`` and up, whose quotient and remainder by ``distinct`` tell its words."""
+    same = owner[1:] == owner[:-1]
+    pairs = (word[:-1] + 1) * distinct + word[1:]
+    return np.concatenate([owner, owner[1:][same]]), np.concatenate([word, pairs[same]])
+
+
+def spelled(terms: np.ndarray, names: pa.Array) -> pa.Array:
+    """Words and pairs by their numbers, in the order of ``terms``, which is ascending."""
+    distinct = len(names)
+    cut = np.searchsorted(terms, distinct)
+    pairs = terms[cut:]
+    second = names.take(pa.array(pairs % max(distinct, 1)))
+    first = names.take(pa.array(pairs // max(distinct, 1) - 1))
+    return pa.concat_arrays([names.take(pa.array(terms[:cut])), pc.binary_join_element_wise(first, second, " ")])
+
+
+def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, n, first``: occurrences of a term and lists that hold it, per batch."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, COUNTED_ROWS):
+            owner, word, names = numbered(batch.column("words").slice(low, COUNTED_ROWS))
+            owner, term = term_numbers(owner, word, len(names))
+            found, place, n = np.unique(term, return_inverse=True, return_counts=True)
+            cells = np.sort(place * COUNTED_ROWS + owner)
+            new = np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+            first = np.bincount(cells[new] // COUNTED_ROWS, minlength=len(found))
+            yield pa.RecordBatch.from_arrays(
+                [spelled(found, names).cast(pa.string()), pa.array(n, pa.int64()), pa.array(first, pa.int64())],
+                names=["term", "n", "first"],
+            )
+
+
+def known_terms(words: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of each list that stand in ``names``: list, place in ``names``, occurrences."""
+    owner, word, own = numbered(words)
+    split = [term.partition(" ") for term in names.to_pylist()]
+    place = {word: k for k, word in enumerate(own.to_pylist())}
+    distinct, wanted = len(own), []
+    for k, (first, pair, second) in enumerate(split):
+        if first in place and (not pair or second in place):
+            at = (place[first] + 1) * distinct + place[second] if pair else place[first]
+            wanted.append((at, k))
+    keys = np.array(sorted(wanted), np.int64).reshape(-1, 2)
+    owner, term = term_numbers(owner, word, distinct)
+    spot = np.minimum(np.searchsorted(keys[:, 0], term), max(len(keys) - 1, 0))
+    hit = keys[spot, 0] == term if len(keys) else np.zeros(len(term), bool)
+    size = max(len(names), 1)
+    cells = np.sort(owner[hit] * size + keys[spot[hit], 1])
+    starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+    found, n = cells[starts], np.diff(np.append(starts, len(cells)))
+    return found // size, found % size, n
+
+
 def vocabulary(
     chunks: DataFrame, size: int = VOCABULARY, stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
-    """The most frequent terms, ties by term, with the number of chunks that hold each. Both
-    counts come from one pass and are combined before the shuffle."""
-    every = F.transform(
-        "terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("first"))
-    )
-    once = F.transform(
-        F.array_distinct("terms"),
-        lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("first")),
-    )
+    """The most frequent terms, ties by term, with the number of chunks that hold each. Tasks count
+    both for batches of chunks, so that a row leaves them per term and batch, not per occurrence."""
     return (
-        with_terms(chunks, stop_words=stop_words)
-        .select(F.inline_outer(F.concat(every, once)))
-        .filter(F.col("term").isNotNull())
+        chunks.select(tokens(F.col("text"), stop_words).alias("words"))
+        .mapInArrow(counted_terms, "term string, n long, first long")
         .groupBy("term")
         .agg(F.sum("n").alias("total"), F.sum("first").alias("df"))
         .orderBy(F.col("total").desc(), "term")
@@ -63,14 +125,32 @@ def unit_weights(
     texts: DataFrame, owner: Sequence[str], terms: DataFrame, stop_words: Sequence[str] = STOP_WORDS
 ) -> DataFrame:
     """``owner, term, term_no, tf, weight``: tf times idf, scaled to unit length per owner. The
-    vocabulary has at most ``VOCABULARY`` rows, hence the broadcast. One shuffle, of the texts by
-    owner and before they are cut into terms, serves both the count and the length."""
+    vocabulary has at most ``VOCABULARY`` rows, hence the broadcast. Tasks count the terms of each
+    text by number; one shuffle of these counts by owner serves both the sum and the length."""
     owner = list(owner)
+    known = [(r["term"], r["term_no"]) for r in terms.select("term", "term_no").collect()]
+    names = pa.array([term for term, _ in known], pa.string())
+    numbers = np.array([number for _, number in known], np.int64)
+    kept = StructType(
+        [texts.schema[c] for c in owner] + [StructField("term_no", terms.schema["term_no"].dataType), StructField("n", LongType())]
+    )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, n = known_terms(batch.column("_words"), names)
+            columns = [batch.column(c).take(pa.array(row)) for c in owner]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(numbers[term].astype(np.int32)), pa.array(n, pa.int64())],
+                names=[*owner, "term_no", "n"],
+            )
+
     counts = (
-        term_rows(texts.repartition(*owner), owner, stop_words=stop_words)
-        .join(F.broadcast(terms.select("term", "term_no", "idf")), "term")
-        .groupBy(*owner, "term", "term_no", "idf")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        texts.select(*owner, tokens(F.col("text"), stop_words).alias("_words"))
+        .mapInArrow(counted, kept)
+        .repartition(*owner)
+        .groupBy(*owner, "term_no")
+        .agg(F.sum("n").alias("tf"))
+        .join(F.broadcast(terms.select("term", "term_no", "idf")), "term_no")
         .withColumn("_w", F.col("tf") * F.col("idf"))
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*owner)))
@@ -167,7 +247,8 @@ def vector_topk(
     ``group`` and queries into blocks of about ``block`` rows; every pair of the two is one matrix
     product, of which the best ``k`` per query leave the task."""
     asked = pinned(queries.select("query_id", "embedding"))
-    kept = vectors.select("vec_id", "embedding").where(F.col("embedding").isNotNull())
+    # counted, then dealt: vectors that are computed, not stored, are so only once
+    kept = pinned(vectors.select("vec_id", "embedding").where(F.col("embedding").isNotNull()))
     blocks = max(1, -(-asked.count() // block))
     groups = max(1, -(-kept.count() // group))
     kind = queries.schema["query_id"].dataType.simpleString()
