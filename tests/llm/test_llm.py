@@ -400,3 +400,24 @@ def test_odd_rows_and_nothing(spark, odd, empty):
         out = stage(spark, empty, "")
         assert out.columns == empty.columns and out.count() == 0
     assert packing.packed(empty.select("doc_id", "text")).count() == 0
+
+
+def test_crowded_windows_leave_a_block_once():
+    """op7_suffix_dedup: copies in a block are settled there, so the join sees distinct windows only."""
+    text = np.random.default_rng(3).integers(97, 123, 400).astype(np.uint8).tobytes()
+    sizes = np.full(6, len(text), np.int64)
+    row = {
+        "ids": np.array([5, 3, 9, 4, 3, 8], np.int64).tobytes(), "sizes": sizes.tobytes(),
+        "data": substrings.squeezed(text * 6),
+    }
+    found = substrings.Anchors(row, 1, np.array([0]), 1)
+    own = np.arange(len(found.shard))[dict(found.by_shard())[1]]
+    repeats, windows = substrings.windows_of(found, own)
+    assert len({(w["h"], w["g"]) for w in windows}) == len(text) - substrings.LENGTH + 1
+    # those of the two rows of the smallest doc_id, which do not remove from each other
+    assert {w["doc"] for w in windows} == {3} and len(windows) <= 2 * (len(text) - substrings.LENGTH + 1)
+    spans = [tuple(x) for x in repeats] + list(zip(*(x.tolist() for x in found.covered), strict=True))
+    touched = np.zeros(6 * len(text), bool)
+    for low, high in spans:
+        touched[low:high] = True
+    assert touched.reshape(6, -1).all(axis=1).tolist() == [True, False, True, True, False, True]
