@@ -112,16 +112,26 @@ def supplier_exposure(stock: DataFrame) -> DataFrame:
     return stock.groupBy("region", "supplier").agg(F.sum("units_on_hand").alias("units_on_hand"))
 
 
-def stock_summary(plan: DataFrame) -> DataFrame:
-    """Per region and overall: items, items at risk, units and money to order."""
+def stock_totals(plan: DataFrame) -> DataFrame:
+    """Per region: items, and the sums that the summary and the suppliers' volumes are made of, under
+    the names of the plan's columns."""
+    return plan.groupBy("region").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum("stockout_risk").alias("stockout_risk"),
+        F.sum("recommended_order_qty").alias("recommended_order_qty"),
+        F.sum(F.col("order_cost_total").cast("decimal(18,2)")).alias("order_cost_total"),
+    )
+
+
+def stock_summary(totals: DataFrame) -> DataFrame:
+    """Per region and overall, from ``stock_totals``: items, items at risk, units and money to order."""
     return (
-        plan.rollup("region")
+        totals.rollup("region")
         .agg(
-            F.count(F.lit(1)).alias("items"),
+            F.sum("items").alias("items"),
             F.sum("stockout_risk").alias("items_at_risk"),
             F.sum("recommended_order_qty").cast("long").alias("units_to_order"),
-            F.sum(F.col("order_cost_total").cast("decimal(18,2)")).cast("double")
-            .alias("order_cost_total"),
+            F.sum("order_cost_total").cast("double").alias("order_cost_total"),
         )
         .withColumn("region", F.coalesce("region", F.lit("ALL")))
     )

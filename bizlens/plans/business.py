@@ -140,6 +140,16 @@ class Business:
     def plan(self) -> DataFrame:
         return inventory.eoq_plan(self.stock)
 
+    @cached_property
+    def plan_totals(self) -> DataFrame:
+        """The sums of the order plan, a row per region."""
+        return inventory.stock_totals(self.plan)
+
+    @cached_property
+    def churn_totals(self) -> DataFrame:
+        """The churn figures of every region and of all."""
+        return customers.churn_summary(self.scores)
+
     @cached_property
     def index(self) -> TextIndex:
         return TextIndex.fit(self.base("documents"))
@@ -151,7 +161,7 @@ class Business:
     def settled(self, *names: str) -> "Business":
         """The same tables, with those that several answers share computed once and kept in the
         shared folder: a row per region and month, per customer, and per region and product. With
-        ``names``, only these."""
+        ``names``, only these: what reads the totals alone needs no row per customer or product."""
         for name in names or ("monthly", "features", "scores", "plan"):
             if name not in self.kept:
                 self.kept.add(name)

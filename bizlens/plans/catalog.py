@@ -457,7 +457,7 @@ def _(b):
 
 @query("inventory_answer")
 def _(b):
-    return inventory.stock_summary(b.plan)
+    return inventory.stock_summary(b.plan_totals)
 
 
 @query("supplier_exposure")

@@ -30,8 +30,8 @@ def _pick(key: Column, options) -> Column:
     return chosen.cast("long")
 
 
-def line_measures(lines: DataFrame) -> DataFrame:
-    """Per-line money columns plus the keys needed for joins. Prices are whole cents and rates
+def line_measures(lines: DataFrame, *more: str) -> DataFrame:
+    """Per-line money columns plus the keys needed for joins and the columns ``more``. Prices are whole cents and rates
     whole percents, so the products are exact in integers and are divided once."""
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     discount = F.rint(F.col("l_discount") * 100).cast("long")
@@ -45,6 +45,7 @@ def line_measures(lines: DataFrame) -> DataFrame:
         (cents * (100 - discount) / F.lit(1e4)).alias("revenue"),
         (cents * (55 + tax) / F.lit(1e4)).alias("cogs"),
         (cents * tax / F.lit(1e4)).alias("spend"),
+        *more,
     )
 
 
@@ -81,16 +82,15 @@ def sales_by_product(spark: SparkSession, path: str, days: int | None = None) ->
 
 def sales_by_region(spark: SparkSession, path: str) -> DataFrame:
     """Sale lines with region and channel, without product attributes. Orders get their region
-    first, so that the lines, by far the largest table, are shuffled once."""
+    first, so that the lines, by far the largest table, are shuffled once. They travel with their
+    stored columns; the money columns are wider and are worked out behind the join."""
     orders = order_regions(spark, path).select(
         "o_orderkey", "region", F.col("o_orderpriority").alias("channel")
     )
     orders = light_side(orders, table(spark, path, "orders"))
-    return (
-        line_measures(table(spark, path, "lineitem"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .drop("l_orderkey", "o_orderkey")
-    )
+    lines = table(spark, path, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return line_measures(lines, "region", "channel").drop("l_orderkey")
 
 
 def products(spark: SparkSession, path: str) -> DataFrame:

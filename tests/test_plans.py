@@ -5,10 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bizlens.operators import decisions, monthly
+from bizlens.operators import decisions, inventory, monthly
 from bizlens.operators.retrieval import TextIndex, unit_weights
+from bizlens.plans import briefing
 from bizlens.plans.business import Business
 from bizlens.plans.catalog import REGISTRY
+from bizlens.sources import views
 
 
 def plan_of(df) -> str:
@@ -86,3 +88,28 @@ def test_window_without_key_only_sees_months(b):
     plan = plan_of(monthly.with_time_index(b.monthly))
     single = plan.index("SinglePartition")
     assert "HashAggregate(keys=[" in plan[single:]
+
+
+def test_sentences_and_actions_keep_no_row_per_customer_or_product(spark, small):
+    """narrative, action_plan: the order plan and the scores are read for their sums only."""
+    for plan in (briefing.action_plan,):
+        b = Business(spark, small)
+        plan(b)
+        assert not {"plan", "scores"} & b.kept
+
+
+def test_lines_travel_to_the_orders_with_their_stored_columns(spark, small):
+    """narrative, action_plan: money columns are worked out behind the join."""
+    plan = views.sales_by_region(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS revenue") < plan.index("Join Inner")
+
+
+def test_stock_totals_add_up_to_the_summary(spark):
+    rows = spark.createDataFrame(
+        [("A", 1, 2.0, 0.1), ("A", 0, None, None), ("B", 1, 3.0, 0.2), (None, 0, 4.0, 0.3)],
+        "region string, stockout_risk int, recommended_order_qty double, order_cost_total double",
+    )
+    found = inventory.stock_summary(inventory.stock_totals(rows)).collect()
+    assert sorted(tuple(r) for r in found) == [
+        ("A", 2, 1, 2, 0.1), ("ALL", 1, 0, 4, 0.3), ("ALL", 4, 2, 9, 0.6), ("B", 1, 1, 3, 0.2),
+    ]
