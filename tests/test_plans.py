@@ -92,7 +92,7 @@ def test_window_without_key_only_sees_months(b):
 
 def test_sentences_and_actions_keep_no_row_per_customer_or_product(spark, small):
     """narrative, action_plan: the order plan and the scores are read for their sums only."""
-    for plan in (briefing.action_plan,):
+    for plan in (briefing.narrative, briefing.action_plan):
         b = Business(spark, small)
         plan(b)
         assert not {"plan", "scores"} & b.kept
