@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from bizlens.llm import decontam, language, lines, neardup, packing, pages, quality, substrings, toxicity, urls
@@ -421,3 +423,43 @@ def test_crowded_windows_leave_a_block_once():
     for low, high in spans:
         touched[low:high] = True
     assert touched.reshape(6, -1).all(axis=1).tolist() == [True, False, True, True, False, True]
+
+
+def test_a_window_is_sent_once_and_its_verdict_covers_all_its_places():
+    """op7_suffix_dedup: no row per window and place leaves a block, nor is one joined."""
+    text = b"ab" * 150
+    row = {
+        "ids": np.array([7], np.int64).tobytes(), "sizes": np.array([len(text)], np.int64).tobytes(),
+        "data": substrings.squeezed(text), "block": 1,
+    }
+    found = substrings.Anchors(row, 1, np.array([0]), 1)
+    _, windows = substrings.windows_of(found, np.arange(len(found.shard)))
+    parts = list(substrings.dealt(windows, 1))
+    assert [(p, len(sent) // 24) for p, sent, _ in parts] == [(0, 2)]
+    _, sent, kept = parts[0]
+    earlier = bytes(sent[:32]) + np.array([3, 9], np.int64).tobytes()
+    replies = substrings.settled_windows((0,), pd.DataFrame({"block": [2, 1], "bytes": [earlier, sent]}))
+    assert sorted(replies["block"]) == [1, 2]
+    hit = dict(zip(replies["block"], replies["spans"], strict=True))
+    assert np.frombuffer(hit[1], "<u4").tolist() == [0] and np.frombuffer(hit[2], "<u4").tolist() == [1]
+    assert substrings.window_spans(kept, hit[1])[-1].tolist()[1] - substrings.window_spans(kept, hit[1])[0, 0] >= 298
+
+
+def test_contexts_without_a_common_core_stay():
+    """op7_suffix_dedup: an anchor alone in common sends nothing to the suffix arrays."""
+    rng = np.random.default_rng(5)
+    middle, texts = b"the same twenty byte", []
+    for _ in range(40):
+        sides = rng.integers(97, 123, 90).astype(np.uint8).tobytes()
+        texts.append(sides[:45] + middle + sides[45:])
+    texts.append(texts[0][:30] + b"#" * 5 + texts[0][35:])
+    blocks = []
+    for at, text in enumerate(texts):
+        blocks.append({
+            "block": at, "ids": np.array([at], np.int64).tobytes(), "data": substrings.squeezed(text),
+            "sizes": np.array([len(text)], np.int64).tobytes(),
+        })
+    sent = pa.Table.from_batches(list(substrings.entries(iter([pa.RecordBatch.from_pylist(blocks)]), 1)))
+    replies = substrings.matched((0,), sent.to_pandas())
+    shipped = set(replies.loc[replies["n_shipped"] > 0, "block"])
+    assert shipped == {0, len(texts) - 1}
