@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import Hashes, joined, slices, small_batches, table
+from bizlens.llm.common import Hashes, drop_model, joined, lean, slices, small_batches, table
 
 Q = 10
 WINDOW = 52
@@ -42,6 +42,7 @@ EDIT_SHARE = 0.06
 SHORTEST = 2 * Q  # from here on, w + 1 - q (e + 1) is positive for the edits allowed
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
+SLICE = 1 << 18  # bytes of text searched at a time
 PLAIN = np.isin(np.arange(256), list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256)))
 HITS = "array<struct<item_id:long,begin:int,edits:int>>"
 
@@ -228,13 +229,15 @@ def whole_words(data: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator
                     yield r, item, p - int(offsets[r])
 
 
+@lean
 def searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    drop_model()
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int32()), ("edits", pa.int32())]))
     for batch in batches:
         found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
         raw = pc.fill_null(batch.column("text"), "")
         data, offsets = normalised(raw)
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, SLICE):
             own = data[offsets[low] : offsets[high]]
             at = offsets[low : high + 1] - offsets[low]
             seen, held = set(), set()

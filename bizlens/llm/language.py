@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import fold, held_model, sheltered, small_batches, table
+from bizlens.llm.common import fold, held_model, lean, sheltered, small_batches, table
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 40_000
@@ -211,6 +211,7 @@ def coded_rows(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.nd
     return codes[keep], kept[cut]
 
 
+@lean
 def named(batches: Iterator[pa.RecordBatch], sample: dict[str, str]) -> Iterator[pa.RecordBatch]:
     model = model_of(sample) if sample else None
     for batch in batches:

@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from bizlens.llm.common import (
     Hashes,
+    drop_model,
     held_model,
     joined,
+    lean,
     mixed,
     runs,
     settled,
@@ -56,6 +58,7 @@ GRID = 16  # weight levels per unit of the natural logarithm
 LEVELS = 64
 PIVOTS = 64
 MARK_LONGS = 32
+SLICE = 1 << 18  # bytes of text worked on at a time
 MEMBER = ["node", "weight", "room", "marks"]
 PLAIN = np.isin(np.arange(256), list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256)))
 
@@ -100,13 +103,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 # --- document frequencies, hashed
 
 
+@lean
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of the partition hold a shingle of each slot, in ``DF_PARTS`` rows."""
+    drop_model()
     total, docs = np.zeros(1 << DF_BITS, np.int64), 0
     for batch in batches:
         data, offsets = lowered(batch.column("text"))
         docs += batch.num_rows
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, SLICE):
             own = data[offsets[low] : offsets[high]]
             found, _, _ = shingles(own, offsets[low : high + 1] - offsets[low])
             total += np.bincount(found >> np.uint64(64 - DF_BITS), minlength=len(total))
@@ -150,8 +155,8 @@ def levels(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def ranks() -> np.ndarray:
-    """For each weight level and each entry of a fixed pool of (r, c, beta): the rank of ln a, in
-    the high half of a 64-bit number. Equal (entry, t) have equal ranks, as the sampling needs."""
+    """For each weight level and each entry of a fixed pool of (r, c, beta): the rank of ln a.
+    Equal (entry, t) have equal ranks, as the sampling needs."""
     return held_model("sampling", drawn)
 
 
@@ -160,10 +165,17 @@ def drawn() -> np.ndarray:
     size = 1 << POOL_BITS
     r, c = rng.gamma(2.0, 1.0, size), rng.gamma(2.0, 1.0, size)
     beta = rng.random(size)
-    t = np.floor(np.arange(LEVELS)[:, None] / GRID / r + beta)
-    log_a = np.log(c) - r * (t - beta) - r
-    _, rank = np.unique(log_a, return_inverse=True)
-    return rank.reshape(-1).astype(np.uint64) << np.uint64(32)
+    # level by level, and ranks from one sorted copy: a worker never holds more than three such tables
+    log_a = np.empty((LEVELS, size))
+    for level, own in enumerate(log_a):
+        t = np.floor(level / GRID / r + beta)
+        own[:] = np.log(c) - r * (t - beta) - r
+    values = np.sort(log_a, axis=None)
+    values = values[np.append(True, values[1:] != values[:-1])]
+    rank = np.empty(log_a.shape, np.uint32)
+    for level, own in enumerate(log_a):
+        rank[level] = np.searchsorted(values, own)
+    return rank.reshape(-1)
 
 
 def factors() -> np.ndarray:
@@ -179,16 +191,18 @@ def bands(found: np.ndarray, level: np.ndarray, first: np.ndarray) -> np.ndarray
     out = np.zeros((len(first), BANDS), np.uint64)
     for k, factor in enumerate(factors()):
         entry = ((found * factor) >> np.uint64(64 - POOL_BITS)).astype(np.int64)
-        sample = np.minimum.reduceat(pool[base + entry] | low, first)
+        rank = pool[base + entry].astype(np.uint64) << np.uint64(32)  # decides, before the shingle
+        sample = np.minimum.reduceat(rank | low, first)
         band = k // ROWS
         out[:, band] = mixed(out[:, band] + sample + np.uint64(k))
     return out
 
 
+@lean
 def signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = lowered(batch.column("text"))
-        for low, high in slices(offsets, 1 << 18):
+        for low, high in slices(offsets, SLICE):
             own = data[offsets[low] : offsets[high]]
             found, row, times = shingles(own, offsets[low : high + 1] - offsets[low])
             level = levels(found, times, idf)
@@ -205,11 +219,13 @@ def signed(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.Re
             )
 
 
+@lean
 def set_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The shingles of a node as sorted 32-bit hashes and their levels, and their bitmap."""
+    drop_model()
     for batch in batches:
         data, offsets = lowered(batch.column("text"))
-        for low, high in slices(offsets):
+        for low, high in slices(offsets, SLICE):
             own = data[offsets[low] : offsets[high]]
             found, row, times = shingles(own, offsets[low : high + 1] - offsets[low])
             level = levels(found, times, idf).astype(np.uint8)
@@ -247,6 +263,7 @@ def similarity(one: bytes, two: bytes) -> float:
     return both / (float(wa.sum()) + float(wb.sum()) - both)
 
 
+@lean
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         value = [
@@ -382,6 +399,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(verified, "u long, v long, similarity double")
 
 
+@lean
 def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per node and shingle, in batches of about 2**18 rows."""
     for batch in batches:

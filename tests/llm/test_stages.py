@@ -160,3 +160,34 @@ def test_every_passage_of_59_characters_is_found(size, edits):
             assert not hits
         elif item is not None:
             assert item in {h["item_id"] for h in hits}
+
+
+def test_a_task_gives_back_what_it_freed_and_blocks_come_a_few_at_a_time(spark):
+    """pipeline, op7_suffix_dedup: batches are bounded in bytes, and no model outlives its stage."""
+    from bizlens.llm import common
+
+    common.small_batches(spark)
+    rows = spark.range(64, numPartitions=1).selectExpr("id", "repeat('x', 500000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            common.process_cache()["model"] = 1
+            common.drop_model()
+            assert "model" not in common.process_cache()
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    got = [r["n"] for r in rows.mapInArrow(common.lean(sizes), "n long").collect()]
+    assert sum(got) > 64 * 500_000 and max(got) <= common.BATCH_BYTES + 2 * 500_000
+
+
+def test_ranks_of_the_sampling_take_half_the_memory_and_stay():
+    """pipeline: the table is built level by level; the ranks are those of the whole array."""
+    import tracemalloc
+
+    from bizlens.llm import neardup
+
+    tracemalloc.start()
+    ranks = neardup.drawn()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ranks.nbytes == 4 * neardup.LEVELS << neardup.POOL_BITS and peak < 4 * 8 * neardup.LEVELS << neardup.POOL_BITS
