@@ -180,6 +180,25 @@ def test_a_task_gives_back_what_it_freed_and_blocks_come_a_few_at_a_time(spark):
     assert sum(got) > 64 * 500_000 and max(got) <= common.BATCH_BYTES + 2 * 500_000
 
 
+def test_shards_are_matched_in_parts_with_the_same_verdicts(monkeypatch):
+    """op7_suffix_dedup: what a shard sorts at once is bounded; equal anchors stay together."""
+    from bizlens.llm import substrings
+
+    texts = [f"{'abcdefghij' * 9}{i % 7} some words of text number {i % 11} and so on, again and again".encode() for i in range(40)]
+    own = {
+        "block": list(range(40)), "ids": [np.array([i]).tobytes() for i in range(40)],
+        "sizes": [np.array([len(t)]).tobytes() for t in texts], "data": [substrings.squeezed(t) for t in texts],
+    }
+    batch = pa.RecordBatch.from_pydict(own)
+    rows = pa.Table.from_batches(substrings.entries(iter([batch]), 1)).to_pandas()
+    whole = substrings.matched((0,), rows)
+    seen, real = [], substrings.verdicts
+    monkeypatch.setattr(substrings, "verdicts", lambda *x: seen.append(len(x[0])) or real(*x))
+    monkeypatch.setattr(substrings, "MATCH_ENTRIES", 16)
+    parts = substrings.matched((0,), rows)
+    assert len(seen) > 3 and len(whole) and whole.equals(parts)
+
+
 def test_ranks_of_the_sampling_take_half_the_memory_and_stay():
     """pipeline: the table is built level by level; the ranks are those of the whole array."""
     import tracemalloc
