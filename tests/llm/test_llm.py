@@ -302,6 +302,38 @@ def test_packing_round_trip(odd):
     assert sum(r.piece == 0 for r in got) == odd.count()
 
 
+def test_packing_evolves_where_the_first_fit_meets_the_bound(monkeypatch):
+    """All generations run, and what they find is no longer that of the first population."""
+    crossings = []
+    cross = packing.crossed
+    monkeypatch.setattr(packing, "crossed", lambda *args: crossings.append(1) or cross(*args))
+    better = 0
+    for n in range(12):
+        rng = random.Random(n)
+        sizes = [min(4095, max(1, int(rng.lognormvariate(5.6, 1.2)))) for _ in range(400)]
+        assert len(packing.best_fit(sizes, [], list(range(400)))) == -(-sum(sizes) // packing.CAPACITY)
+        crossings.clear()
+        last = packing.evolved(sizes, [], n)
+        assert len(crossings) == packing.GENERATIONS
+        with monkeypatch.context() as still:
+            still.setattr(packing, "GENERATIONS", 0)
+            first = packing.evolved(sizes, [], n)
+        assert sorted(i for b in last[0] for i in b) == list(range(400))
+        assert max(sum(sizes[i] for i in b) for b in last[0]) <= packing.CAPACITY
+        assert len(last[0]) == len(first[0])
+        assert packing.fitness(sizes, last[0]) >= packing.fitness(sizes, first[0])
+        better += packing.fitness(sizes, last[0]) > packing.fitness(sizes, first[0])
+    assert better
+
+
+def test_packing_keeps_the_fewest_sequences(monkeypatch):
+    """An uneven packing of more bins never goes before one of fewer."""
+    sizes = [2048, 2048, 2048, 2049, 1]
+    few, many = [[0, 1], [2], [3, 4]], [[0, 1], [3], [2], [4]]
+    monkeypatch.setattr(packing, "fitness", lambda sizes, bins: float(len(bins)))
+    assert len(packing.evolved(sizes, [many, few, many, many], 0)[0]) == 3
+
+
 def test_words_have_the_ids_of_the_tokenizer():
     own = packing.Words(packing.tokenizer_path(packing.TOKENIZER))
     rng = random.Random(1)
