@@ -172,6 +172,29 @@ def test_runs_of_a_given_size(spark, least):
         assert r.n_removed_lines == len(gone.get((r.doc_id, table[r.doc_id][1]), set()))
 
 
+def test_runs_are_doubled_until_none_repeats(spark, monkeypatch):
+    """Also where single words count: the longest power of two of every later copy is found."""
+    rng = random.Random(12)
+    base = [words(rng, 3) for _ in range(11)]
+    table = [(i, "\n".join([*(words(rng, 4) for _ in range(i)), *base, words(rng, 5)])) for i in range(3)]
+    table += [(3, "\n".join([*base[4:7], "", words(rng, 2), base[0], base[0], base[0]]))]
+    steps = []
+    double = lines.doubled
+    monkeypatch.setattr(lines, "doubled", lambda ranks, step: steps.append(step) or double(ranks, step))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = lines.named_runs(lines.sequences(docs, 1)).where("end is not null").collect()
+    own = {d: [x for x in t.split("\n") if x] for d, t in table}
+    want, seen = set(), {}
+    for d in sorted(own):
+        for k in range(len(own[d])):
+            for size in (1, 2, 4, 8):
+                run = tuple(own[d][k : k + size])
+                if len(run) == size and seen.setdefault(run, (d, k)) < (d, k):
+                    want.add((d, k, k + size))
+    assert {(r.doc_id, r.k, r.end) for r in found} == want
+    assert steps == [1, 2, 4] and any(end - k == 8 for _, k, end in want)
+
+
 def test_lines(spark):
     rng = random.Random(8)
     pool = [words(rng, n) for n in (1, 1, 2, 2, 3, 7, 9)] + ["", "  "]
