@@ -113,3 +113,38 @@ def test_stock_totals_add_up_to_the_summary(spark):
     assert sorted(tuple(r) for r in found) == [
         ("A", 2, 1, 2, 0.1), ("ALL", 1, 0, 4, 0.3), ("ALL", 4, 2, 9, 0.6), ("B", 1, 1, 3, 0.2),
     ]
+
+
+def test_answers_keep_totals_only(spark, small, monkeypatch):
+    """No row per customer, product or stock item is written for the JSON answers."""
+
+    class Enough(Exception):
+        pass
+
+    def stop(*args):
+        raise Enough
+
+    monkeypatch.setattr(briefing, "evidence_batch", stop)
+    b = Business(spark, small)
+    with pytest.raises(Enough):
+        briefing.answers(b)
+    assert not b.kept & {"scores", "plan", "customers", "performance"}
+    assert all(getattr(b, name).count() <= 50 for name in b.kept - {"monthly", "features"})
+    assert {"supply_totals", "plan_totals", "churn_totals", "weak_totals"} <= b.kept
+
+
+def test_supply_totals_are_the_exposure_and_the_totals(spark, small):
+    b = Business(spark, small)
+    exposure = inventory.supplier_exposure(b.stock).select("region", "supplier", "units_on_hand")
+    assert sorted(exposure.collect()) == sorted(b.supply_totals.select("region", "supplier", "units_on_hand").collect())
+    names = ["region", "items", "stockout_risk", "recommended_order_qty", "order_cost_total"]
+    whole = inventory.stock_totals(b.plan).select(names).collect()
+    assert whole and sorted(whole) == sorted(b.plan_totals.select(names).collect())
+
+
+def test_supply_totals_bear_null_figures(spark):
+    kinds = "region string, supplier string, units_on_hand long, stockout_risk long, recommended_order_qty double, order_cost_total double"
+    rows = [("A", "x", 1, 1, 3.0, 0.1), ("A", None, None, 0, None, None), ("A", "x", 2, 0, 4.0, 0.2), ("B", "y", 5, 1, None, None), (None, "y", 7, 0, 1.0, 9.99)]
+    plan = spark.createDataFrame(rows, kinds)
+    whole = {r.region: r for r in inventory.stock_totals(plan).collect()}
+    assert whole == {r.region: r for r in inventory.region_totals(inventory.supply_totals(plan)).collect()}
