@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bizlens import session
 from bizlens.functions import text as tx
-from bizlens.operators import decisions, impacts
+from bizlens.operators import decisions, impacts, retrieval
 from bizlens.operators.embedders import HashingEmbedder, TfidfEmbedder, embed
 from bizlens.sources import files
 
@@ -204,3 +205,41 @@ def test_queries_may_have_composed_ids(spark, tmp_path):
     )
     got = {(int(r.query_id.key), r["rank"], r.doc_id, r.chunk_no) for r in index.search(table, 3).collect()}
     assert got == {w[:4] for w in full_scan(rows, asked, 3)}
+
+
+def test_vectors_are_searched_where_they_lie(spark, tmp_path, monkeypatch):
+    """However many blocks of queries there are, no vector is repeated or shuffled."""
+    monkeypatch.setattr(impacts, "SEED_ROWS", 3)
+    rows, asked = sparse(5), asked_rows(5)
+    weights = spark.createDataFrame(rows, "doc_id long, chunk_no int, term_no int, weight double").repartition(6)
+    index = impacts.ImpactIndex.write(weights, ["doc_id", "chunk_no"], str(tmp_path / "index"))
+    cells = [(*a, 0.0, 2) for a in asked]
+    kinds = "query_id long, term_no int, query_weight double, bound double, places int"
+    found = index.contributions(spark.createDataFrame(cells, kinds))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "CoGroup" not in plan
+    assert found.count() > 0
+
+
+def test_a_group_raises_the_bound_of_the_next(spark, tmp_path, monkeypatch):
+    """Groups of one task: what is worse than the best of the groups before stays in the task."""
+    monkeypatch.setattr(impacts, "CELL_ROWS", 10)
+    monkeypatch.setattr(impacts, "SLICE", 10)
+    rows = [(c, 0, 0, 1 - c / 1000) for c in range(500)]
+    weights = spark.createDataFrame(rows, "doc_id long, chunk_no int, term_no int, weight double")
+    index = impacts.ImpactIndex.write(weights, ["doc_id", "chunk_no"], str(tmp_path / "index"))
+    index.vectors = index.vectors.coalesce(1).sortWithinPartitions("doc_id")
+    cells = spark.createDataFrame([(1, 0, 1.0, 0.0, 4)], "query_id long, term_no int, query_weight double, bound double, places int")
+    assert sorted(r.doc_id for r in index.contributions(cells).collect()) == [0, 1, 2, 3]
+
+
+def test_many_hits_leave_other_texts_behind(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(retrieval, "small_side", lambda df, limit=3: session.small_side(df, limit))
+    docs = spark.createDataFrame([(i, f"s{i}", f"word{i} and more") for i in range(50)], "doc_id long, source string, text string")
+    index = retrieval.TextIndex.fit(docs)
+    queries = spark.createDataFrame([(i, f"word{i}") for i in range(8)], "query_id long, text string")
+    hits = index.retrieve(queries, 1)
+    found = index.with_text(hits)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.doc_id, r.source, r.text) for r in found.collect()} == {(i, i, f"s{i}", f"word{i} and more") for i in range(8)}
