@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bizlens.llm import decontam, pages
+from bizlens.llm import decontam, lines, pages
 from bizlens.llm.packing import TOKENIZER, Words, tokenizer_path
 
 CLASH = [
@@ -210,3 +210,16 @@ def test_ranks_of_the_sampling_take_half_the_memory_and_stay():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert ranks.nbytes == 4 * neardup.LEVELS << neardup.POOL_BITS and peak < 4 * 8 * neardup.LEVELS << neardup.POOL_BITS
+
+
+def test_the_line_stage_doubles_until_no_run_repeats(spark, monkeypatch):
+    """The pipeline's stage ranks runs of 1, 2, 4 and 8 lines and cuts the later copies."""
+    steps = []
+    double = lines.doubled
+    monkeypatch.setattr(lines, "doubled", lambda ranks, step: steps.append(step) or double(ranks, step))
+    shared = [f"shared line {n}" for n in range(9)]
+    table = [(d, "\n".join([f"own {d} a", *shared, f"own {d} b"])) for d in (1, 2)] + [(3, "\n".join(shared)), (4, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.line_stage(spark, docs, "").collect()}
+    assert got == {1: table[0][1], 2: "own 2 a\nown 2 b", 4: None}
+    assert steps == [1, 2, 4]
